@@ -39,6 +39,7 @@ from sparkrag.llm.common import blocks, byte_codes, first_of_runs, mix64, run_ha
 U = np.uint64
 WIDTH = 5
 SKETCH = 1024  # bits
+THIN = 0
 _CODES = byte_codes(23)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -106,8 +107,10 @@ def bands_of(n: int) -> list[int]:
 
 
 def partitions(band: int, level: int) -> int:
-    bound = 2 * int(_EDGES[band]) // 9
-    return (bound + 2 + bound // 10 + (4 if bound < 30 else 0)) << 2 * level
+    most = int(_EDGES[band])
+    bound = 2 * most // 9
+    # small sets need more partitions, lest their elements share too few of them
+    return (bound + 2 + bound // 10 + (4096 if most <= 24 else 240 if most <= 64 else 24)) << 2 * level
 
 
 def most_differing(n: int, band: int) -> int:
@@ -154,26 +157,26 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), node (name of the set), thin (bands in which the set has too few partitions)."""
+    """doc_id, n (distinct shingles), node (name of the set)."""
 
     def run(batches):
         for b in blocks(batches, "text", 2 << 20):
             sets = shingle_sets(b.column(1))
-            thin = [[k for k in bands_of(len(s)) if signatures(s, k) is None] if 0 < len(s) < 400 else [] for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(thin, pa.list_(pa.int32()))], names=["doc_id", "n", "node", "thin"])
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
 
-    return _slim(docs).mapInArrow(run, "doc_id long, n long, node long, thin array<int>")
+    return _slim(docs).mapInArrow(run, "doc_id long, n long, node long")
 
 
 def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
     """(route, sig, node, centre): the distinct signatures of a block's sets, with the block's least node of the signature.
 
     Rows whose node is the centre are routed by signature, the others (finished: their centre is known) anywhere.
+    A row (sig THIN, node band) names a band with a set of too few partitions.
     """
 
     def run(batches):
         for b in blocks(batches, "text", block_bytes):
-            seen, sig, node = set(), [], []
+            seen, sig, node, thin = set(), [], [], set()
             for s in shingle_sets(b.column(1)):
                 if len(s):
                     k = set_id(s)
@@ -182,9 +185,14 @@ def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
                     seen.add(k)
                     for band in bands_of(len(s)):
                         got = signatures(s, band)
-                        if got is not None:  # else its band is signed again as a whole, see thin_rows
+                        if got is None:
+                            thin.add(band)
+                        else:
                             sig.append(got)
                             node.append(np.full(len(got), k, np.int64))
+            if thin:
+                v = pa.array(sorted(thin), pa.int64())
+                yield pa.record_batch([v, pa.array([THIN] * len(v), pa.int64()), v, pa.array([-1] * len(v), pa.int64())], names=["route", "sig", "node", "centre"])
             if not sig:
                 continue
             g, v, c = _stars(np.concatenate(sig).view(np.int64), np.concatenate(node))
@@ -217,11 +225,8 @@ def thin_rows(docs: DataFrame, levels: dict[int, int]) -> DataFrame:
     return _slim(docs).mapInArrow(run, "route long, sig long, node long, centre long")
 
 
-def thin_levels(docs: DataFrame, found: DataFrame) -> dict[int, int]:
-    """The levels at which every set of a band with thin sets has enough partitions; normally no band is thin."""
-    bands = {r.band for r in found.where("size(thin) > 0").select(F.explode("thin").alias("band")).distinct().collect()}
-    if not bands:
-        return {}
+def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
+    """The levels at which every set of the bands has enough partitions."""
 
     def run(batches):
         need: dict[int, int] = {}
@@ -311,6 +316,10 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _with_roots(pairs: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
     for k in names:
         pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
@@ -326,12 +335,14 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
 
 
-def _mixed_pairs(stars: DataFrame, roots: DataFrame, texts: DataFrame, most: int, cell: int) -> DataFrame:
+def _mixed_pairs(stars: DataFrame, roots: DataFrame, drawn: DataFrame, most: int, cell: int) -> DataFrame:
     """(a, b, left): up to `most` sketch-passing pairs for each two classes that meet in a cell of a signature; left: pairs not listed."""
     members = stars.select("sig", "node").unionByName(stars.select("sig", F.col("centre").alias("node"))).distinct()
     members = _with_roots(members, roots, "node").withColumnRenamed("rnode", "root")
-    per = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("sig", "m")
-    mixed = stored(members.join(per, "sig"), "mixed").join(sketches(texts), "node")
+    per = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("k")).where("lo < hi")
+    # of signatures with the same nodes one is enough
+    per = per.groupBy("h", "k", "m", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig", "m")
+    mixed = stored(members.join(per, "sig"), "mixed").join(drawn, "node")
     # a signature of m nodes: m / cell chunks, and a cell for each two chunks
     g = F.ceil(F.col("m") / cell).cast("int")
     chunk = F.pmod(F.xxhash64("node"), g).cast("int")
@@ -390,11 +401,11 @@ def _mixed_pairs(stars: DataFrame, roots: DataFrame, texts: DataFrame, most: int
 def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = stored(sets_of(docs), "sets")
-    rows = signature_rows(docs)
-    levels = thin_levels(docs, sets)
-    if levels:
-        rows = rows.unionByName(thin_rows(docs, levels))
-    stars = stored(shared(rows), "stars")
+    found = stored(shared(signature_rows(docs)), "stars")
+    stars = found.where(F.col("sig") != THIN)
+    bands = {r.node for r in found.where(F.col("sig") == THIN).select("node").distinct().collect()}  # bands are few
+    if bands:
+        stars = stars.unionByName(stored(shared(thin_rows(docs, thin_levels(docs, bands))), "stars"))
     reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = stars.select("node").unionByName(stars.select(F.col("centre").alias("node"))).distinct()
     wanted = stored(reps.join(nodes, "node"), "wanted")
@@ -408,10 +419,13 @@ def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
     roots = components(links)
     rest = _with_roots(pairs.join(best, ["a", "b"], "left_anti"), roots, "a", "b").where("ra <> rb").select("a", "b")
     roots = joined(roots, stored(compared(rest, text), "links"))
-    most = 16
+    drawn = stored(sketches(text), "sketches")
+    most, tried = 64, pairs.select("a", "b")
     while True:
-        found = stored(_mixed_pairs(stars, roots, text, most, cell), "candidates")
-        roots = joined(roots, stored(compared(found.select("a", "b").distinct(), text), "links"))
+        found = stored(_mixed_pairs(stars, roots, drawn, most, cell), "candidates")
+        new = stored(found.select("a", "b").distinct().join(both_ways(tried), ["a", "b"], "left_anti"), "candidates")
+        roots = joined(roots, stored(compared(new, text), "links"))
+        tried = tried.unionByName(new)
         if not (found.agg(F.sum("left")).first()[0] or 0):
             break
         most *= 16
