@@ -326,6 +326,13 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
+def mixed_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures whose nodes are in several classes."""
+    far = _with_roots(stars, roots, "node", "centre").where("rnode <> rcentre").select("sig").distinct()
+    few = stars.join(far, "sig", "left_semi")
+    return few.select("sig", "node").unionByName(few.select("sig", F.col("centre").alias("node"))).distinct()
+
+
 def sketches(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in blocks(batches, "text", 2 << 20):
@@ -335,9 +342,8 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
 
 
-def _mixed_pairs(stars: DataFrame, roots: DataFrame, drawn: DataFrame, most: int, cell: int) -> DataFrame:
+def _mixed_pairs(members: DataFrame, roots: DataFrame, drawn: DataFrame, most: int, cell: int) -> DataFrame:
     """(a, b, left): up to `most` sketch-passing pairs for each two classes that meet in a cell of a signature; left: pairs not listed."""
-    members = stars.select("sig", "node").unionByName(stars.select("sig", F.col("centre").alias("node"))).distinct()
     members = _with_roots(members, roots, "node").withColumnRenamed("rnode", "root")
     per = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("k")).where("lo < hi")
     # of signatures with the same nodes one is enough
@@ -419,10 +425,11 @@ def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
     roots = components(links)
     rest = _with_roots(pairs.join(best, ["a", "b"], "left_anti"), roots, "a", "b").where("ra <> rb").select("a", "b")
     roots = joined(roots, stored(compared(rest, text), "links"))
-    drawn = stored(sketches(text), "sketches")
-    most, tried = 64, pairs.select("a", "b")
+    members = stored(mixed_members(stars, roots), "members")
+    drawn = stored(sketches(text.join(members.select("node").distinct(), "node", "left_semi")), "sketches")
+    most, tried = 4096, pairs.select("a", "b")
     while True:
-        found = stored(_mixed_pairs(stars, roots, drawn, most, cell), "candidates")
+        found = stored(_mixed_pairs(members, roots, drawn, most, cell), "candidates")
         new = stored(found.select("a", "b").distinct().join(both_ways(tried), ["a", "b"], "left_anti"), "candidates")
         roots = joined(roots, stored(compared(new, text), "links"))
         tried = tried.unionByName(new)
