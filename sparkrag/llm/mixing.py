@@ -51,8 +51,9 @@ def shares(text: Column) -> list[tuple[str, Column]]:
 
 def _features(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """keep, tokens, uniq (distinct words) and f0..f4 of every row."""
-    base = docs.select(*keep, *(c.alias(k) for k, c in shares(F.col("text"))))
-    base = base.withColumn("tokens", F.size("words").cast("long")).withColumn("uniq", F.array_distinct("words")).drop("words")
+    base = docs.select(*keep, F.explode(F.array(F.struct(*(c.alias(k) for k, c in shares(F.col("text")))))).alias("__s"))
+    base = base.select(*(f"`{c}`" for c in base.columns if c != "__s"), "__s.*")
+    base = _bound(base, tokens=F.size("words").cast("long"), uniq=F.array_distinct("words")).drop("words")
     m = F.greatest(F.col("tokens"), F.lit(1))
     return base.withColumn("f3", F.size("uniq") / m).withColumn("f4", F.least(F.col("n") / m, F.lit(40.0)))
 
@@ -109,10 +110,27 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_fit: int = 12_000, words
     }
 
 
-def posteriors(model: dict | None) -> list[Column]:
-    """P(domain) of a row of `_features`, as columns in order of DOMAINS."""
+def _bound(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns that are computed once a row, however often they are used later (a one-element explode keeps the
+    optimizer from copying the expressions into every use)."""
+    made = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__made")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    return rows.select(*kept, made).select(*kept, *(F.col(f"__made.{k}").alias(k) for k in columns))
+
+
+def _posteriors(rows: DataFrame, model: dict | None) -> DataFrame:
+    """Adds P(domain) to rows of `_features`."""
     if model is None:
-        return [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+        return rows.withColumns({"p_low": F.lit(0.0), "p_toxic": F.lit(0.0), "p_clean": F.lit(1.0)})
+    rows = _bound(rows, **{f"s{d}": c for d, c in enumerate(_scores(model))})
+    score = [F.col(f"s{d}") for d in range(3)]
+    rows = _bound(rows, **{f"e{d}": F.exp(x - F.greatest(*score)) for d, x in enumerate(score)})
+    total = F.col("e0") + F.col("e1") + F.col("e2")
+    return _bound(rows, **{f"p_{k}": F.col(f"e{d}") / total for d, k in enumerate(DOMAINS)})
+
+
+def _scores(model: dict) -> list[Column]:
+    """Log of prior times likelihood of a row of `_features`, by domain."""
     known = F.lit(0.0)
     score: list[Column] = []
     for d in range(3):
@@ -127,18 +145,14 @@ def posteriors(model: dict | None) -> list[Column]:
             table = F.create_map(*(x for w, e in pairs for x in (F.lit(w), F.lit(float(e[d])))))
             s = s + F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.element_at(table, w))
         score.append(s)
-    top = F.greatest(*score)
-    e = [F.exp(s - top) for s in score]
-    total = e[0] + e[1] + e[2]
-    return [x / total for x in e]
+    return score
 
 
 def _scored(docs: DataFrame, model: dict | None, keep: list[Column]) -> DataFrame:
     rows = _features(docs, keep)
     words = sorted(model["words"]) if model else []
-    rows = rows.withColumn("hits", F.array_intersect("uniq", F.array(*map(F.lit, words)))) if words else rows
-    rows = rows.drop("uniq")
-    return rows.withColumns({f"p_{k}": p for k, p in zip(DOMAINS, posteriors(model))})
+    rows = _bound(rows, hits=F.array_intersect("uniq", F.array(*map(F.lit, words)))) if words else rows
+    return _posteriors(rows.drop("uniq"), model)
 
 
 def _solve(g: list[list[float]], r: list[float]) -> list[float]:
@@ -209,7 +223,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit_domains(docs, labels, max_fit)
     scored = stored(_scored(docs, model, [F.col("doc_id").cast("long").alias("doc_id")]).select("doc_id", "tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
     steps, _ = fit_rates(scored, targets)
-    out = scored.withColumn("rate", rate_of(steps))
+    out = _bound(scored, rate=rate_of(steps))
     return out.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
@@ -224,5 +238,5 @@ def select(docs: DataFrame, labels: DataFrame, anchor: dict[str, float] = ANCHOR
     key = F.col("doc_id").cast("long").alias("doc_id")
     scored = stored(_scored(docs, model, [key]).select("tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
     steps, _ = fit_rates(scored, None, anchor)
-    rows = _scored(docs, model, [whole, key]).withColumn("rate", rate_of(steps))
+    rows = _bound(_scored(docs, model, [whole, key]), rate=rate_of(steps))
     return rows.where(copies_of(F.col("rate"), F.col("doc_id")) >= 1).select("__row.*")
