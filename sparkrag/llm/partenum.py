@@ -10,12 +10,16 @@ pair meets in the band of its larger set. A signature needs more non-empty parti
 few (all its elements in few partitions) makes its whole band be signed again with four times the partitions.
 
 From signatures to classes, linear in the signatures:
-1. Equal sets are one node. Within a block of rows and then over all blocks every signature's nodes form a star around the
-   least node, so a hot signature sends one row a block to its task.
-2. Each node is compared with the centre it shares most signatures with, then with its other centres where the classes still differ.
-   Comparisons rebuild both shingle sets from the whole texts.
-3. Signatures whose nodes are still in several classes: all pairs of nodes of different classes are held against a
-   parity sketch (whose distance never exceeds the true one) in cells of at most `cell` x `cell` nodes, and the pairs that pass are compared,
+1. Equal sets are one node. Within a block of rows and then over all blocks the signatures of a single node go; a hot
+   signature sends one row a block to its task.
+2. Similar sets share not one but at least t = non-empty partitions - differing elements of a node's signatures in a band.
+   So a node with fewer shared ones than its t has no partner there, and of the others the last t - 1 in order of
+   the signature can go: the first common signature of a similar pair stays with both.
+3. What remains forms a star a signature around its least node. Pairs of node and centre are held against size and a parity sketch
+   (whose distance never exceeds the true one). Of those that pass each node is compared with the centre it shares most signatures with, then
+   with its other centres where the classes still differ. Comparisons rebuild both shingle sets from the whole texts.
+4. Signatures whose nodes are still in several classes: all pairs of nodes of different classes are held against the
+   sketch in cells of at most `cell` x `cell` nodes, and the pairs that pass are compared,
    a growing number a round until none is left. So no link between different texts is lost, and no pairs are listed
    within a class.
 Classes are connected components by star contraction over checkpointed tables.
@@ -140,16 +144,22 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(c.astype(np.uint8))
 
 
-def _stars(sig: np.ndarray, node: np.ndarray):
-    """For rows (sig, node): distinct rows in order of sig and node, and each row's least node of its sig."""
+def _stars(sig: np.ndarray, node: np.ndarray, *more: np.ndarray):
+    """For rows (sig, node, ...): distinct rows in order of sig and node, each row's least node of its sig, and how many rows its sig has."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[keep], node[keep]
+    sig, node, more = sig[keep], node[keep], [x[order][keep] for x in more]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
-    return sig, node, node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else node
+    at, of = np.flatnonzero(first), np.cumsum(first) - 1
+    return sig, node, *more, node[at][of], np.bincount(of, minlength=len(at))[of]
+
+
+def need(s: np.ndarray, signed: np.ndarray, band: int, level: int) -> int:
+    """The least number of its signatures that a set shares with a similar one, with band and level, in one number."""
+    return (len(signed) - most_differing(len(s), band)) << 20 | band << 8 | level
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -157,26 +167,36 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), node (name of the set)."""
+    """doc_id, n (distinct shingles), node (name of the set), sketch."""
 
     def run(batches):
         for b in blocks(batches, "text", 2 << 20):
             sets = shingle_sets(b.column(1))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node", "sketch"])
+
+    return _slim(docs).mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+
 
-    return _slim(docs).mapInArrow(run, "doc_id long, n long, node long")
+_ROWS = "sig long, node long, centre long, need long"
+
+
+def _block_rows(sig: list, node: list, needs: list):
+    """Batches (sig, node, centre, need) of a block; centre is null where the block has one node of the signature."""
+    g, v, t, c, m = _stars(np.concatenate(sig).view(np.int64), np.concatenate(node), np.concatenate(needs))
+    for at in range(0, len(g), 1 << 16):
+        e = slice(at, at + (1 << 16))
+        yield pa.record_batch([pa.array(g[e]), pa.array(v[e]), pa.array(c[e], mask=m[e] == 1), pa.array(t[e])], names=["sig", "node", "centre", "need"])
 
 
 def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
-    """(route, sig, node, centre): the distinct signatures of a block's sets, with the block's least node of the signature.
+    """(sig, node, centre, need): the distinct signatures of a block's sets, with the block's least node of the signature.
 
-    Rows whose node is the centre are routed by signature, the others (finished: their centre is known) anywhere.
     A row (sig THIN, node band) names a band with a set of too few partitions.
     """
 
     def run(batches):
         for b in blocks(batches, "text", block_bytes):
-            seen, sig, node, thin = set(), [], [], set()
+            seen, sig, node, needs, thin = set(), [], [], [], set()
             for s in shingle_sets(b.column(1)):
                 if len(s):
                     k = set_id(s)
@@ -190,18 +210,15 @@ def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
                         else:
                             sig.append(got)
                             node.append(np.full(len(got), k, np.int64))
+                            needs.append(np.full(len(got), need(s, got, band, 0), np.int64))
             if thin:
                 v = pa.array(sorted(thin), pa.int64())
-                yield pa.record_batch([v, pa.array([THIN] * len(v), pa.int64()), v, pa.array([-1] * len(v), pa.int64())], names=["route", "sig", "node", "centre"])
-            if not sig:
-                continue
-            g, v, c = _stars(np.concatenate(sig).view(np.int64), np.concatenate(node))
-            route = np.where(v == c, g, mix64(v.view(U) ^ g.view(U)).view(np.int64))
-            for at in range(0, len(g), 1 << 16):
-                e = at + (1 << 16)
-                yield pa.record_batch([pa.array(route[at:e]), pa.array(g[at:e]), pa.array(v[at:e]), pa.array(c[at:e])], names=["route", "sig", "node", "centre"])
+                none = pa.array([-1] * len(v), pa.int64())
+                yield pa.record_batch([pa.array([THIN] * len(v), pa.int64()), v, none, none], names=["sig", "node", "centre", "need"])
+            if sig:
+                yield from _block_rows(sig, node, needs)
 
-    return _slim(docs).mapInArrow(run, "route long, sig long, node long, centre long")
+    return _slim(docs).mapInArrow(run, _ROWS)
 
 
 def thin_rows(docs: DataFrame, levels: dict[int, int]) -> DataFrame:
@@ -209,7 +226,7 @@ def thin_rows(docs: DataFrame, levels: dict[int, int]) -> DataFrame:
 
     def run(batches):
         for b in blocks(batches, "text", 2 << 20):
-            sig, node = [], []
+            sig, node, needs = [], [], []
             for s in shingle_sets(b.column(1)):
                 for band in bands_of(len(s)) if len(s) else ():
                     if band in levels:
@@ -218,11 +235,11 @@ def thin_rows(docs: DataFrame, levels: dict[int, int]) -> DataFrame:
                             raise RuntimeError("a set has too few partitions at its band's level")
                         sig.append(got)
                         node.append(np.full(len(got), set_id(s), np.int64))
+                        needs.append(np.full(len(got), need(s, got, band, levels[band]), np.int64))
             if sig:
-                g, v, c = _stars(np.concatenate(sig).view(np.int64), np.concatenate(node))
-                yield pa.record_batch([pa.array(np.where(v == c, g, mix64(v.view(U) ^ g.view(U)).view(np.int64))), pa.array(g), pa.array(v), pa.array(c)], names=["route", "sig", "node", "centre"])
+                yield from _block_rows(sig, node, needs)
 
-    return _slim(docs).mapInArrow(run, "route long, sig long, node long, centre long")
+    return _slim(docs).mapInArrow(run, _ROWS)
 
 
 def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
@@ -244,25 +261,67 @@ def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, node, centre) of the signatures that several nodes have: a star of stars for each signature."""
+    """(sig, node, need) of the signatures that several nodes have; a row can come again from another block.
+
+    Only a block's least node of a signature goes to the signature's task; the others are known to share it and go anywhere.
+    """
 
     def run(batches):
-        sig, node = [], []
+        held = []
         for b in batches:
-            g, v, c = (b.column(k).to_numpy() for k in (1, 2, 3))
-            own = v == c
-            sig.append(g[own])
-            node.append(v[own])
+            known, c = b.column(2).is_valid().to_numpy(zero_copy_only=False), b.column(2).fill_null(0).to_numpy()
+            g, v, t = (b.column(k).to_numpy() for k in (0, 1, 3))
+            own = ~known | (v == c)
+            held.append((g[own], v[own], t[own], known[own]))
             if not own.all():
-                yield pa.record_batch([pa.array(g[~own]), pa.array(v[~own]), pa.array(c[~own])], names=["sig", "node", "centre"])
-        if sig:
-            g, v, c = _stars(np.concatenate(sig), np.concatenate(node))
-            more = v != c
-            for at in range(0, int(more.sum()), 1 << 16):
+                yield pa.record_batch([pa.array(g[~own]), pa.array(v[~own]), pa.array(t[~own])], names=["sig", "node", "need"])
+        if held:
+            g, v, t, k = (np.concatenate(x) for x in zip(*held))
+            # a row that another block knows to be shared stays, whichever of its copies is kept
+            alone = ~np.isin(g, g[k])
+            g, v, t, alone, _, m = _stars(g, v, t, alone)
+            keep = ~alone | (m > 1)
+            g, v, t = g[keep], v[keep], t[keep]
+            for at in range(0, len(g), 1 << 16):
                 e = slice(at, at + (1 << 16))
-                yield pa.record_batch([pa.array(g[more][e]), pa.array(v[more][e]), pa.array(c[more][e])], names=["sig", "node", "centre"])
+                yield pa.record_batch([pa.array(g[e]), pa.array(v[e]), pa.array(t[e])], names=["sig", "node", "need"])
 
-    return rows.repartition("route").mapInArrow(run, "sig long, node long, centre long")
+    own = F.col("centre").isNull() | (F.col("centre") == F.col("node"))
+    return rows.repartition(F.when(own, F.col("sig")).otherwise(F.xxhash64("sig", "node"))).mapInArrow(run, "sig long, node long, need long")
+
+
+def members_of(found: DataFrame) -> DataFrame:
+    """(sig, node): of each node and band the signatures without the last t - 1, none where fewer than t are shared."""
+    t = F.shiftright("need", 20).cast("int")
+    per = found.where(F.col("sig") != THIN).groupBy("node", "need").agg(F.collect_set("sig").alias("sigs"))
+    return per.where(F.size("sigs") >= t).select("node", F.explode(F.slice(F.array_sort("sigs"), F.lit(1), F.size("sigs") - t + 1)).alias("sig")).select("sig", "node")
+
+
+def screened(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (a, b, w) whose sizes and sketches allow a similarity of 0.8 or more."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            na, nb = b.column(3).to_numpy(), b.column(4).to_numpy()
+            sa, sb = (text_bytes(b.column(k))[0].view(U).reshape(b.num_rows, -1) for k in (5, 6))
+            most = (na + nb) // 9
+            ok = (np.abs(na - nb) <= most) & (np.bitwise_count(sa ^ sb).sum(axis=1) <= most)
+            yield b.select(["a", "b", "w"]).filter(pa.array(ok))
+
+    for k in "ab":
+        pairs = pairs.join(drawn.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")), k)
+    return pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "w", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, w long")
+
+
+def texts_of(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, most_sent: int = 1_000_000) -> DataFrame:
+    """(node, text) of the pairs' nodes. Up to most_sent nodes (two numbers each) are broadcast to the scan, more are joined by a shuffle."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(drawn.select("node", "doc_id").where("doc_id is not null").join(nodes, "node", "left_semi"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= most_sent else wanted
+    # rows that repeat a doc_id with other texts: the text must have the node's set
+    return stored(_checked(_slim(docs).where("doc_id is not null").join(wanted, "doc_id")), "texts")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -326,22 +385,6 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def mixed_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, node) of the signatures whose nodes are in several classes."""
-    far = _with_roots(stars, roots, "node", "centre").where("rnode <> rcentre").select("sig").distinct()
-    few = stars.join(far, "sig", "left_semi")
-    return few.select("sig", "node").unionByName(few.select("sig", F.col("centre").alias("node"))).distinct()
-
-
-def sketches(texts: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in blocks(batches, "text", 2 << 20):
-            sets = shingle_sets(b.column(1))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
-
-
 def _mixed_pairs(members: DataFrame, roots: DataFrame, drawn: DataFrame, most: int, cell: int) -> DataFrame:
     """(a, b, left): up to `most` sketch-passing pairs for each two classes that meet in a cell of a signature; left: pairs not listed."""
     members = _with_roots(members, roots, "node").withColumnRenamed("rnode", "root")
@@ -407,32 +450,28 @@ def _mixed_pairs(members: DataFrame, roots: DataFrame, drawn: DataFrame, most: i
 def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = stored(sets_of(docs), "sets")
-    found = stored(shared(signature_rows(docs)), "stars")
-    stars = found.where(F.col("sig") != THIN)
+    found = stored(shared(signature_rows(docs)), "signatures")
     bands = {r.node for r in found.where(F.col("sig") == THIN).select("node").distinct().collect()}  # bands are few
     if bands:
-        stars = stars.unionByName(stored(shared(thin_rows(docs, thin_levels(docs, bands))), "stars"))
-    reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stars.select("node").unionByName(stars.select(F.col("centre").alias("node"))).distinct()
-    wanted = stored(reps.join(nodes, "node"), "wanted")
-    text = _slim(docs).where("doc_id is not null").join(wanted, "doc_id")
-    # rows that repeat a doc_id with other texts: the text must have the node's set
-    text = stored(_checked(text), "texts")
-
-    pairs = stored(stars.groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("w")), "pairs")
-    best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = stored(compared(best, text), "links")
-    roots = components(links)
-    rest = _with_roots(pairs.join(best, ["a", "b"], "left_anti"), roots, "a", "b").where("ra <> rb").select("a", "b")
+        found = found.unionByName(stored(shared(thin_rows(docs, thin_levels(docs, bands))), "signatures"))
+    members = stored(members_of(found), "members")
+    nodes = members.select("node").distinct()
+    drawn = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    per = members.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("sig", "b")
+    tried = members.join(per, "sig").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("w"))
+    tried = stored(screened(tried, drawn), "pairs")
+    text = texts_of(tried, drawn, docs)
+    best = tried.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    roots = components(stored(compared(best, text), "links"))
+    rest = _with_roots(tried.join(best, ["a", "b"], "left_anti"), roots, "a", "b").where("ra <> rb").select("a", "b")
     roots = joined(roots, stored(compared(rest, text), "links"))
-    members = stored(mixed_members(stars, roots), "members")
-    drawn = stored(sketches(text.join(members.select("node").distinct(), "node", "left_semi")), "sketches")
-    most, tried = 4096, pairs.select("a", "b")
+    most, tried = 4096, tried.select("a", "b")
     while True:
         found = stored(_mixed_pairs(members, roots, drawn, most, cell), "candidates")
         new = stored(found.select("a", "b").distinct().join(both_ways(tried), ["a", "b"], "left_anti"), "candidates")
-        roots = joined(roots, stored(compared(new, text), "links"))
-        tried = tried.unionByName(new)
+        if not new.isEmpty():
+            roots = joined(roots, stored(compared(new, texts_of(new, drawn, docs)), "links"))
+            tried = tried.unionByName(new)
         if not (found.agg(F.sum("left")).first()[0] or 0):
             break
         most *= 16
