@@ -43,7 +43,6 @@ from sparkrag.llm.common import blocks, byte_codes, first_of_runs, mix64, run_ha
 U = np.uint64
 WIDTH = 5
 SKETCH = 1024  # bits
-THIN = 0
 _CODES = byte_codes(23)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -144,19 +143,6 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(c.astype(np.uint8))
 
 
-def _stars(sig: np.ndarray, node: np.ndarray, *more: np.ndarray):
-    """For rows (sig, node, ...): distinct rows in order of sig and node, each row's least node of its sig, and how many rows its sig has."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, more = sig[keep], node[keep], [x[order][keep] for x in more]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    at, of = np.flatnonzero(first), np.cumsum(first) - 1
-    return sig, node, *more, node[at][of], np.bincount(of, minlength=len(at))[of]
-
-
 def need(s: np.ndarray, signed: np.ndarray, band: int, level: int) -> int:
     """The least number of its signatures that a set shares with a similar one, with band and level, in one number."""
     return (len(signed) - most_differing(len(s), band)) << 20 | band << 8 | level
@@ -177,26 +163,58 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return _slim(docs).mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
-_ROWS = "sig long, node long, centre long, need long"
-
+_PACKETS = "bucket int, kind int, block long, data binary"
+OWN, KNOWN, NAMES, THIN = range(4)  # kinds of packets
 
-def _block_rows(sig: list, node: list, needs: list):
-    """Batches (sig, node, centre, need) of a block; centre is null where the block has one node of the signature."""
-    g, v, t, c, m = _stars(np.concatenate(sig).view(np.int64), np.concatenate(node), np.concatenate(needs))
-    for at in range(0, len(g), 1 << 16):
-        e = slice(at, at + (1 << 16))
-        yield pa.record_batch([pa.array(g[e]), pa.array(v[e]), pa.array(c[e], mask=m[e] == 1), pa.array(t[e])], names=["sig", "node", "centre", "need"])
 
+def _packets(sig: list, nodes: list, needs: list, buckets: int):
+    """Batches (bucket, kind, block, data) of a block's signatures, a list a node.
 
-def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
-    """(sig, node, centre, need): the distinct signatures of a block's sets, with the block's least node of the signature.
-
-    A row (sig THIN, node band) names a band with a set of too few partitions.
+    A block numbers its nodes and is named by them. OWN packets have a signature's first node in the block and whether there are
+    more, 10 bytes each, and go to the signature's bucket; KNOWN packets have the other nodes of signatures, NAMES the nodes and what they need.
+    A signature is its bucket and 44 bits; two that fall together are only compared in vain.
     """
+    v, t = np.array(nodes, np.int64), np.array(needs, np.int64)
+    block = int(mix64(mix64(v.view(U) ^ mix64(t.view(U) + np.arange(len(v), dtype=U) * _STEP[1])).sum(dtype=U).reshape(1)).view(np.int64)[0])
+    idx = np.repeat(np.arange(len(v), dtype=np.uint32), [len(x) for x in sig])
+    g = np.concatenate(sig)
+    g = (((g >> U(32)) * U(buckets) >> U(32)) << U(44)) | (g & U((1 << 44) - 1))
+    order = np.argsort(g, kind="stable")
+    g, idx = g[order], idx[order]
+    first = np.ones(len(g), bool)
+    first[1:] = g[1:] != g[:-1]
+    more = np.zeros(len(g), bool)
+    more[:-1] = ~first[1:]
+    out = []
+    og, oi, om = g[first], idx[first], more[first]
+    to = (og >> U(44)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+    words = og.view(np.uint16).reshape(-1, 4)
+    high = ((oi >> 16) | (om.astype(np.uint32) << 15)).astype(np.uint16)
+    planes = [words[:, 0], words[:, 1], words[:, 2] & np.uint16(0x0FFF), oi.astype(np.uint16), high]
+    for x, y in zip(edges[:-1], edges[1:]):
+        out.append((int(to[x]), OWN, block, b"".join(w[x:y].tobytes() for w in planes)))
+    rest = np.flatnonzero(~first)
+    for n, x in enumerate(range(0, len(rest), 1 << 14)):
+        r = rest[x : x + (1 << 14)]
+        out.append(((block + n) % buckets, KNOWN, block, g[r].tobytes() + idx[r].tobytes()))
+    out.append((block % buckets, NAMES, block, v.tobytes() + t.tobytes()))
+    for x in range(0, len(out), 4096):
+        c = list(zip(*out[x : x + 4096]))
+        yield pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["bucket", "kind", "block", "data"])
+
+
+def signature_rows(docs: DataFrame, levels: dict[int, int] | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+    """Packets of the signatures of all sets; with levels, of the bands named there only, at these levels.
+
+    A THIN packet names bands with a set of too few partitions.
+    """
+    # at most 2^19 buckets of signatures
+    buckets = min(1 << 19, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         for b in blocks(batches, "text", block_bytes):
-            seen, sig, node, needs, thin = set(), [], [], [], set()
+            seen, sig, nodes, needs, thin = set(), [], [], [], set()
             for s in shingle_sets(b.column(1)):
                 if len(s):
                     k = set_id(s)
@@ -204,42 +222,24 @@ def signature_rows(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
                         continue
                     seen.add(k)
                     for band in bands_of(len(s)):
-                        got = signatures(s, band)
+                        if levels is not None and band not in levels:
+                            continue
+                        level = 0 if levels is None else levels[band]
+                        got = signatures(s, band, level)
                         if got is None:
                             thin.add(band)
                         else:
                             sig.append(got)
-                            node.append(np.full(len(got), k, np.int64))
-                            needs.append(np.full(len(got), need(s, got, band, 0), np.int64))
+                            nodes.append(k)
+                            needs.append(need(s, got, band, level))
+            if thin and levels is not None:
+                raise RuntimeError("a set has too few partitions at its band's level")
             if thin:
-                v = pa.array(sorted(thin), pa.int64())
-                none = pa.array([-1] * len(v), pa.int64())
-                yield pa.record_batch([pa.array([THIN] * len(v), pa.int64()), v, none, none], names=["sig", "node", "centre", "need"])
-            if sig:
-                yield from _block_rows(sig, node, needs)
-
-    return _slim(docs).mapInArrow(run, _ROWS)
-
-
-def thin_rows(docs: DataFrame, levels: dict[int, int]) -> DataFrame:
-    """Signature rows of whole bands at higher levels, for bands with sets of too few partitions."""
-
-    def run(batches):
-        for b in blocks(batches, "text", 2 << 20):
-            sig, node, needs = [], [], []
-            for s in shingle_sets(b.column(1)):
-                for band in bands_of(len(s)) if len(s) else ():
-                    if band in levels:
-                        got = signatures(s, band, levels[band])
-                        if got is None:
-                            raise RuntimeError("a set has too few partitions at its band's level")
-                        sig.append(got)
-                        node.append(np.full(len(got), set_id(s), np.int64))
-                        needs.append(np.full(len(got), need(s, got, band, levels[band]), np.int64))
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([THIN], pa.int32()), pa.array([0], pa.int64()), pa.array([np.array(sorted(thin), np.int64).tobytes()], pa.binary())], names=["bucket", "kind", "block", "data"])
             if sig:
-                yield from _block_rows(sig, node, needs)
+                yield from _packets(sig, nodes, needs, buckets)
 
-    return _slim(docs).mapInArrow(run, _ROWS)
+    return _slim(docs).mapInArrow(run, _PACKETS)
 
 
 def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
@@ -260,40 +260,59 @@ def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
     return {r.band: r.level for r in _slim(docs).mapInArrow(run, "band int, level int").groupBy("band").agg(F.max("level").alias("level")).collect()}
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """(sig, node, need) of the signatures that several nodes have; a row can come again from another block.
+def shared(packets: DataFrame) -> DataFrame:
+    """(kind, sig, block, idx, node, need): KNOWN rows (sig, block, idx) of the signatures that several nodes have, NAMES rows
+    (block, idx, node, need), THIN rows (node: a band).
 
-    Only a block's least node of a signature goes to the signature's task; the others are known to share it and go anywhere.
+    Only a block's first node of a signature goes to the signature's bucket; the others are known to share it and go anywhere.
     """
+    names = ["kind", "sig", "block", "idx", "node", "need"]
+
+    def out(kind, n, **given):
+        for at in range(0, n, 1 << 16):
+            e = min(n, at + (1 << 16))
+            kinds = {"kind": pa.int32(), "idx": pa.int32()}
+            cols = [pa.array(given[k][at:e], kinds.get(k, pa.int64())) if k in given else pa.nulls(e - at, kinds.get(k, pa.int64())) for k in names[1:]]
+            yield pa.record_batch([pa.array(np.full(e - at, kind, np.int32)), *cols], names=names)
 
     def run(batches):
         held = []
         for b in batches:
-            known, c = b.column(2).is_valid().to_numpy(zero_copy_only=False), b.column(2).fill_null(0).to_numpy()
-            g, v, t = (b.column(k).to_numpy() for k in (0, 1, 3))
-            own = ~known | (v == c)
-            held.append((g[own], v[own], t[own], known[own]))
-            if not own.all():
-                yield pa.record_batch([pa.array(g[~own]), pa.array(v[~own]), pa.array(t[~own])], names=["sig", "node", "need"])
+            for to, kind, block, data in zip(*(x.to_pylist() for x in b.columns)):
+                if kind == OWN:
+                    n = len(data) // 10
+                    w = np.frombuffer(data, np.uint16).reshape(5, n).astype(np.int64)
+                    held.append((w[0] | w[1] << 16 | w[2] << 32 | to << 44, np.full(n, block), (w[3] | (w[4] & 0x7FFF) << 16).astype(np.int32), w[4] >> 15 > 0))
+                elif kind == KNOWN:
+                    n = len(data) // 12
+                    yield from out(KNOWN, n, sig=np.frombuffer(data, np.int64, n), block=np.full(n, block), idx=np.frombuffer(data, np.int32, n, 8 * n))
+                elif kind == NAMES:
+                    n = len(data) // 16
+                    v = np.frombuffer(data, np.int64).reshape(2, n)
+                    yield from out(NAMES, n, block=np.full(n, block), idx=np.arange(n, dtype=np.int32), node=v[0], need=v[1])
+                else:
+                    v = np.frombuffer(data, np.int64)
+                    yield from out(THIN, len(v), node=v)
         if held:
-            g, v, t, k = (np.concatenate(x) for x in zip(*held))
-            # a row that another block knows to be shared stays, whichever of its copies is kept
-            alone = ~np.isin(g, g[k])
-            g, v, t, alone, _, m = _stars(g, v, t, alone)
-            keep = ~alone | (m > 1)
-            g, v, t = g[keep], v[keep], t[keep]
-            for at in range(0, len(g), 1 << 16):
-                e = slice(at, at + (1 << 16))
-                yield pa.record_batch([pa.array(g[e]), pa.array(v[e]), pa.array(t[e])], names=["sig", "node", "need"])
+            g, v, i, k = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(g, kind="stable")
+            g, v, i, k = g[order], v[order], i[order], k[order]
+            first = np.ones(len(g), bool)
+            first[1:] = g[1:] != g[:-1]
+            of = np.cumsum(first) - 1
+            keep = ((np.bincount(of) > 1) | (np.bincount(of, k) > 0))[of]
+            yield from out(KNOWN, int(keep.sum()), sig=g[keep], block=v[keep], idx=i[keep])
 
-    own = F.col("centre").isNull() | (F.col("centre") == F.col("node"))
-    return rows.repartition(F.when(own, F.col("sig")).otherwise(F.xxhash64("sig", "node"))).mapInArrow(run, "sig long, node long, need long")
+    return packets.repartition("bucket").mapInArrow(run, "kind int, sig long, block long, idx int, node long, need long")
 
 
 def members_of(found: DataFrame) -> DataFrame:
     """(sig, node): of each node and band the signatures without the last t - 1, none where fewer than t are shared."""
     t = F.shiftright("need", 20).cast("int")
-    per = found.where(F.col("sig") != THIN).groupBy("node", "need").agg(F.collect_set("sig").alias("sigs"))
+    names = found.where(F.col("kind") == NAMES).select("block", "idx", "node", "need").distinct()
+    rows = found.where(F.col("kind") == KNOWN).select("sig", "block", "idx").join(names, ["block", "idx"], "left")
+    rows = rows.select("sig", F.when(F.col("node").isNull(), F.raise_error(F.lit("a block without names")).cast("long")).otherwise(F.col("node")).alias("node"), "need")
+    per = rows.groupBy("node", "need").agg(F.collect_set("sig").alias("sigs"))
     return per.where(F.size("sigs") >= t).select("node", F.explode(F.slice(F.array_sort("sigs"), F.lit(1), F.size("sigs") - t + 1)).alias("sig")).select("sig", "node")
 
 
@@ -451,9 +470,9 @@ def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = stored(sets_of(docs), "sets")
     found = stored(shared(signature_rows(docs)), "signatures")
-    bands = {r.node for r in found.where(F.col("sig") == THIN).select("node").distinct().collect()}  # bands are few
+    bands = {r.node for r in found.where(F.col("kind") == THIN).select("node").distinct().collect()}  # bands are few
     if bands:
-        found = found.unionByName(stored(shared(thin_rows(docs, thin_levels(docs, bands))), "signatures"))
+        found = found.unionByName(stored(shared(signature_rows(docs, thin_levels(docs, bands))), "signatures"))
     members = stored(members_of(found), "members")
     nodes = members.select("node").distinct()
     drawn = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
