@@ -76,18 +76,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _R = 0x2545F4914F6CDD1D
-_POW: dict[str, np.ndarray] = {}
+_POW: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        inv = pow(_R, -1, 1 << 64)
-        for k, base in (("p", _R), ("i", inv)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POW[k] = np.multiply.accumulate(a)
-    return _POW["p"][:n], _POW["i"]
+def _powers(n: int, kept: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse up to n - 1 at least; tables of more than `kept` are made anew each time."""
+    if n <= kept and _POW:
+        return _POW[0]
+    both = []
+    for base in (_R, pow(_R, -1, 1 << 64)):
+        a = np.full(max(n, kept), base, np.uint64)
+        a[0] = 1
+        both.append(np.multiply.accumulate(a))
+    if n <= kept:
+        _POW.append((both[0], both[1]))
+    return both[0], both[1]
 
 
 def byte_codes(seed: int) -> np.ndarray:
@@ -95,14 +98,24 @@ def byte_codes(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the runs that begin at `starts`, over the bytes marked `inside`."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, inv = _powers(len(data))
-    v = codes[data] * p
-    v[~inside] = 0
-    return mix64(np.add.reduceat(v, starts) * inv[starts])
+def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, codes: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """64-bit polynomial hashes of the runs that begin at `starts`, over the bytes marked `inside`.
+
+    Works on pieces of whole runs, so that the memory it takes does not grow with the data.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = int(np.searchsorted(starts, a + piece))
+        end = starts[j] if j < len(starts) else len(data)
+        p, inv = _powers(end - a)
+        v = codes[data[a:end]] * p[: end - a]
+        v[~inside[a:end]] = 0
+        at = starts[i:j] - a
+        out[i:j] = mix64(np.add.reduceat(v, at) * inv[at])
+        i = j
+    return out
 
 
 def first_of_runs(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrag.llm import audio, digest, htmltree, langid, mixing, packing, partenum, quality, secretscan, sharding
+from sparkrag.llm import audio, common, digest, htmltree, langid, mixing, packing, partenum, quality, secretscan, sharding
 from sparkrag.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, node string, rank string, shard string"
@@ -356,3 +356,13 @@ def test_pipeline_stages_take_effect(spark):
     rows = docs.collect()
     assert len({r.text for r in rows}) == len(rows) and not any(secretscan.base_spans(r.text) for r in rows)
     assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, DIR).collect()} == {r.doc_id for r in rows}
+
+
+def test_hashes_of_runs_do_not_depend_on_pieces():
+    data = np.frombuffer(b"a bb  " + b"x" * 40 + b" a bb", np.uint8)
+    inside = data != 32
+    starts = common.first_of_runs(inside, np.array([0, len(data)]))
+    whole = common.run_hashes(data, starts, inside, common.byte_codes(23))
+    assert all((common.run_hashes(data, starts, inside, common.byte_codes(23), piece) == whole).all() for piece in (1, 7, 50))
+    assert whole[0] == whole[3] and whole[1] == whole[4] and len(set(whole)) == 3
+    assert not len(common.run_hashes(data[:0], starts[:0], inside[:0], common.byte_codes(23)))
