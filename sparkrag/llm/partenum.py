@@ -383,7 +383,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = stored(small, name)
         # done when no parent has a parent itself and no node has two
         deeper = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
-        if deeper.isEmpty():
+        twice = edges.groupBy("u").count().where("count > 1")
+        if deeper.isEmpty() and twice.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

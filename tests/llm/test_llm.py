@@ -142,6 +142,39 @@ def test_similar_sets_share_a_signature():
             assert shared
 
 
+def test_components_join_nodes_with_two_parents(spark):
+    rng = random.Random(6)
+    graphs = [[(40, 30), (50, 30), (40, 10), (50, 20)], *([(rng.randrange(60), rng.randrange(60)) for _ in range(50)] for _ in range(2))]
+    for edges in graphs:
+        parent = {x: x for e in edges for x in e}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        got = [tuple(r) for r in partenum.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        # a root may stand for itself or be left out
+        assert sorted(r for r in got if r[0] != r[1]) == sorted((x, find(x)) for x in linked if find(x) != x)
+
+
+def test_chains_are_one_class(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in range(3):
+        w = words(rng, 200).split(" ")
+        for k in range(25):
+            rows.append((1000 * (k % 5) + 25 * c + k, " ".join(w)))
+            w[8 * k % 200 : 8 * k % 200 + 8] = words(rng, 8).split(" ")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and len({c for _, c in want.values()}) == 3
+
+
 def test_keep_one_keeps_the_least(docs):
     kept = [r.doc_id for r in partenum.keep_one(docs).select("doc_id").collect()]
     want = {i for i, (_, c) in brute_classes([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]).items() if i == c}
