@@ -63,7 +63,7 @@ def shingle_sets(col: pa.Array) -> list[np.ndarray]:
     at = np.searchsorted(starts, o)
     m = len(words)
     grams = np.zeros(max(0, m - WIDTH + 1), U)
-    for k in range(WIDTH):
+    for k in range(WIDTH if m >= WIDTH else 0):
         grams += words[k : m - WIDTH + 1 + k] * _STEP[k]
     grams = mix64(grams)
     out = []

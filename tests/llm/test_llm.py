@@ -126,6 +126,19 @@ def test_small_cells_give_the_same_classes(docs):
     assert got == {k: v[1] for k, v in brute_classes([(r.doc_id, r.text) for r in sub.collect()]).items()}
 
 
+def test_blocks_of_one_short_text():
+    for n in range(7):
+        text = " ".join("abcdef"[:n])
+        (alone,) = partenum.shingle_sets(pa.array([text]))
+        among = partenum.shingle_sets(pa.array(["u v w x y z", text, "s t"]))[1]
+        assert len(alone) == (max(1, n - 4) if n else 0) and np.array_equal(alone, among)
+
+
+def test_a_table_of_three_words(spark):
+    one = spark.createDataFrame([(7, "just three words")], "doc_id long, text string")
+    assert [tuple(r) for r in partenum.classes(one).collect()] == [(7, 1, 7)]
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in (1, 4, 5, 9, 20, 90, 400, 3000):
