@@ -332,6 +332,17 @@ def test_quality_orders_grades(spark, docs, empty):
     assert quality.fit(d, labels.where("false")) is None
 
 
+def test_rare_words_of_the_middle_grade_have_weight():
+    rng = random.Random(9)
+    text = lambda g, k: words(rng, 60) + ("", f" badone{'xyz'[k % 3]}", "")[g] + (" junk" if g == 0 else "")
+    grades = [0] * 60 + [1] * 24 + [2] * 400
+    at, feats, dense = quality.features(pa.array([text(g, k) for k, g in enumerate(grades)]), 18)
+    model = quality.Ordinal(18).fit(at, feats, dense, np.array(grades))
+    new = quality.features(pa.array([text(1, k) for k in range(30)] + [text(2, k) for k in range(30)]), 18)
+    keep = model.tails(model.score(*new))[:, 1] >= 0.5
+    assert keep[:30].sum() <= 3 and keep[30:].sum() >= 27
+
+
 def test_features_equal_a_plain_count():
     at, feats, dense = quality.features(pa.array(["ab AB cd!!", None, ""]), 18)
     assert list(np.diff(at)) == [3, 0, 0]  # ab, cd, !!
