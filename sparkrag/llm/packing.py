@@ -147,7 +147,7 @@ class CachedTokenizer:
     The pre-tokeniser always begins a new token at a space that stands between two characters that are not white
     space, so such a text is the concatenation of its parts. A part seen for the first time is merged by the same
     file's vocabulary and splitting rule in tiktoken, which is quicker for single words; texts with other
-    spaces go through `tokenizers` whole. The ids are the same either way (tests hold them against `tokenizers`).
+    spaces or an added token (such as <|endoftext|>) go through `tokenizers` whole. The ids are the same either way (tests hold them against `tokenizers`).
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -156,10 +156,10 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         added = {t["content"] for t in model.get("added_tokens", ())}
+        self.added = sorted(added)
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
         self.quick = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -185,7 +185,7 @@ class CachedTokenizer:
         for i, parts in enumerate(cut):
             head = parts[0]
             try:
-                if not head or head[-1].isspace():
+                if not head or head[-1].isspace() or any(a in texts[i] for a in self.added):
                     raise KeyError
                 out.append(np.array(quick(head), np.uint32).tobytes() + b"".join([known[p] for p in parts[1:]]))
             except KeyError:

@@ -53,6 +53,15 @@ def test_tokenizer_equals_the_library():
     assert t.encode(odd) == [np.array(e.ids, np.uint32).tobytes() for e in t.tok.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    odd = ["<|endoftext|> hi", "<|endoftext|>", "one two<|endoftext|>three four", "a <|endoftext|> b", "x  <|endoftext|>", "<|endoftext|", "a <| endoftext|> b", "one two"]
+    assert packing.CachedTokenizer(tokenizer_path()).encode(odd) == [np.array(fresh.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in odd]
+    assert fresh.encode(odd[0], add_special_tokens=False).ids[0] == fresh.token_to_id("<|endoftext|>")
+
+
 def test_best_fill_equals_enumeration():
     rng = random.Random(2)
     for _ in range(200):
