@@ -1,7 +1,9 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests that adds spans of unknown kinds.
 
-The battery looks at every maximal run of token characters that no base span covers. For the encoding inferred
-from its alphabet (hex, base32, base36, base62, base64) it computes chi-squared uniformity over the alphabet,
+The battery looks at every maximal run of 20 token characters or more in what no base span covers. '=' ends a run, except as padding at its end; a run
+that mixes + or / with - or _ is cut at either pair, and of overlapping pieces the more random one counts. Letters alone are a run like
+any other, and the tests decide: by chance a base62 key may hold no digit. For the encoding inferred from its alphabet
+(hex, base32, base36, base62, base64) it computes chi-squared uniformity over the alphabet,
 a runs test (symbols above and below the middle of the alphabet) and the lag-1 serial correlation. Each is a
 p-value under "uniformly random". Random strings keep all three; words fail at least one. How often a word of the
 same length keeps them is the false-discovery side: it is tabulated once per length from words drawn from a letter model (seeded), and
@@ -32,8 +34,10 @@ KINDS = ("assign", "access", "hex", "random")
 # The same matches found faster: a maximal hex or access run that is too short can hold no longer one.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(r"[0-9]")
+# '=' ends a run; one or two at its end that no token character follows are padding.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+# What base64 and base64url leave of a run that mixes the two.
+_PIECES = (re.compile(r"[A-Za-z0-9+/]{20,}(?:={1,2}$)?"), re.compile(r"[A-Za-z0-9_-]{20,}(?:={1,2}$)?"))
 
 ENCODINGS = {
     "hex": "0123456789abcdef",
@@ -131,19 +135,31 @@ def discovery_p(score: float, length: int) -> float:
     return p * math.exp(-(length - 20) / 8) if above == 0 and length > 20 else p
 
 
+def candidates(text: str, taken: list[tuple[int, int]]):
+    """The token runs (start, end) that no base span covers, or what is left of them beside base spans."""
+    at = 0
+    for x, y in [*sorted(taken), (len(text), len(text))]:
+        if x - at >= 20:
+            yield from (m.span() for m in _CANDIDATE.finditer(text, at, x))
+        at = max(at, y)
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], alpha: float, q: float) -> list[tuple[int, int]]:
     found = []
-    for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        token = m.group()
-        if not _DIGIT.search(token) or token.isdigit():
-            continue
-        if any(s < y and x < e for x, y in taken):
-            continue
-        r = randomness(token)
-        if r is None or r[1] < alpha:
-            continue
-        found.append((discovery_p(r[1], e - s), s, e))
+    for s, e in candidates(text, taken):
+        token = text[s:e]
+        parts = [(0, e - s)] if infer(token.rstrip("=")) else [m.span() for rx in _PIECES for m in rx.finditer(token)]
+        scored = []
+        for x, y in parts:
+            r = randomness(token[x:y])
+            if r is not None and r[1] >= alpha:
+                scored.append((discovery_p(r[1], y - x), s + x, s + y))
+        # pieces by the two alphabets may overlap: the better one stays
+        own: list[tuple[float, int, int]] = []
+        for c in sorted(scored):
+            if all(c[2] <= x or y <= c[1] for _, x, y in own):
+                own.append(c)
+        found += own
     found.sort()
     keep, m = 0, len(found)
     for i, (p, _, _) in enumerate(found, 1):

@@ -276,6 +276,31 @@ def test_secrets(spark, docs, empty):
     assert r.text == '[secret]" [secret]' and r.n_chars == len(r.text) and secretscan.redact(docs).columns == docs.columns
 
 
+def test_every_run_reaches_the_battery():
+    rng = random.Random(21)
+    key = lambda name, n=40: "".join(rng.choice(secretscan.ENCODINGS[name]) for _ in range(n))
+    letters = lambda: "".join(c for c in key("base62", 80) if c.isalpha())[:40]
+    makers = {
+        "AWS_SECRET_ACCESS_KEY=": lambda: key("base64"),
+        "AUTH=": lambda: key("base62"),
+        "see ": letters,
+        "my_key_": lambda: key("base64", 44),  # + and / beside _
+        "24be64439e3e49cf46b2/": lambda: key("base62"),  # beside a hex span
+    }
+    for before, make in makers.items():
+        found = 0
+        for _ in range(40):
+            k = make()
+            text = f"x {before}{k} y"
+            at = text.index(k)
+            found += any(s <= at and at + len(k) <= e for s, e, kind in secretscan.scan(text)[1] if kind == "random")
+        assert found >= 30, (before, found)
+    text = "x AUTH=" + "Zk3" * 8 + "== password=abcdefghijkl9 y"
+    assert [text[s:e] for s, e in secretscan.candidates(text, [(s, e) for s, e, _ in secretscan.base_spans(text)])] == ["Zk3" * 8 + "=="]
+    names = ["ConfigurationManagerServiceHandler", "path/to/my_internet-service/validation", "donaudampfschifffahrtsgesellschaft"]
+    assert not any(secretscan.scan(n)[1] for n in names)
+
+
 # ---- audio
 
 
