@@ -51,7 +51,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Tokenizers, fits and classes have no SQL form; tests/llm holds the run against a brute-force version.
+# Tokenizers, fits and classes have no SQL form; tests/llm runs the stages on a small table and looks at their columns,
+# unequal texts, absent base spans and doc_ids; no test holds run() against a plain version.
 ORACLE_SQL: str | None = None
 
 
