@@ -1,19 +1,24 @@
 """Jaccard join on word shingles by PartEnum signatures.
 
-Sets of one size band can only be similar enough if they differ in few elements: with J >= 0.8 at most (a + b) / 9 of
-them. A hash deals the shingle domain into P partitions, P a little more than that bound, so two similar sets hold exactly the same
-elements in at least one partition that is not empty. A set's signatures are the hashes of (band, partition, its
-elements there); similar sets share one. (This is the enumeration with all subsets of size one at its second level.)
+Sets of one size band can only be similar enough if they differ in few elements: with J >= 0.8 at most k = (a + b) // 9 of
+them. A hash deals the shingle domain into G groups of CELLS = 3 partitions, and of each group every subset of two partitions is
+enumerated: a signature is the hash of (band, group, partition left out, elements in the other two), if they hold any. Two similar sets
+that differ in at most one partition of some group hold exactly the same elements in two partitions of it; with 2 G > k there is such a group,
+so similar sets share a signature. A group costs three signatures for two differing elements, each over twice as many elements as
+one partition each would give.
+
+Empty partitions weaken this: a group whose elements fill two or three of its partitions stands two differing elements, one that
+fills a single partition one, an empty one none. A set whose groups stand no more than k in all has too few; G has a
+slack that makes such sets rarer than one in a million, and where one occurs its whole band is signed again with four times the groups.
 
 Bands grow by 1/0.8. A set of size n signs its own band, and the next one if a set of that band can still be similar to it, so every
-pair meets in the band of its larger set. A signature needs more non-empty partitions than differing ones; the rare set that has too
-few (all its elements in few partitions) makes its whole band be signed again with four times the partitions.
+pair meets in the band of its larger set. Sets of up to three elements are only similar if equal, and have no signatures.
 
 From signatures to classes, linear in the signatures:
 1. Equal sets are one node. Within a block of rows and then over all blocks the signatures of a single node go; a hot
    signature sends one row a block to its task.
-2. Similar sets share not one but at least t = non-empty partitions - differing elements of a node's signatures in a band.
-   So a node with fewer shared ones than its t has no partner there, and of the others the last t - 1 in order of
+2. Similar sets share not one but at least t signatures in a band: those that are left when k differing elements fall where they
+   spoil most (the first in a group spoils two, the second the third). So a node with fewer shared ones than its t has no partner there, and of the others the last t - 1 in order of
    the signature can go: the first common signature of a similar pair stays with both.
 3. What remains forms a star a signature around its least node. Pairs of node and centre are held against size and a parity sketch
    (whose distance never exceeds the true one). Of those that pass each node is compared with the centre it shares most signatures with, then
@@ -104,16 +109,22 @@ _EDGES = band_edges()
 
 
 def bands_of(n: int) -> list[int]:
-    """The band of size n, and the next if it holds a size that n can be similar to."""
+    """The band of size n, and the next if it holds a size that n can be similar to; none where only equal sets are similar."""
+    if n < 4:
+        return []
     b = int(np.searchsorted(_EDGES, n))
     return [b, b + 1] if (int(_EDGES[b]) + 1) * 4 <= n * 5 else [b]
 
 
-def partitions(band: int, level: int) -> int:
+CELLS = 3  # partitions of a group; each subset of CELLS - 1 of them is a signature
+#: Groups of the bands of the smallest sets, by the largest size, which need more lest all elements fall into one.
+_FEW = {5: 64, 7: 12, 10: 10, 13: 7, 17: 7, 22: 7}
+
+
+def groups(band: int, level: int) -> int:
     most = int(_EDGES[band])
-    bound = 2 * most // 9
-    # small sets need more partitions, lest their elements share too few of them
-    return (bound + 2 + bound // 10 + (4096 if most <= 24 else 240 if most <= 64 else 24)) << 2 * level
+    enough = 2 * most // 9 // 2 + 1
+    return _FEW.get(most, enough + 3 + most // 500) << 2 * level
 
 
 def most_differing(n: int, band: int) -> int:
@@ -122,19 +133,29 @@ def most_differing(n: int, band: int) -> int:
     return (n + other) // 9
 
 
-def signatures(s: np.ndarray, band: int, level: int = 0) -> np.ndarray | None:
-    """The set's signatures in a band, None where too few partitions hold elements."""
-    p = partitions(band, level)
+def signatures(s: np.ndarray, band: int, level: int = 0) -> tuple[np.ndarray, int] | None:
+    """The set's signatures in a band and how many of them a similar set has at least; None where its groups stand too little."""
+    g = groups(band, level)
     h = mix64(s ^ U(band * 64 + level + 1))
-    part = ((h >> U(32)) * U(p)) >> U(32)
-    order = np.argsort(part, kind="stable")
-    part, h = part[order], h[order]
-    first = np.ones(len(part), bool)
-    first[1:] = part[1:] != part[:-1]
+    cell = (((h >> U(32)) * U(CELLS * g)) >> U(32)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell, h = cell[order], h[order]
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
     at = np.flatnonzero(first)
-    if len(at) <= most_differing(len(s), band):
+    held = np.zeros(CELLS * g, U)
+    held[cell[at]] = mix64(np.add.reduceat(mix64(h + U(77)), at) + U(band)) | U(1)
+    held = held.reshape(g, CELLS)
+    filled = (held != 0).sum(axis=1)
+    full, half, k = int((filled > 1).sum()), int((filled == 1).sum()), most_differing(len(s), band)
+    if 2 * full + half <= k:
         return None
-    return mix64(np.add.reduceat(mix64(h + U(77)), at) + (part[at] << U(8)) + U(band))
+    # what k differing elements leave: the first in a group spoils two signatures, a second one the third
+    least = 3 * full + 2 * half - 2 * min(k, full + half) - max(0, k - full - half)
+    a, b = held[:, [1, 0, 0]], held[:, [2, 2, 1]]
+    named = np.arange(CELLS * g, dtype=U).reshape(g, CELLS)
+    v = mix64(a * _STEP[1] + b * _STEP[2] + named * _STEP[3])
+    return v[(a != 0) | (b != 0)], least
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -143,9 +164,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(c.astype(np.uint8))
 
 
-def need(s: np.ndarray, signed: np.ndarray, band: int, level: int) -> int:
+def need(least: int, band: int, level: int) -> int:
     """The least number of its signatures that a set shares with a similar one, with band and level, in one number."""
-    return (len(signed) - most_differing(len(s), band)) << 20 | band << 8 | level
+    return least << 20 | band << 8 | level
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -204,13 +225,20 @@ def _packets(sig: list, nodes: list, needs: list, buckets: int):
         yield pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["bucket", "kind", "block", "data"])
 
 
-def signature_rows(docs: DataFrame, levels: dict[int, int] | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def bucket_count(docs: DataFrame, bytes_each: int = 8 << 20) -> int:
+    """Buckets of signatures: by the size of the table that the planner states, so that one of them fits in a task's memory at any size;
+    at least two a shuffle partition, at most 2^19. Where the planner knows no size (over 2^50 bytes) two a shuffle partition it is."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 1 << 50 else 0
+    return min(1 << 19, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each))
+
+
+def signature_rows(docs: DataFrame, levels: dict[int, int] | None = None, block_bytes: int = 3 << 20) -> DataFrame:
     """Packets of the signatures of all sets; with levels, of the bands named there only, at these levels.
 
-    A THIN packet names bands with a set of too few partitions.
+    A THIN packet names bands with a set whose groups stand too little.
     """
-    # at most 2^19 buckets of signatures
-    buckets = min(1 << 19, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs)
 
     def run(batches):
         for b in blocks(batches, "text", block_bytes):
@@ -229,11 +257,11 @@ def signature_rows(docs: DataFrame, levels: dict[int, int] | None = None, block_
                         if got is None:
                             thin.add(band)
                         else:
-                            sig.append(got)
+                            sig.append(got[0])
                             nodes.append(k)
-                            needs.append(need(s, got, band, level))
+                            needs.append(need(got[1], band, level))
             if thin and levels is not None:
-                raise RuntimeError("a set has too few partitions at its band's level")
+                raise RuntimeError("a set's groups stand too little at its band's level")
             if thin:
                 yield pa.record_batch([pa.array([0], pa.int32()), pa.array([THIN], pa.int32()), pa.array([0], pa.int64()), pa.array([np.array(sorted(thin), np.int64).tobytes()], pa.binary())], names=["bucket", "kind", "block", "data"])
             if sig:
@@ -243,7 +271,7 @@ def signature_rows(docs: DataFrame, levels: dict[int, int] | None = None, block_
 
 
 def thin_levels(docs: DataFrame, bands: set[int]) -> dict[int, int]:
-    """The levels at which every set of the bands has enough partitions."""
+    """The levels at which the groups of every set of the bands stand enough."""
 
     def run(batches):
         need: dict[int, int] = {}
@@ -264,7 +292,8 @@ def shared(packets: DataFrame) -> DataFrame:
     """(kind, sig, block, idx, node, need): KNOWN rows (sig, block, idx) of the signatures that several nodes have, NAMES rows
     (block, idx, node, need), THIN rows (node: a band).
 
-    Only a block's first node of a signature goes to the signature's bucket; the others are known to share it and go anywhere.
+    Only a block's first node of a signature goes to the signature's bucket; the others are known to share it and go anywhere. A task holds
+    one bucket at a time, whose size does not grow with the table (`bucket_count`).
     """
     names = ["kind", "sig", "block", "idx", "node", "need"]
 
@@ -275,10 +304,25 @@ def shared(packets: DataFrame) -> DataFrame:
             cols = [pa.array(given[k][at:e], kinds.get(k, pa.int64())) if k in given else pa.nulls(e - at, kinds.get(k, pa.int64())) for k in names[1:]]
             yield pa.record_batch([pa.array(np.full(e - at, kind, np.int32)), *cols], names=names)
 
+    def own(held):
+        g, v, i, k = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        first = np.ones(len(g), bool)
+        first[1:] = g[1:] != g[:-1]
+        of = np.cumsum(first) - 1
+        keep = ((np.bincount(of) > 1) | (np.bincount(of, k[order]) > 0))[of]
+        order = order[keep]
+        yield from out(KNOWN, len(order), sig=g[keep], block=v[order], idx=i[order])
+
     def run(batches):
-        held = []
-        for b in batches:
+        held, at = [], None  # the packets of one bucket
+        for b in blocks(batches, "data", 8 << 20):
             for to, kind, block, data in zip(*(x.to_pylist() for x in b.columns)):
+                if to != at and held:
+                    yield from own(held)
+                    held = []
+                at = to
                 if kind == OWN:
                     n = len(data) // 10
                     w = np.frombuffer(data, np.uint16).reshape(5, n).astype(np.int64)
@@ -294,16 +338,9 @@ def shared(packets: DataFrame) -> DataFrame:
                     v = np.frombuffer(data, np.int64)
                     yield from out(THIN, len(v), node=v)
         if held:
-            g, v, i, k = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(g, kind="stable")
-            g, v, i, k = g[order], v[order], i[order], k[order]
-            first = np.ones(len(g), bool)
-            first[1:] = g[1:] != g[:-1]
-            of = np.cumsum(first) - 1
-            keep = ((np.bincount(of) > 1) | (np.bincount(of, k) > 0))[of]
-            yield from out(KNOWN, int(keep.sum()), sig=g[keep], block=v[keep], idx=i[keep])
-
-    return packets.repartition("bucket").mapInArrow(run, "kind int, sig long, block long, idx int, node long, need long")
+            yield from own(held)
+
+    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, sig long, block long, idx int, node long, need long")
 
 
 def members_of(found: DataFrame) -> DataFrame:
