@@ -2,7 +2,8 @@
 
 The page is read into a tree of its block elements (inline markup joins the text of the block around it). Every node has
 a hidden state, content or not. Potentials between parent and child depend on the child's tag; a node's own evidence
-comes from its tag, its class/id/role words, the length and link share of its own text and its place in the page. Sum-product messages
+comes from its tag, its class/id/role words, the length and link share of its own text and its place in the page; like siblings share
+their evidence, lest a run of short paragraphs outvote the rest of an article. Sum-product messages
 go up from the leaves and down from the root, which gives each node's exact marginal; text whose node is content with
 probability >= 0.5 is kept in page order.
 
@@ -24,6 +25,8 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkrag.llm.common import blocks
+
 # Element classes of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,9 +36,13 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section div body main aside nav footer header form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag that no > ends before the next < outside quotes is text, so that no part of a page is read over and over.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# End tags of these close whatever is open in them; others stop at cells and parts of the page.
+_OUTER = frozenset("div article section main nav footer header aside form".split())
+_INNER = ("td", "th", "article", "nav", "aside", "footer", "main")
 
 
 class Tree:
@@ -63,13 +70,46 @@ def attribute_words(attrs: str) -> tuple:
     return tuple(sorted(set(out)))
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that the nearest of some tags is found without walking the stack."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes, self.where = tags, [0], defaultdict(list)
+
+    def push(self, node: int) -> None:
+        self.where[self.tags[node]].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, names) -> int:
+        return max((w[-1] for n in names if (w := self.where.get(n))), default=0)
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            self.where[self.tags[self.nodes.pop()]].pop()
+
+
+class _Ends:
+    """Places of end tags by name, each page position looked at once a name."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def after(self, name: str, pos: int) -> tuple[int, int] | None:
+        at = self.found.get(name, (-1, -1))
+        if at is not None and at[0] < pos:
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^<>]*+>?", re.I).search(self.page, pos)
+            at = self.found[name] = m.span() if m else None
+        return at
+
+
 def parse(page: str) -> Tree:
+    """The page's tree, in time linear in its length. Elements without visible text (scripts, styles, head data, graphics, choices) are
+    passed over up to their end tag and do not part the text around them; one without an end tag hides nothing."""
     t = Tree()
     parent, tags, words, runs, size, links = t.parent, t.tag, t.words, t.runs, t.size, t.links
-    stack = [0]
+    stack, ends = _Open(tags), _Ends(page)
     buf: list[str] = []
-    linked, in_link, unseen, at = 0, 0, 0, 0
-    raw_end = None
+    linked, in_link = 0, 0
 
     def flush():
         nonlocal linked
@@ -77,33 +117,25 @@ def parse(page: str) -> Tree:
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                node = stack[-1]
+                node = stack.nodes[-1]
                 runs.append((node, text))
                 size[node] += len(text)
                 links[node] += min(linked, len(text))
         linked = 0
 
     def close_to(names, stop):
-        nonlocal unseen
-        for k in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[k]]
-            if tag in names:
-                flush()
-                for node in stack[k:]:
-                    unseen -= tags[node] in UNSEEN
-                del stack[k:]
-                return
-            if tag in stop:
-                return
+        k = stack.nearest(names)
+        if k and k > stack.nearest(stop):
+            flush()
+            stack.cut(k)
 
     pos, end = 0, len(page)
     while pos < end:
         m = _TOKEN.search(page, pos)
         if m is None:
-            if not unseen:
-                buf.append(page[pos:])
+            buf.append(page[pos:])
             break
-        if m.start() > pos and not unseen:
+        if m.start() > pos:
             part = page[pos : m.start()]
             buf.append(part)
             if in_link:
@@ -113,22 +145,25 @@ def parse(page: str) -> Tree:
         if name is None:
             continue
         name = name.lower()
+        attrs = m.group(3)
+        if name in UNSEEN:
+            if not m.group(1) and name not in VOID and name != "head" and not attrs.endswith("/"):
+                pos = _past(name, ends, page, pos)
+            continue
         if m.group(1):
             if name in INLINE:
                 if name == "a":
                     in_link = 0
-            elif name == "p" or name not in ("html", "body"):
-                close_to((name,), () if name in ("div", "article", "section", "main", "body", "nav", "footer", "header", "aside", "form", "head") else ("td", "th", "article", "nav", "aside", "footer", "main"))
+            elif name not in ("html", "body"):
+                close_to((name,), () if name in _OUTER else _INNER)
             continue
-        attrs = m.group(3)
         if name in INLINE:
             if name == "br" or name == "img":
                 buf.append(" ")
             elif name == "a":
                 in_link = 1
             continue
-        if name in VOID or name in ("html", "body") and not words[0]:
-            flush()
+        if name in VOID and name != "hr" or name in ("html", "body"):
             continue
         flush()
         in_link = 0
@@ -136,36 +171,52 @@ def parse(page: str) -> Tree:
             close_to(("p",), SCOPE)
         if name in SAME:
             close_to(SAME[name], SCOPE)
-        if name == "body":
-            close_to(("head",), ())
+        if name == "hr":
             continue
         node = len(parent)
-        parent.append(stack[-1])
+        parent.append(stack.nodes[-1])
         tags.append(name)
         words.append(attribute_words(attrs))
         size.append(0)
         links.append(0)
         if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
-            raw = page[pos : stop.start() if stop else end]
-            pos = stop.end() if stop else end
-            if name not in UNSEEN and not unseen and raw.strip():
+            stop = ends.after(name, pos) or (end, end)
+            raw, pos = page[pos : stop[0]], stop[1]
+            if raw.strip():
                 text = " ".join(_html.unescape(raw).split())
                 runs.append((node, text))
                 size[node] += len(text)
             continue
-        if attrs.endswith("/") and name in ("svg", "path", "iframe"):
-            continue
-        stack.append(node)
-        unseen += name in UNSEEN
+        stack.push(node)
     flush()
     return t
 
 
+def _past(name: str, ends: _Ends, page: str, pos: int) -> int:
+    """The position after an unseen element that begins before pos; nested ones of its name count."""
+    opening = None if name in RAW else re.compile(rf"<{re.escape(name)}(?=[\s/>])", re.I)
+    depth, start = 1, pos
+    while depth:
+        stop = ends.after(name, pos)
+        if stop is None:
+            return len(page) if name in ("script", "style") else start
+        if opening is not None:
+            depth += sum(1 for _ in opening.finditer(page, pos, stop[0]))
+        depth, pos = depth - 1, stop[1]
+    return pos
+
+
 def _level(n: int) -> int:
     return 0 if n == 0 else 1 if n < 25 else 2 if n < 80 else 3 if n < 250 else 4
 
 
+def alike(tree: Tree, keys: list[tuple]) -> list[float]:
+    """Each node's share in the evidence of its like siblings (same parent, tag and kind of text): m of them speak for 1 + log m,
+    as what one short paragraph says is not said anew by the next."""
+    m = Counter((tree.parent[i], k[0], *k[2:5]) for i, k in enumerate(keys))
+    return [(1 + math.log(c)) / c for c in (m[tree.parent[i], k[0], *k[2:5]] for i, k in enumerate(keys))]
+
+
 def evidence_keys(tree: Tree) -> list[tuple]:
     """(tag, words, level of own text, link share, end of sentence, place in page) of each node."""
     n = len(tree.tag)
@@ -189,7 +240,7 @@ class Model:
         self._seen: dict[tuple, float] = {}
 
     def ratio(self, key: tuple) -> float:
-        """Likelihood ratio content : other of a node's own evidence."""
+        """Log of the likelihood ratio content : other of a node's own evidence."""
         r = self._seen.get(key)
         if r is None:
             tag, words, level, share, ends, place = key
@@ -198,7 +249,7 @@ class Model:
             for f in (("text", tag, level, share, ends), ("place", tag, place)):
                 total += e[f] if f in e else e.get((f[0], "*", *f[2:]), 0.0)
             total += sum(e.get(("word", w), 0.0) for w in words)
-            r = math.exp(max(-30, min(30, total)))
+            r = max(-30, min(30, total))
             if len(self._seen) > 200_000:
                 self._seen.clear()
             self._seen[key] = r
@@ -210,7 +261,7 @@ class Model:
         keys = evidence_keys(tree)
         base = self.transition.get("*")
         trans = [self.transition.get(t, base) for t in tree.tag]
-        up0, up1 = [1.0] * n, [self.ratio(k) for k in keys]
+        up0, up1 = [1.0] * n, [math.exp(w * self.ratio(k)) for k, w in zip(keys, alike(tree, keys))]
         to0, to1 = [1.0] * n, [1.0] * n  # each node's message to its parent
         parent = tree.parent
         for i in range(n - 1, 0, -1):
@@ -393,6 +444,9 @@ class _Writer:
         r = self.rng
         if r.random() < 0.8:
             self.leaf("h1", 1, self.heading())
+        if r.random() < 0.12:  # a run of short paragraphs
+            for _ in range(r.randint(4, 40)):
+                self.leaf("p", 1, " ".join(self.words(1, 6)) + r.choice(("", ".")))
         for _ in range(r.randint(1, 14)):
             x = r.random()
             if x < 0.68:
@@ -431,7 +485,6 @@ class _Writer:
     def page(self):
         r = self.rng
         self.out.append("<!DOCTYPE html><html><head><title>t</title></head><body>")
-        self.state += [0, 0]
         depth = r.choice((0, 0, 0, 1, 2))
         for _ in range(depth):
             self.open("div", 1, self.attr(NEUTRAL, 0.8))
@@ -500,7 +553,7 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         m = Model(*made)
-        for b in batches:
+        for b in blocks(batches, "html", 4 << 20):
             texts = [extract(h, m) for h in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
 
