@@ -3,11 +3,13 @@
 The battery looks at every maximal run of 20 token characters or more in what no base span covers. '=' ends a run, except as padding at its end; a run
 that mixes + or / with - or _ is cut at either pair, and of overlapping pieces the more random one counts. Letters alone are a run like
 any other, and the tests decide: by chance a base62 key may hold no digit. For the encoding inferred from its alphabet
-(hex, base32, base36, base62, base64) it computes chi-squared uniformity over the alphabet,
-a runs test (symbols above and below the middle of the alphabet) and the lag-1 serial correlation. Each is a
-p-value under "uniformly random". Random strings keep all three; words fail at least one. How often a word of the
-same length keeps them is the false-discovery side: it is tabulated once per length from words drawn from a letter model (seeded), and
-Benjamini-Hochberg over a document's candidates decides, so a short run needs much better evidence than a long one.
+(hex, base32, base36, base62, base64) it computes chi-squared uniformity over the alphabet, in cells that running text fills unevenly (digits and
+marks, frequent and rare letters of either case), a runs test (symbols above and below the middle of the alphabet) and the lag-1 serial
+correlation. Each is a p-value under "uniformly random"; a run whose score, three times the least of them, is under `alpha` is not random.
+
+False-discovery control is over every run tested in a document. Its null is "a word-like run of the same length and encoding": the log of the score
+of such runs is taken as normal above its median, with the median and ninth decile of 700 runs drawn from a letter model (seeded, once a length),
+so a longer run that looks random is stronger evidence. Benjamini-Hochberg at q decides. A run under `alpha` counts with p-value 1.
 
 Null or empty text: no spans, counts 0, sha256 of the empty string. Repeated rows give repeated results; other
 columns are not looked at.
@@ -24,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkrag.llm.common import blocks
+
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -64,15 +68,28 @@ def _chi2_sf(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(codes: np.ndarray, size: int) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation for symbol codes 0..size-1."""
-    n = len(codes)
-    # classes of the alphabet, so that each is expected 4 times or so
-    g = max(2, min(size, n // 4))
-    c = np.bincount(codes * g // size, minlength=g)
-    share = np.bincount(np.arange(size) * g // size, minlength=g) / size
-    chi = float((((c - n * share) ** 2) / (n * share)).sum())
-    p_chi = _chi2_sf(chi, g - 1)
+# Letters of running text, most frequent first; weights as one by rank.
+_LETTERS = "etaoinshrdlucmfwypvbgkqjxz"
+_WEIGHTS = 1 / np.arange(1.0, 27.0)
+_FREQUENT = frozenset(_LETTERS[:10])
+
+
+def _cell(c: str) -> int:
+    """Digits and marks 0, frequent and rare upper-case letters 1 and 2, lower-case ones 3 and 4."""
+    return 0 if not c.isalpha() else 1 + 2 * c.islower() + (c.lower() not in _FREQUENT)
+
+
+_CELLS = {k: np.array([_cell(c) for c in v]) for k, v in ENCODINGS.items()}
+
+
+def battery(codes: np.ndarray, encoding: str) -> tuple[float, float, float]:
+    """p-values of uniformity, runs and serial correlation for symbol codes of an encoding."""
+    n, size = len(codes), len(ENCODINGS[encoding])
+    cells = _CELLS[encoding]
+    share = np.bincount(cells, minlength=5) / size
+    c = np.bincount(cells[codes], minlength=5)[share > 0]
+    want = n * share[share > 0]
+    p_chi = _chi2_sf(float(((c - want) ** 2 / want).sum()), len(want) - 1)
     high = codes * 2 >= size
     a = int(high.sum())
     b = n - a
@@ -97,42 +114,47 @@ def randomness(token: str) -> tuple[str, float] | None:
     if kind is None:
         return None
     codes = np.fromiter((kind[1][c] for c in body), np.int64, len(body))
-    return kind[0], min(1.0, 3 * min(battery(codes, len(kind[1]))))
+    return kind[0], min(1.0, 3 * min(battery(codes, kind[0])))
 
 
-# Letter weights of running text, most frequent first.
-_LETTERS = "etaoinshrdlucmfwypvbgkqjxz"
-_WEIGHTS = 1 / np.arange(1.0, 27.0)
+def word_like(rng: np.random.Generator, length: int, style: int) -> str:
+    """Letters of the letter model cut into words of 3 to 8: plain, CamelCase, with separators, with a number at the end, CamelCase with one, upper case, and that with one."""
+    s = "".join(_LETTERS[k] for k in rng.choice(26, length, p=_WEIGHTS / _WEIGHTS.sum()))
+    marks = set(np.cumsum(rng.integers(3, 9, length)).tolist())
+    if style in (1, 4):
+        s = "".join(c.upper() if k == 0 or k in marks else c for k, c in enumerate(s))
+    if style == 2:
+        mark = "-_/"[int(rng.integers(3))]
+        s = "".join(mark if k in marks else c for k, c in enumerate(s))
+    if style in (3, 4, 6):
+        n = int(rng.integers(1, 5))
+        s = s[:-n] + "".join(rng.choice(list("0123456789"), n))
+    return s.upper() if style > 4 else s
+
 
+STYLES = 7
+_FLOOR = 1e-12  # scores below it are alike
 
-@lru_cache(maxsize=None)
-def word_scores(length: int) -> np.ndarray:
-    """Sorted battery scores of 400 word-like runs of a length: capitals and separators between letter-model words."""
+
+@lru_cache(maxsize=1024)
+def word_scores(length: int) -> dict[str | None, tuple[float, float]]:
+    """Median and upper deviation (0.5 at least) of the log score of word-like runs of a length, by encoding; None: of all."""
     rng = np.random.default_rng(length)
-    w = _WEIGHTS / _WEIGHTS.sum()
-    out = []
-    for i in range(400):
-        s = "".join(_LETTERS[k] for k in rng.choice(26, length, p=w))
-        cut = np.cumsum(rng.integers(3, 9, length))
-        marks = [c for c in cut if c < length]
-        if i % 4 == 1:
-            s = "".join(c.upper() if k in marks else c for k, c in enumerate(s))
-        elif i % 4 == 2:
-            s = "".join("-_/"[i % 3] if k in marks else c for k, c in enumerate(s))
-        elif i % 4 == 3:
-            s = s[:-2] + str(10 + i % 90)
-        found = randomness(s)
-        out.append(found[1] if found else 0.0)
-    return np.sort(np.array(out))
-
-
-def discovery_p(score: float, length: int) -> float:
-    """How often a word-like run of the length looks as random: falls geometrically beyond the table's reach."""
-    step = min(96, max(16, length // 4 * 4))
-    table = word_scores(step)
-    above = len(table) - int(np.searchsorted(table, score, side="left"))
-    p = (above + 1) / (len(table) + 1)
-    return p * math.exp(-(length - 20) / 8) if above == 0 and length > 20 else p
+    by: dict[str | None, list[float]] = {None: []}
+    for i in range(100 * STYLES):
+        found = randomness(word_like(rng, length, i % STYLES))
+        if found:
+            v = math.log(max(found[1], _FLOOR))
+            by[None].append(v)
+            by.setdefault(found[0], []).append(v)
+    return {k: (float(np.median(v)), max(0.5, float(np.quantile(v, 0.9) - np.median(v)) / 1.2816)) for k, v in by.items() if len(v) >= 30}
+
+
+def discovery_p(score: float, length: int, encoding: str | None = None) -> float:
+    """How often a word-like run of the length and encoding looks as random as the score, by the normal tail of its log."""
+    table = word_scores(length if length < 64 else min(512, length // 32 * 32))
+    middle, deviation = table.get(encoding, table[None])
+    return 0.5 * math.erfc((math.log(max(score, _FLOOR)) - middle) / deviation / math.sqrt(2))
 
 
 def candidates(text: str, taken: list[tuple[int, int]]):
@@ -152,8 +174,8 @@ def random_spans(text: str, taken: list[tuple[int, int]], alpha: float, q: float
         scored = []
         for x, y in parts:
             r = randomness(token[x:y])
-            if r is not None and r[1] >= alpha:
-                scored.append((discovery_p(r[1], y - x), s + x, s + y))
+            if r is not None:
+                scored.append((discovery_p(r[1], len(token[x:y].rstrip("=")), r[0]) if r[1] >= alpha else 1.0, s + x, s + y))
         # pieces by the two alphabets may overlap: the better one stays
         own: list[tuple[float, int, int]] = []
         for c in sorted(scored):
@@ -203,7 +225,7 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, q: float = 0.05) -> DataF
     """One row per document: counts by kind, digest of the base spans, all spans as kind:start:end. One map over the scan, no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches, "text", 8 << 20):
             out = [[] for _ in _OUT]
             for t in b.column(1).to_pylist():
                 base, spans = scan(t, alpha, q)
@@ -225,7 +247,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", alpha: float = 0.01, q: floa
     i_n = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches, i_text, 8 << 20):
             texts = b.column(i_text).to_pylist()
             new = []
             for t in texts:
