@@ -2,14 +2,15 @@
 
 A media column holds WAV bytes: 8-bit unsigned mono PCM here. Features of a clip: the samples are brought to the model's
 rate by a polyphase windowed-sinc filter (rational up / down), cut into overlapped Hann frames, turned into log-mel
-energies and cut into segments of sound by hysteresis (a segment opens above the high threshold and closes below the low one).
-Log-mel values go in tensors of a fixed shape (frames x mels, the last one padded with the floor) with the time span of each, as an
-Arrow fixed_shape_tensor column; segments are spans in milliseconds.
+energies and cut into segments of sound by hysteresis (a segment opens at the first frame of the high threshold or more and closes at the next
+one below the low threshold). Log-mel values go in tensors of a fixed shape (frames x mels, the last one padded with the floor) with the time span
+of each. In Arrow they are a fixed_shape_tensor column (`tensor_column`); Spark has no such type and stores its values, one array of frames * mels
+floats a tensor, which `tensor_column` takes back. Segments are spans in milliseconds.
 
-A clip is worked on in pieces of about `piece` samples with the filter's and the frames' overlap, so memory is bounded by
-the piece and a clip's values do not depend on the rows around it.
+A clip is resampled and transformed in pieces of about `piece` samples with the filter's and the frames' overlap: beside a clip's bytes and its
+tensors, memory is bounded by the piece, and a clip's values do not depend on the rows around it.
 
-Defined results: null text is empty, which gives one block of 64 zero bytes; equal texts give equal values; rows repeat as they come; an empty
+Defined results: null media have no rows in `features`; null text is empty, which gives one block of 64 zero bytes; equal texts give equal values; rows repeat as they come; an empty
 table gives an empty result; other columns are not looked at.
 """
 
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkrag.llm.common import blocks
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -87,7 +90,7 @@ def _phases(up: int, down: int, half: int) -> tuple[np.ndarray, int]:
 
 
 def resample(x: np.ndarray, up: int, down: int, half: int, first: int = 0, count: int | None = None) -> np.ndarray:
-    """Samples first .. first+count of x at rate up/down, by polyphase branches; x is zero outside."""
+    """Samples first .. first+count of x at rate up/down, by polyphase branches; x (8-bit unsigned is scaled to -1..1) is zero outside."""
     rows, side = _phases(up, down, half)
     count = -(-len(x) * up // down) - first if count is None else count
     m = np.arange(first, first + count, dtype=np.int64) * down
@@ -96,7 +99,7 @@ def resample(x: np.ndarray, up: int, down: int, half: int, first: int = 0, count
     part = np.zeros(hi - lo + 1 + 2 * side, np.float32)
     a, b = max(0, lo - side), min(len(x), hi + side + 1)
     if b > a:
-        part[a - (lo - side) : b - (lo - side)] = x[a:b]
+        part[a - (lo - side) : b - (lo - side)] = (x[a:b].astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else x[a:b]
     windows = np.lib.stride_tricks.sliding_window_view(part, 2 * side + 1)
     out = np.empty(count, np.float32)
     for r in range(min(up, count)):  # every up-th output has the same phase and input step `down`
@@ -117,7 +120,7 @@ def _mel(frame: int, rate: int, mels: int) -> np.ndarray:
 
 def log_mel(samples: bytes, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """(frames x mels log energies in dB, energy in dB of each frame); at least one frame."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    x = np.frombuffer(samples, np.uint8)
     total = -(-len(x) * spec.up // spec.down)
     frames = max(1, -(-max(0, total - spec.frame) // spec.hop) + 1)
     window = np.hanning(spec.frame + 1)[:-1].astype(np.float32)
@@ -139,10 +142,11 @@ def log_mel(samples: bytes, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(energy: np.ndarray, low: float, high: float) -> list[tuple[int, int]]:
-    """Runs of frames that reach `high` and last while the energy is at least `low`."""
-    on = energy >= low
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if energy[a:b].max() >= high]
+    """Segments (first frame, frame after the last): each opens at the first frame of `high` or more and closes at the next below `low`."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (energy >= low).astype(np.int8), [0]])))
+    peaks = np.append(np.flatnonzero(energy >= high), len(energy))
+    opened = peaks[np.searchsorted(peaks, edge[::2])]
+    return [(int(a), int(b)) for a, b in zip(opened, edge[1::2]) if a < b]
 
 
 def clip_features(media: bytes, spec: Spec = Spec()) -> dict:
@@ -166,32 +170,46 @@ def feature_string(found: dict) -> str:
     return f"frames={found['frames']};segments={len(found['segments'])};sound_ms={sound};mel={','.join(f'{v:.0f}' for v in mean)};digest={h}"
 
 
-def tensor_column(tensors: list[np.ndarray], spec: Spec = Spec()) -> pa.Array:
-    """An Arrow fixed_shape_tensor column of frames x mels."""
+def tensor_column(tensors: list[np.ndarray] | pa.Array, spec: Spec = Spec()) -> pa.Array:
+    """An Arrow fixed_shape_tensor column of frames x mels, of tensors or of the arrays that Spark stores."""
     shape = (spec.tensor_frames, spec.mels)
-    flat = np.concatenate([t.reshape(-1) for t in tensors]) if tensors else np.zeros(0, np.float32)
-    store = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), shape[0] * shape[1])
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), store)
+    if isinstance(tensors, pa.Array):
+        flat = tensors.flatten()
+    else:
+        flat = pa.array(np.concatenate([t.reshape(-1) for t in tensors]) if tensors else np.zeros(0, np.float32), pa.float32())
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), pa.FixedSizeListArray.from_arrays(flat, shape[0] * shape[1]))
+
+
+_SPAN = "struct<start_ms: long, end_ms: long>"
+_SPANS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+
+
+def _spans(pairs: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start_ms": a, "end_ms": e} for a, e in p] for p in pairs], _SPANS)
+
+
+def _stored(tensors: np.ndarray, spec: Spec) -> pa.Array:
+    """The values of a tensor column (k x frames x mels) as Spark stores them."""
+    return tensor_column([tensors], spec).storage.cast(pa.list_(pa.float32()))
 
 
-def features(media: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """doc_id, part, start_ms, end_ms, tensor (frames * mels floats, the storage of `tensor_column`), segments, for a table (doc_id, media)."""
+def features(media: DataFrame, spec: Spec = Spec(), rows: int = 64) -> DataFrame:
+    """doc_id, part, start_ms, end_ms, tensor (frames * mels floats), segments (of the whole clip), for a table (doc_id, media): a row a tensor, in
+    Arrow batches of `rows`."""
 
     def run(batches):
-        for b in batches:
-            for key, clip in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if clip is None:
+        for b in blocks(batches, "media", 4 << 20):
+            for key, clip in zip(b.column(0).to_pylist(), b.column(1)):
+                if not clip.is_valid:
                     continue
-                f = clip_features(clip, spec)
-                seg = [{"start_ms": a, "end_ms": e} for a, e in f["segments"]]
-                for at in range(0, len(f["spans"]), 64):
-                    spans = f["spans"][at : at + 64]
-                    yield pa.record_batch(
-                        [pa.array([key] * len(spans), pa.int64()), pa.array(range(at, at + len(spans)), pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64()), pa.array([t.ravel() for t in f["tensor"][at : at + 64]], pa.list_(pa.float32())), pa.array([seg] * len(spans), pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])))],
-                        names=["doc_id", "part", "start_ms", "end_ms", "tensor", "segments"],
-                    )
+                f = clip_features(clip.as_py(), spec)
+                for at in range(0, len(f["spans"]), rows):
+                    spans = f["spans"][at : at + rows]
+                    k = len(spans)
+                    start, end = (pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1))
+                    yield pa.record_batch([pa.array([key] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), start, end, _stored(f["tensor"][at : at + rows], spec), _spans([f["segments"]] * k)], names=["doc_id", "part", "start_ms", "end_ms", "tensor", "segments"])
 
-    return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, "doc_id long, part int, start_ms long, end_ms long, tensor array<float>, segments array<struct<start_ms: long, end_ms: long>>")
+    return media.selectExpr("cast(doc_id as long) doc_id", "cast(media as binary) media").mapInArrow(run, f"doc_id long, part int, start_ms long, end_ms long, tensor array<float>, segments array<{_SPAN}>")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -203,18 +221,25 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def text_media(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """Each text stored as a clip, read back and described; one map over the scan."""
+    """Each text stored as a clip, read back and described: digests, tensors (arrays of frames * mels floats) with their time spans, and
+    segments of sound. One map over the scan."""
 
     def run(batches):
-        for b in batches:
-            out = []
+        for b in blocks(batches, "text", 2 << 20):
+            out, tensors, spans, segs = [], [], [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, payload = payload_of(t)
                 media = wav_bytes(payload, spec.rate_in)
                 found = clip_features(media, spec)
                 back = found["samples"]
                 out.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(found)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)] if out else [pa.array([], f.type) for f in _OUT], schema=_OUT)
+                tensors.append(found["tensor"])
+                spans.append(found["spans"])
+                segs.append(found["segments"])
+            ends = pa.array(np.cumsum([0, *(len(t) for t in tensors)]), pa.int32())
+            more = [pa.ListArray.from_arrays(ends, _stored(np.concatenate(tensors), spec)), _spans(spans), _spans(segs)]
+            yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)), *more], names=[*_OUT.names, "tensors", "spans", "segments"])
 
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return slim.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return slim.mapInArrow(run, f"{kinds}, tensors array<array<float>>, spans array<{_SPAN}>, segments array<{_SPAN}>")
