@@ -533,7 +533,8 @@ def classes(docs: DataFrame, cell: int = 2048) -> DataFrame:
             break
         most *= 16
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join below is not tied to the aggregation's partitions and a class of many rows can be split
+    least = stored(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +231,26 @@ def test_shards_hold_the_mixture(docs, empty):
     assert null.text_crc32 == 0
 
 
+def test_shards_equal_a_plain_sort(spark):
+    rng = random.Random(3)
+    rows = [(k if k % 11 else None, words(rng, rng.randint(1, 9)) if k % 7 else None, "hot" if k % 3 else rng.choice(("a", "b", None))) for k in range(500)]
+    df = spark.createDataFrame([*rows, rows[4], rows[4]], "doc_id long, text string, source string")
+    hashed = df.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).withColumn("c", common.crc32_text(F.col("t"))).withColumn("h", F.xxhash64(F.lit(17), "doc_id", "c"))
+    hashed = hashed.withColumn("s", F.coalesce("source", F.lit("\u0000"))).withColumn("hs", F.xxhash64("s")).collect()
+    order = lambda r: (r.h & (1 << 64) - 1, r.doc_id is not None, r.doc_id or 0, r.c)
+    placed = []
+    for source in {r.s for r in hashed}:
+        own = sorted((r for r in hashed if r.s == source), key=order)
+        placed += [((2 * k + 1) / (2 * len(own)), r.hs, r.s, *order(r), r) for k, r in enumerate(own)]
+    placed.sort(key=lambda x: x[:-1])
+    n, want, slots = len(placed), Counter(), Counter()
+    for k, x in enumerate(placed):
+        shard = k * 8 // n
+        want[x[-1].doc_id, x[-1].c, shard, slots[shard]] += 1
+        slots[shard] += 1
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(df, least_buckets=8).collect()) == want
+
+
 # ---- fingerprints
 
 
@@ -262,8 +284,10 @@ def test_colliding_digests_are_split(spark):
 
 def brute_base(t):
     out = []
-    for k, (kind, rx, least, g) in enumerate((("assign", secretscan.ASSIGN, 12, 2), ("access", secretscan.ACCESS, 18, 0), ("hex", secretscan.HEX, 16, 0))):
-        out += [(m.start(), k, m.end(), kind) for m in rx.finditer(t or "") if len(m.group(g)) >= least]
+    rules = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)]
+    for k, (kind, rx, least, g) in enumerate(rules):
+        flags = re.ASCII | (re.IGNORECASE if kind == "assign" else 0)
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(rx, t or "", flags) if len(m.group(g)) >= least]
     return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out))
 
 
@@ -308,6 +332,55 @@ def test_every_run_reaches_the_battery():
     assert not any(secretscan.scan(n)[1] for n in names)
 
 
+@pytest.mark.parametrize("encoding", ["base62", "base64", "base64url", "base36", "BASE36", "base32"])
+def test_recall_of_random_keys_by_length(encoding):
+    rng = random.Random(encoding)
+    for length, least in ((20, 0.75), (24, 0.9), (32, 0.95), (64, 0.95)):
+        found = 0
+        for _ in range(150):
+            key = "".join(rng.choice(secretscan.ENCODINGS[encoding]) for _ in range(length))
+            found += any(k == "random" and e - s >= length for s, e, k in secretscan.scan(f"see {key} here")[1])
+        assert found >= least * 150, (length, found)
+
+
+def test_discovery_control_equals_its_definition():
+    rng = np.random.default_rng(4)
+    text = " ".join([secretscan.word_like(rng, int(rng.integers(20, 50)), k % secretscan.STYLES) for k in range(30)] + ["".join(rng.choice(list(secretscan.ENCODINGS["base62"]), 24 + 2 * k)) for k in range(12)])
+    scored = []
+    for s, e in ((m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text)):
+        score = secretscan.randomness(text[s:e])
+        if score:
+            p = secretscan.discovery_p(score[1], e - s, score[0]) if score[1] >= 0.01 else 1.0
+            scored.append((p, s, e))
+    # the greatest p that is at most q times its share of all tested; all up to it are found
+    limit = max((p for p, *_ in scored if p <= 0.05 * sum(x <= p for x, *_ in scored) / len(scored)), default=-1)
+    assert sorted(secretscan.random_spans(text, [], 0.01, 0.05)) == sorted((s, e) for p, s, e in scored if p <= limit)
+    assert len(scored) >= 40 and limit > 0
+
+
+def test_battery_equals_a_plain_version():
+    rng = random.Random(2)
+    for _ in range(20):
+        word = "".join(rng.choice(secretscan.ENCODINGS["base62"]) for _ in range(rng.randint(20, 60)))
+        alphabet = secretscan.ENCODINGS["base62"]
+        at = [alphabet.index(c) for c in word]
+        n = len(word)
+        frequent = "etaoinshrd"
+        parts = [str.isdigit, lambda c: c.isupper() and c.lower() in frequent, lambda c: c.isupper() and c.lower() not in frequent, lambda c: c.islower() and c in frequent, lambda c: c.islower() and c not in frequent]
+        chi = sum((sum(map(f, word)) - n * sum(map(f, alphabet)) / 62) ** 2 / (n * sum(map(f, alphabet)) / 62) for f in parts)
+        got = secretscan.battery(np.array(at), "base62")
+        assert got[0] == pytest.approx(secretscan._chi2_sf(chi, 4))
+        high = [a >= 31 for a in at]
+        runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+        a, b = sum(high), n - sum(high)
+        mean = 1 + 2 * a * b / n
+        z = (runs - mean) / ((mean - 1) * (mean - 2) / (n - 1)) ** 0.5
+        assert got[1] == pytest.approx(2 * (1 - NormalDist().cdf(abs(z))), abs=1e-9)
+        m = sum(at) / n
+        r = sum((x - m) * (y - m) for x, y in zip(at, at[1:])) / sum((x - m) ** 2 for x in at)
+        assert got[2] == pytest.approx(2 * (1 - NormalDist().cdf(abs(r + 1 / n) * n**0.5)), abs=1e-9)
+
+
 # ---- audio
 
 
@@ -324,12 +397,66 @@ def test_audio_round_trip_and_resampling(docs, empty):
     up = np.zeros(1500)
     up[::5] = x
     assert np.allclose(np.convolve(up, h)[32 : 32 + 1500 : 8], audio.resample(x, 5, 8, 4), atol=1e-5)
-    assert audio.segments(np.array([-9, -4, -1, -4, -9, -4, -9.0]), -5, -2) == [(1, 4)]
+    assert audio.segments(np.array([-9, -4, -1, -4, -9, -4, -9.0]), -5, -2) == [(2, 4)]
     f = audio.clip_features(audio.wav_bytes(b"\x10\xf0" * 4000, 16000))
     col = audio.tensor_column(list(f["tensor"]))
     assert col.type.shape == [64, 24] and len(col) == len(f["spans"])
 
 
+def test_log_mel_equals_a_plain_loop():
+    spec = audio.Spec(piece=500)
+    raw = np.random.default_rng(3).integers(0, 256, 3000, dtype=np.uint8)
+    got, energy = audio.log_mel(raw.tobytes(), spec)
+    y = audio.resample((raw.astype(np.float32) - 128) / 128, spec.up, spec.down, spec.half_taps).astype(float)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(spec.rate / 2) * k / (spec.mels + 1) / 2595) - 1) for k in range(spec.mels + 2)]
+    assert len(got) == max(1, -(-(len(y) - spec.frame) // spec.hop) + 1)
+    for f in range(len(got)):
+        x = [(y[f * spec.hop + i] if f * spec.hop + i < len(y) else 0.0) * (0.5 - 0.5 * np.cos(2 * np.pi * i / spec.frame)) for i in range(spec.frame)]
+        power = np.abs(np.array([sum(x[i] * np.exp(-2j * np.pi * b * i / spec.frame) for i in range(spec.frame)) for b in range(0, spec.frame // 2 + 1)])) ** 2 / spec.frame if f < 2 else np.abs(np.fft.rfft(x)) ** 2 / spec.frame
+        for m in range(spec.mels):
+            total = 0.0
+            for b, p in enumerate(power):
+                hz = b * spec.rate / spec.frame
+                total += p * max(0.0, min((hz - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - hz) / (edges[m + 2] - edges[m + 1])))
+            assert got[f, m] == pytest.approx(10 * np.log10(total + 1e-6), abs=0.02)
+        assert energy[f] == pytest.approx(10 * np.log10(np.mean(np.square(x)) + 1e-6), abs=0.01)
+
+
+def test_segments_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        e = rng.normal(0, 1, int(rng.integers(1, 60)))
+        want, at = [], None
+        for i, v in enumerate([*e, -99.0]):
+            if at is None and v >= 1.0:
+                at = i
+            if at is not None and v < -0.3:
+                want.append((at, i))
+                at = None
+        assert audio.segments(e, -0.3, 1.0) == want
+
+
+def test_audio_features_of_a_media_table(spark, docs):
+    rng = np.random.default_rng(6)
+    clips = [(1, audio.wav_bytes(b"", 16_000)), (2, None), (3, audio.wav_bytes(rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes(), 16_000)), (3, audio.wav_bytes(b"\x80" * 64, 16_000)), (None, audio.wav_bytes(b"\x10\xf0" * 32, 16_000))]
+    media = spark.createDataFrame([(i, m, "x") for i, m in clips], "doc_id long, media binary, part string")
+    rows = audio.features(media).collect()
+    want = [(i, f) for i, m in clips if m is not None for f in [audio.clip_features(m)]]
+    key = lambda x: (x[0], x[1], x[2], x[3], x[4])
+    got = sorted(((r.doc_id or 0, r.part, r.start_ms, r.end_ms, tuple(map(tuple, r.segments)), r.tensor) for r in rows), key=key)
+    want = sorted(((i or 0, k, a, e, tuple(f["segments"]), f["tensor"][k].ravel()) for i, f in want for k, (a, e) in enumerate(f["spans"])), key=key)
+    # the last digits depend on the number of threads of the matrix product
+    assert list(map(key, got)) == list(map(key, want)) and all(np.allclose(x[5], y[5], atol=1e-3) for x, y in zip(got, want))
+    assert audio.features(media.where("false")).count() == 0
+    for r in audio.text_media(docs).collect():
+        f = audio.clip_features(audio.wav_bytes(b"".join([b"\0" * 64]), 16_000)) if r.n_bytes == 0 else None
+        if f:
+            assert r.feature == audio.feature_string(f)
+        col = audio.tensor_column(pa.array(r.tensors, pa.list_(pa.float32())))
+        assert col.type.shape == [64, 24] and len(col) == len(r.spans) and r.spans[0].start_ms == 0 and all(a.end_ms == b.start_ms for a, b in zip(r.spans, r.spans[1:]))
+
+
 # ---- language, quality, mixture
 
 
@@ -384,6 +511,51 @@ def test_rare_words_of_the_middle_grade_have_weight():
     assert keep[:30].sum() <= 3 and keep[30:].sum() >= 27
 
 
+def test_fit_is_the_likelihood_of_a_cumulative_link():
+    rng = np.random.default_rng(11)
+    n = 300
+    lists = [np.unique(rng.integers(0, 40, 6)) for _ in range(n)]
+    at, feats = np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)
+    dense = rng.normal(size=(n, quality.DENSE))
+    grade = np.clip(np.round(0.3 * feats[at[:-1]] / 10 + rng.normal(size=n) * 0.6), 0, 2).astype(int)
+
+    def loss(m):
+        s = m.score(at, feats, dense)
+        edges = np.concatenate([[-np.inf], m.theta, [np.inf]])
+        cdf = lambda x: 1 / (1 + np.exp(-x))
+        return -np.mean([np.log(cdf(edges[g + 1] - v) - cdf(edges[g] - v)) for g, v in zip(grade, s)])
+
+    m = quality.Ordinal(6).fit(at, feats, dense, grade, epochs=600, rate=0.1, batch=n, least_z=0.0, l2=0.0)
+    base = quality.Ordinal(6).fit(at, feats, dense, grade, epochs=0)
+    assert loss(m) < 0.95 * loss(base)
+    # at the maximum the slope in every direction is nearly nothing
+    for k in range(40):
+        m.w[k] += 1e-3
+        up = loss(m)
+        m.w[k] -= 2e-3
+        assert abs(up - loss(m)) / 2e-3 < 0.01
+        m.w[k] += 1e-3
+    for k in range(2):
+        m.theta[k] += 1e-3
+        up = loss(m)
+        m.theta[k] -= 2e-3
+        assert abs(up - loss(m)) / 2e-3 < 0.01
+        m.theta[k] += 1e-3
+    # what it says of a row: tails of the same curve
+    s = m.score(at, feats, dense)
+    assert np.allclose(m.tails(s), 1 - 1 / (1 + np.exp(-(m.theta[None] - s[:, None]))))
+
+
+def test_quality_of_odd_labels(spark, docs):
+    labels = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (3, 1, 1), (3, 1, 1), (6, None, 0), (None, 1, 0), (9, 1, 0), (12, 1, None)], "doc_id long, quality int, toxic int")
+    odd = docs.withColumns({"grade": F.lit("a"), "keep": F.lit("b"), "f": F.lit("c")})
+    model = quality.fit(odd, labels)
+    rows = quality.grade(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r.p_best <= r.p_good <= 1 and abs(r.expected_grade - r.p_best - r.p_good) < 1e-12 for r in rows)
+    assert quality.select(odd, model).columns == odd.columns
+    assert sorted(r.doc_id for r in quality.ratings(labels).collect()) == [0, 0, 3, 3, 9]
+
+
 def test_features_equal_a_plain_count():
     at, feats, dense = quality.features(pa.array(["ab AB cd!!", None, ""]), 18)
     assert list(np.diff(at)) == [3, 0, 0]  # ab, cd, !!
@@ -403,19 +575,73 @@ def test_mixture_meets_targets(spark, docs, empty):
     assert mixing.mix(empty, labels).count() == 0 and mixing.mix(docs, labels.where("false")).count() == docs.count()
 
 
+def test_posteriors_and_rates_equal_a_plain_version(spark):
+    d, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit_domains(d, labels)
+    keep = [F.col("doc_id").cast("long").alias("doc_id")]
+    rows = {r.doc_id: r for r in mixing._features(d, keep).collect()}
+    scored = mixing._scored(d, model, keep)
+    for r in scored.select("doc_id", *(f"p_{k}" for k in mixing.DOMAINS)).collect():
+        x = rows[r.doc_id]
+        score = []
+        for k in range(3):
+            s = np.log(model["prior"][k])
+            if x.tokens:
+                s += model["absent"][k]
+                for j in range(mixing.N_SHARES):
+                    z = (x[f"f{j}"] - model["mean"][k][j]) / model["sd"][k][j]
+                    s += -3 * np.log1p(z * z / 5) - np.log(model["sd"][k][j])
+            score.append(s + sum(model["words"][w][k] for w in x.uniq if w in model["words"]))
+        e = np.exp(np.array(score) - max(score))
+        assert np.allclose(e / e.sum(), [r[f"p_{k}"] for k in mixing.DOMAINS], atol=1e-9)
+    # projected steps of least squares, row by row
+    table = scored.select("tokens", *(f"p_{k}" for k in mixing.DOMAINS)).collect()
+    t, p = np.array([r.tokens for r in table], float), np.array([[r[f"p_{k}"] for k in mixing.DOMAINS] for r in table])
+    steps, found = mixing.fit_rates(scored, mixing.TARGETS)
+    want = np.array([mixing.TARGETS[k] for k in mixing.DOMAINS]) * (t @ p).sum()
+    x, done, seen = np.ones(len(t)), 0, []
+    while done < 24:
+        seen.append(np.linalg.norm((t * x) @ p - want))
+        best = [s for k, s in enumerate(seen) if k == 0 or s < 0.98 * min(seen[:k])]
+        if seen[-1] <= 1e-3 * np.linalg.norm(want) or len(seen) > 3 and not any(s in best for s in seen[-3:]):
+            break
+        g = (p * ((x > 0) * t + mixing.DAMPING * t)[:, None]).T @ p
+        v = np.linalg.solve(g + 1e-9 * np.trace(g) * np.eye(3), (t * x) @ p - want)
+        x, done = np.maximum(0, x - p @ v), done + 1
+    assert done == len(steps) and np.allclose(found["got"], (t * x) @ p, rtol=1e-6)
+
+
+def test_mixture_of_odd_rows(spark, docs):
+    labels = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (3, 1, 1), (3, 1, 1), (6, None, 0), (None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    odd = docs.withColumns({"__row": F.lit(1), "l_id": F.lit("x"), "tokens": F.lit(2), "p_low": F.lit(3)})
+    kept = mixing.select(odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() <= odd.count()
+    assert mixing.mix(odd, labels).count() == odd.count()
+    with pytest.warns(UserWarning, match="miss the targets"):
+        mixing.mix(docs, labels.where("false")).count()  # no rows of two domains
+
+
+def test_copies_have_the_rate_as_mean(spark):
+    rows = spark.range(40_000).select(*(F.sum(mixing.copies_of(F.lit(x), F.col("id"))).alias(str(k)) for k, x in enumerate((0.0, 0.03, 0.97, 1.0, 1.04, 2.5)))).first()
+    assert np.allclose(np.array(rows) / 40_000, (0.0, 0.03, 0.97, 1.0, 1.04, 2.5), atol=0.01)
+
+
 # ---- pages
 
 
 def test_marginals_equal_enumeration():
     model = htmltree.fit(htmltree.labelled_pages(60))
-    tree = htmltree.parse("<body><div class=ad>x y</div><article><h1>T</h1><p>Some text here.</p></article></body>")
+    tree = htmltree.parse("<body><div class=ad>x y</div><article><h1>T</h1><p>Some text here.</p><p>More text here.</p><p>Odd</p></article></body>")
     n, keys = len(tree.tag), htmltree.evidence_keys(tree)
+    share = htmltree.alike(tree, keys)
+    two = (1 + np.log(2)) / 2
+    assert np.allclose(share, [1, 1, 1, 1, two, two, 1])
     weight, on = 0.0, np.zeros(n)
     for code in range(1 << n):
         s = [code >> i & 1 for i in range(n)]
         p = model.root if s[0] else 1 - model.root
         for i in range(n):
-            p *= model.ratio(keys[i]) if s[i] else 1.0
+            p *= np.exp(share[i] * model.ratio(keys[i])) if s[i] else 1.0
             if i:
                 q = model.transition.get(tree.tag[i], model.transition["*"])[s[tree.parent[i]]]
                 p *= q if s[i] else 1 - q
@@ -436,12 +662,45 @@ def test_pages_on_held_out_layouts(spark):
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>One &amp; two.</h1><p><b>First  part.<br>More.<p>Second.</article><div class="comments"><p>Nice one, thanks.</p></div><footer>&copy; x</footer>'
     assert htmltree.extract(page, model) == "One & two.\nFirst part. More.\nSecond."
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
-    assert sorted(r.n_chars for r in htmltree.extract_pages(df, model).collect()) == [0, 0, 35]
+    assert sorted(r.n_chars for r in htmltree.extract_pages(df, model).collect()) == [0, 0, 36]
 
 
 # ---- pipeline
 
 
+def test_unseen_elements_do_not_part_blocks():
+    runs = htmltree.parse("<p>Hi<script>x</script> there</p><p>a<svg><title>t</title></svg>b<select><option>c</select> d <noscript>q</noscript>e<svg>f").runs
+    assert [t for _, t in runs] == ["Hi there", "ab d ef"]
+
+
+def test_runs_of_short_paragraphs_stay():
+    model = htmltree.fit(htmltree.labelled_pages())
+    for n in (1, 5, 40, 400):
+        short = "".join(f"<p>{'No mark' if k % 3 else 'One.'}</p>" for k in range(n))
+        page = f'<body><nav><ul><li><a href="/a">Home</a></ul></nav><div class="ad">Buy now.</div><article><h1>One</h1>{short}<p>{"A longer text with many words. " * 20}</p></article><footer>&copy; x</footer>'
+        got = htmltree.extract(page, model).split("\n")
+        assert len(got) == n + 2 and got[0] == "One", n
+
+
+@pytest.mark.parametrize("bad", ["<a x ", "</p>", "<div></p>", "<div></li>", "<!x", "<svg>", "<p><td><x></p>", '<div class="', "<noscript><noscript></noscript>", "&amp;<li>"])
+def test_hostile_pages_take_linear_time(bad):
+    took = []
+    for size in (50_000, 400_000):
+        at = time.process_time()
+        htmltree.parse(bad * (size // len(bad)))
+        took.append(time.process_time() - at)
+    assert took[1] < 30 * took[0] + 0.5  # a square would be 64 times
+
+
+def test_pages_of_any_kind(spark):
+    long = "<article>" + "<p>Many words make up this paragraph, which ends here.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", long, 0, "x"), (1, "u", long, 0, "x"), (2, None, "", 1, None), (None, "v", "no markup at all", 2, "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")
+    got = htmltree.extract_pages(df).collect()
+    assert len(got) == 4 and got[0] == got[1] and got[0].text.count("\n") == 19_999 and all(r.n_chars == len(r.text) for r in got)
+    assert htmltree.extract_pages(df.where("false")).count() == 0
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as cp
 
