@@ -26,29 +26,59 @@ class Engine:
         return (self.store.table("chunks"), self.store.table("vectors")) if "chunks" in m else None
 
     def ingest(self, docs: DataFrame) -> int:
-        """Documents (source, text and perhaps title, uri, location) into chunks and vectors; returns new chunks. One publish."""
+        """Documents (source, text and perhaps title, uri, location) into chunks, vectors and full-text index; returns new chunks. One publish, which
+        writes the new rows only."""
         for c in ("title", "uri", "location"):
             docs = docs if c in docs.columns else docs.withColumn(c, F.lit(""))
         bad = loaders.problems(docs)
         if not bad.isEmpty():
             raise loaders.LoadError("invalid_request", str(bad.first()))
-        old = self._tables()
+        start, old = self.store.version, self._tables()
         new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), old[0] if old else None)
         top = (old[0].agg(F.max("chunk_id")).first()[0] or 0) if old else 0
-        new = store.numbered(new, ["source", "ord"], top).drop("ord").cache()
+        # written once: what follows reads the rows back and does not depend on executors that held them
+        return self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start)
+
+    def _append(self, rows: DataFrame, start: int, gone: DataFrame | None = None) -> int:
+        """Publish new chunk rows with their vectors and postings; gone: chunk_ids that leave in the same version."""
+        held = self.store.manifest(start)["tables"]
+        part = self.store.write("chunks", rows)
+        new = self.store.read([part])
         n = new.count()
-        chunks = old[0].unionByName(new) if old else new
-        vectors = old[1].unionByName(self._vectors(new)) if old else self._vectors(new)
-        self.store.publish({"chunks": chunks, "vectors": vectors})
-        new.unpersist()
+        index = fts.postings(new, "chunk_id", "text")
+        added = {"chunks": part, "vectors": self.store.write("vectors", self._vectors(new)), "postings": self.store.write("postings", index.postings), "lengths": self.store.write("lengths", index.lengths)}
+        kept = {k: held.get(k, []) for k in added}
+        if gone is not None:
+            kept = {k: [self.store.write(k, self.store.read(v).join(gone, "chunk_id", "left_anti"))] if v else [] for k, v in kept.items()}
+        self.store.publish(parts={k: [*kept[k], v] for k, v in added.items()}, expect=start)
         return n
 
+    def update_source(self, source: str, docs: DataFrame) -> tuple[int, int]:
+        """Replace a source and its parts by new documents in one version: (chunks removed, chunks added)."""
+        start, old = self.store.version, self._tables()
+        for c in ("title", "uri", "location"):
+            docs = docs if c in docs.columns else docs.withColumn(c, F.lit(""))
+        bad = loaders.problems(docs)
+        if not bad.isEmpty():
+            raise loaders.LoadError("invalid_request", str(bad.first()))
+        if old is None:
+            return 0, self.ingest(docs)
+        gone = old[0].where(store.of_source(source)).select("chunk_id")
+        kept = store.without_source(old[0], source)
+        top = old[0].agg(F.max("chunk_id")).first()[0] or 0
+        new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), kept)
+        n = gone.count()
+        return n, self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start, gone)
+
+    def _index(self) -> fts.Index:
+        return fts.Index(self.store.table("postings"), self.store.table("lengths"))
+
     def retrieve(self, query: str, k: int | None = None) -> DataFrame:
         tables = self._tables()
         if tables is None:
             return self.spark.createDataFrame([], "chunk_id long, text string, source string, vec_score double, bm25_score double, final_score double")
         vector = self.model([self.settings.embedding.query_prefix + query])[0]
-        found = retrieval.retrieve(*tables, fts.indexed(tables[0], "chunk_id", "text"), query, vector, self.settings.retrieve, k)
+        found = retrieval.retrieve(*tables, self._index(), query, vector, self.settings.retrieve, k)
         return retrieval.rerank(found, retrieval.lexical_score(F.col("text"), query), self.settings.retrieve) if self.settings.retrieve.rerank else found
 
     def evidence(self, query: str) -> DataFrame:
@@ -59,31 +89,29 @@ class Engine:
         return store.sources(self.store.table("chunks"))
 
     def delete_source(self, source: str) -> int:
-        chunks, vectors = self._tables()
+        start = self.store.version
+        chunks, _ = self._tables()
         gone = chunks.where(store.of_source(source)).select("chunk_id")
         n = gone.count()
-        self.store.publish({"chunks": store.without_source(chunks, source), "vectors": vectors.join(gone, "chunk_id", "left_anti")})
+        self.store.publish({k: self.store.table(k).join(gone, "chunk_id", "left_anti") for k in self.store.manifest(start)["tables"]}, expect=start)
         return n
 
     def reset(self) -> None:
-        chunks, vectors = self._tables()
-        self.store.publish({"chunks": chunks.where("false"), "vectors": vectors.where("false")})
+        self.store.publish({k: self.store.table(k).where("false") for k in self.store.manifest()["tables"]})
 
     def rebuild(self) -> int:
-        """Embed all chunks anew beside the live index, check, cut over. Writes are refused meanwhile, reads go on."""
-        chunks, _ = self._tables()
-        start = self.store.version
-        self.store.frozen = True
+        """Embed all chunks anew beside the live index, check, cut over. Writes are refused meanwhile, by any driver; reads go on."""
+        self.store.freeze()
         try:
-            fresh = self._vectors(chunks).cache()
-            bad = [r for r in store.index_problems(chunks, fresh, self.settings.embedding.dims).collect() if r.n]
+            start = self.store.version
+            chunks, _ = self._tables()
+            part = self.store.write("vectors", self._vectors(chunks))
+            bad = [r for r in store.index_problems(chunks, self.store.read([part]), self.settings.embedding.dims).collect() if r.n]
             if bad:
                 raise store.Conflict(str(bad))
         finally:
-            self.store.frozen = False
-        v = self.store.publish({"vectors": fresh}, expect=start)
-        fresh.unpersist()
-        return v
+            self.store.thaw()
+        return self.store.publish(parts={"vectors": [part]}, expect=start)
 
     def integrity(self) -> DataFrame:
         return store.index_problems(*self._tables(), self.settings.embedding.dims)

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ BLANKS = r"[\t\n\f\r ]"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -112,14 +113,25 @@ def strip_fence(c: Column) -> Column:
     return trim_ws(F.regexp_replace(trim_ws(c), r"^```[a-zA-Z]*\n?|```$", ""))
 
 
-_SECRET = re.compile(r"(?i)\b(?:password|passwd|secret|token|api[_-]?key|authorization|bearer)\b\s*[:=]?\s*\S+|\b[A-Za-z0-9_\-]{32,}\b")
-_URL = re.compile(r"(https?://[^\s?#]+)[?#]\S*")
+# What names a secret before "=" in a word of a query, and what stands for the word then.
+_NAMED = ("key=", "token=", "secret=", "password=")
+_MASK = "[REDACTED]"
+
+
+def _without_query(word: str) -> str:
+    """The word as a URL without its query and fragment; a word that is no URL stays."""
+    try:
+        u = urlsplit(word)
+    except ValueError:
+        return word
+    return urlunsplit((u.scheme, u.netloc, u.path, "", "")) if u.query or u.fragment else word
 
 
 def redact_excerpt(text: str, most: int) -> str:
-    """A query's excerpt: blanks folded, secrets and URL queries off, cut to `most` code points."""
-    s = " ".join(unicodedata.normalize("NFC", text).split())
-    return _SECRET.sub("[redacted]", _URL.sub(r"\1", s))[:most]
+    """A query's excerpt: words that name a secret masked, URLs without query and fragment, trimmed and cut to `most` code points. Blanks stay."""
+    s = unicodedata.normalize("NFC", text)
+    s = re.sub(r"\S+", lambda m: _MASK if any(k in m[0].lower() for k in _NAMED) else _without_query(m[0]), s)
+    return s.strip()[:most] if most > 0 else ""
 
 
 def query_excerpt(c: Column, most: int = 256) -> Column:

@@ -15,23 +15,30 @@ from pyspark.sql import types as T
 from sparkrag.config import Chunk
 from sparkrag.functions.text import cosine, md5_hex, sentences, strip_fence, token_estimate
 
-_ACC = "struct<done: array<string>, buf: string>"
+def _fold(parts: Column, most: int, glue: str) -> Column:
+    """Greedy packing of strings: a part that would exceed `most` tokens begins a new chunk.
 
+    The fold runs over lengths and keeps where chunks begin; each chunk's text is made once, by one slice of the parts.
+    """
 
-def _fold(parts: Column, most: int, glue: str) -> Column:
-    """Greedy packing of strings: a part that would exceed `most` tokens begins a new chunk."""
+    def step(a, n):
+        both = a["n"] + len(glue) + n
+        new = (a["i"] == 0) | (F.floor(both / 3) > most)
+        return F.struct(F.when(new, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"), F.when(new, n).otherwise(both).alias("n"), (a["i"] + 1).alias("i"))
+
+    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def cut(ps):
+        at = F.aggregate(F.transform(ps, lambda x: F.length(x)), zero, step, lambda a: a["at"])
+        ends = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(ps))
+        return _bind(at, lambda starts: F.transform(starts, lambda x, k: F.array_join(F.slice(ps, x + 1, ends(starts, k) - x), glue)))
 
-    def step(a, s):
-        both = F.concat(a["buf"], F.lit(glue), s)
-        over = F.floor(F.length(both) / 3) > most
-        return (
-            F.when(a["buf"] == "", F.struct(a["done"].alias("done"), s.alias("buf")))
-            .when(over, F.struct(F.concat(a["done"], F.array(a["buf"])).alias("done"), s.alias("buf")))
-            .otherwise(F.struct(a["done"].alias("done"), both.alias("buf")))
-        )
+    return _bind(parts, cut)
 
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
-    return F.aggregate(parts, zero, step, lambda a: F.when(a["buf"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["buf"]))))
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _merge_tail(chunks: Column, least: int, glue: str) -> Column:
@@ -42,7 +49,7 @@ def _merge_tail(chunks: Column, least: int, glue: str) -> Column:
 
 def fixed(text: Column, cfg: Chunk = Chunk()) -> Column:
     """Array of chunks: sentences packed to at most max_tokens; a short last chunk joins the one before."""
-    return _merge_tail(_fold(sentences(text), cfg.max_tokens, " "), cfg.min_tokens, " ")
+    return _bind(_fold(sentences(text), cfg.max_tokens, " "), lambda chunks: _merge_tail(chunks, cfg.min_tokens, " "))
 
 
 def exploded(docs: DataFrame, chunks: Column, *keys: str) -> DataFrame:
@@ -52,8 +59,8 @@ def exploded(docs: DataFrame, chunks: Column, *keys: str) -> DataFrame:
 
 # ---- structure
 
-_HEADING = re.compile(r"^(#{1,6})(?:\s+(.*))?$")
-_LIST = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
+_HEADING = re.compile(r"^(#{1,6})(?: (.*))?$")
+_LIST = re.compile(r"^[ \t]*(?:[-*+]|[0-9]+\.) ")
 
 
 @dataclass
@@ -87,14 +94,14 @@ def markdown_blocks(text: str) -> list[Block]:
                 j += 1
             out.append(Block("\n".join(lines[i:j]), atomic=True))
         elif _LIST.match(line):
-            while j < len(lines) and lines[j].strip() and (_LIST.match(lines[j]) or lines[j][0] in " \t"):
+            while j < len(lines) and lines[j] and (_LIST.match(lines[j]) or lines[j][0] in " \t"):
                 j += 1
             out.append(Block("\n".join(lines[i:j]), atomic=True))
         else:
-            while j < len(lines) and lines[j].strip() and not special(lines[j]):
+            while j < len(lines) and lines[j] and not special(lines[j]):
                 j += 1
             out.append(Block("\n".join(lines[i:j])))
-            while j < len(lines) and not lines[j].strip():
+            while j < len(lines) and not lines[j]:
                 j += 1
         i = j
     return out
@@ -109,7 +116,7 @@ def is_markdown(text: str) -> bool:
 
 
 def breadcrumb(stack: list[str], depth: int) -> str:
-    parts = [s for s in stack if s][:depth]
+    parts = stack[:depth]
     return f"[{' > '.join(parts)}]\n" if parts else ""
 
 
@@ -121,23 +128,22 @@ def structure_chunks(text: str, cfg: Chunk) -> list[str]:
     def flush():
         nonlocal buf
         if buf.strip():
-            chunks.append((breadcrumb([t for _, t in stack], cfg.breadcrumb_depth) if cfg.breadcrumb else "") + buf.strip())
+            chunks.append((breadcrumb(stack, cfg.breadcrumb_depth) if cfg.breadcrumb else "") + buf.strip())
         buf = ""
 
     for b in markdown_blocks(text):
         if b.level:
             if _tokens(buf) >= cfg.max_tokens:
                 flush()
-            while stack and stack[-1][0] >= b.level:
-                stack.pop()
-            stack.append((b.level, b.title))
+            # a heading's place in the stack is its level, as far as the stack reaches: levels that are left out do not count
+            stack[b.level - 1 :] = [b.title]
             buf = f"{buf}\n{b.text}" if buf else b.text
             continue
         if buf and _tokens(buf) + _tokens(b.text) > cfg.max_tokens:
             flush()
         if _tokens(b.text) > cfg.max_tokens:
             flush()
-            chunks.append((breadcrumb([t for _, t in stack], cfg.breadcrumb_depth) if cfg.breadcrumb else "") + b.text)
+            chunks.append((breadcrumb(stack, cfg.breadcrumb_depth) if cfg.breadcrumb else "") + b.text)
             continue
         buf = f"{buf}\n{b.text}" if buf else b.text
         if _tokens(buf) >= cfg.max_tokens:
@@ -158,7 +164,7 @@ def _strings(fn: Callable[[str], list[str]]):
 
 def structure(text: Column, cfg: Chunk = Chunk()) -> Column:
     """Structure chunks for Markdown, fixed chunks for other texts (Arrow only for the former)."""
-    marked = text.rlike(r"(?m)^(#{1,6}(\s|$)|```|~~~)")
+    marked = text.rlike(r"(?m)^(#{1,6}( |$)|```|~~~)")
     run = _strings(lambda t: structure_chunks(t, cfg) if t else [])
     return F.when(marked, run(F.when(marked, text))).otherwise(fixed(text, cfg))
 
@@ -168,32 +174,64 @@ def structure(text: Column, cfg: Chunk = Chunk()) -> Column:
 LLM = Callable[[str], str]
 
 
+def boundary_prompt(part: str, cfg: Chunk) -> str:
+    """What the model is asked for a segment of numbered lines."""
+    return f'Cut the text below into parts that each treat one subject, of {cfg.min_tokens} to {cfg.max_tokens} tokens. Answer in JSON only: {{"chunks": [{{"start_line": 1, "end_line": 15, "summary": "..."}}]}}\n\nText:\n{part}'
+
+
+def fixed_chunks(text: str, cfg: Chunk) -> list[str]:
+    """What `fixed` makes of a text, for callers in Python."""
+    out: list[str] = []
+    for s in (x.strip() for x in re.sub(r"([。！？.!?][\t\n\f\r ]*|\n+)", "\\1\x01", text).split("\x01")):
+        if not s:
+            continue
+        if out and _tokens(f"{out[-1]} {s}") <= cfg.max_tokens:
+            out[-1] += f" {s}"
+        else:
+            out.append(s)
+    if len(out) >= 2 and _tokens(out[-1]) < cfg.min_tokens:
+        out[-2:] = [f"{out[-2]} {out[-1]}"]
+    return out
+
+
+def by_form(text: str, cfg: Chunk) -> list[str]:
+    """Structure chunks of Markdown, fixed chunks of other texts."""
+    return structure_chunks(text, cfg) if is_markdown(text) else fixed_chunks(text, cfg)
+
+
+def boundaries(answer: str) -> list[dict]:
+    """The model's line ranges; ValueError where the answer has none."""
+    raw = re.sub(r"^```(?:json|JSON)?", "", answer.strip())
+    raw = raw.rpartition("```")[0] if "```" in raw else raw
+    found = json.loads(raw.strip())
+    chunks = found.get("chunks") if isinstance(found, dict) else None
+    if not chunks:
+        raise ValueError("no chunks")
+    return [{"start_line": int(c.get("start_line", 0)), "end_line": int(c.get("end_line", 0)), "summary": str(c.get("summary") or "")} for c in chunks]
+
+
 def agentic(text: Column, llm: LLM, cfg: Chunk = Chunk()) -> Column:
-    """Chunks by line ranges that a model returns as JSON [{"start", "end", "summary"}]; a segment whose answer cannot be used is cut by structure."""
+    """Chunks by line ranges that a model returns as JSON {"chunks": [{"start_line", "end_line", "summary"}]}; a segment without a usable answer is
+    cut by its form. Ranges without text give no chunk."""
 
     def cut(t: str) -> list[str]:
+        if not t:
+            return []
         lines, out, at = t.split("\n"), [], 0
+        most = cfg.segment_tokens if cfg.segment_tokens > 0 else 4000
         while at < len(lines):
             end, size = at, 0
-            while end < len(lines) and (end == at or size + len(lines[end]) // 3 <= cfg.segment_tokens):
-                size += len(lines[end]) // 3
+            while end < len(lines) and (end == at or size + _tokens(lines[end]) <= most):
+                size += _tokens(lines[end])
                 end += 1
-            part = "\n".join(f"{k + 1}: {lines[k]}" for k in range(at, end))
+            part = "".join(f"{k + 1}: {lines[k]}\n" for k in range(at, end))
             try:
-                raw = re.sub(r"^```[a-z]*\n?|```$", "", llm(part).strip()).strip()
-                found = json.loads(raw)
-                found = found["chunks"] if isinstance(found, dict) else found
-                got = []
-                for c in found:
-                    a, b = max(1, int(c["start"])), min(len(lines), int(c["end"]))
-                    body = "\n".join(lines[a - 1 : b]).strip()
+                for c in boundaries(llm(boundary_prompt(part, cfg))):
+                    body = "\n".join(lines[max(0, c["start_line"] - 1) : max(0, c["end_line"])]).strip()
                     if body:
-                        got.append((f"[摘要] {c['summary']}\n" if c.get("summary") else "") + body)
-                if not got:
-                    raise ValueError("no chunks")
+                        out.append((f"[摘要] {c['summary']}\n" if cfg.summaries and c["summary"] else "") + body)
             except Exception:  # noqa: BLE001  any failure of the model falls back
-                got = structure_chunks("\n".join(lines[at:end]), cfg)
-            out += got
+                out += by_form("\n".join(lines[at:end]), cfg)
             at = end
         return out
 
@@ -243,9 +281,9 @@ def semantic(rows: DataFrame, doc: str, order: str, text: str, vector: str, cfg:
 # ---- hierarchical
 
 def hierarchical(chunks: DataFrame, doc: str, cfg: Chunk = Chunk()) -> DataFrame:
-    """Adds parent_id and parent_text: consecutive chunks of a document up to parent_tokens. chunks: doc, ordinal, text."""
+    """Adds parent_id and parent_text: consecutive chunks of a document up to parent_tokens (0 or less: 800). chunks: doc, ordinal, text."""
     lists = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("xs"))
-    most = cfg.parent_tokens
+    most = cfg.parent_tokens if cfg.parent_tokens > 0 else 800
 
     def step(a, x):
         size = F.floor(F.length(x["text"]) / 3)
@@ -264,8 +302,8 @@ def chunk_column(text: Column, cfg: Chunk = Chunk(), llm: LLM | None = None) ->
     """Chunks by the strategy's name; unknown names mean fixed."""
     if cfg.strategy == "structure":
         return structure(text, cfg)
-    if cfg.strategy == "agentic" and llm is not None:
-        return agentic(text, llm, cfg)
+    if cfg.strategy == "agentic":
+        return agentic(text, llm, cfg) if llm is not None else structure(text, cfg)
     return fixed(text, cfg)
 
 

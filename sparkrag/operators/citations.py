@@ -24,9 +24,29 @@ def prompt(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", rendered(F.col("n"), F.col("source"), F.col("excerpt")).alias("r")))), lambda x: x["r"]), "\n\n").alias("context"))
 
 
+# The rule of grounded answers, and what is said where there is no evidence.
+RULE = "[RAG evidence]\nUse only the supplied citation labels for factual claims. Attach a label such as [1] to each supported claim. Do not invent, change, or reuse labels from another request. If the evidence does not establish a claim, say that the available evidence is insufficient.\n"
+NO_EVIDENCE = "No retrieval evidence is available for this request. State uncertainty rather than citing a source.\n"
+
+
+def instructions(requests: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """by, instructions: the rule and each piece of evidence (n, source, document_title, uri, location, excerpt) in order, for every request."""
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" {name}="), c)).otherwise("")
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] source="), "source", part("title", F.col("document_title")), part("uri", F.col("uri")), part("location", F.col("location")), F.lit("\n"), "excerpt", F.lit("\n"))
+    found = rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("r")))), lambda x: x["r"]), "").alias("__e"))
+    return requests.select(by).distinct().join(found, by, "left").select(by, F.concat(F.lit(RULE), F.coalesce("__e", F.lit(NO_EVIDENCE))).alias("instructions"))
+
+
+def renumbered(calls: DataFrame, by: str, call: str, rank: str) -> DataFrame:
+    """Adds label: the evidence of all calls of a request numbered on from 1, by call and rank."""
+    return calls.withColumn("label", F.row_number().over(Window.partitionBy(by).orderBy(call, rank)))
+
+
 def labels(answer: Column) -> Column:
     """Distinct [n] labels in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
+    found = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.greatest(F.lit("0"), F.ltrim(x, F.lit("0"))))
+    # numbers beyond an int stand for no evidence: -1 keeps them among the invalid ones
+    return F.array_distinct(F.transform(found, lambda x: F.when(F.length(x) > 9, F.lit(-1)).otherwise(x.cast("int"))))
 
 
 def validated(answer: Column, known: Column) -> dict[str, Column]:

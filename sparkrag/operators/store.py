@@ -1,13 +1,15 @@
-"""A versioned store of Parquet tables: every publish writes a new version and flips one pointer file.
+"""A versioned store of Parquet tables: every publish writes new parts and one marker file.
 
-Layout under `root` (any path Spark reads): versions/<n>/<table>, CURRENT-<n> markers (the greatest counts). Readers see a whole version;
-writers compare the version they started from. Files go through Hadoop's file system, so the store may live anywhere.
+Layout under `root` (any path Spark reads): parts/<table>-<unique name>, CURRENT-<n> markers (the greatest counts), FROZEN while an index is built anew.
+A marker lists the parts of each table; an appended part leaves the others as they are, `compact` writes a table anew as one. No two writers
+share a folder, and the marker, which can be made once only, decides between them. Files go through Hadoop's file system, so the store may live anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +24,7 @@ class Conflict(RuntimeError):
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.frozen = spark, root.rstrip("/"), False
+        self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
@@ -46,38 +48,97 @@ class Store:
         return json.loads(self.spark.read.text(f"{self.root}/CURRENT-{v}", wholetext=True).first()[0])
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.manifest(version)["tables"][name])
+        return self.read(self.manifest(version)["tables"][name])
 
-    def publish(self, tables: dict[str, DataFrame], expect: int | None = None, **meta) -> int:
-        """Write the tables as the next version (others carry over); fails if another version appeared since `expect`."""
+    def read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*parts)
+
+    def write(self, name: str, df: DataFrame) -> str:
+        """Write a part that no marker names yet."""
+        path = f"{self.root}/parts/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def publish(self, tables: dict[str, DataFrame] | None = None, expect: int | None = None, append: dict[str, DataFrame] | None = None, parts: dict[str, list[str]] | None = None, **meta) -> int:
+        """The next version: tables replaced by rows or by written parts, or appended to; others carry over. Fails if another version
+        appeared since `expect`, or while the store is frozen."""
+        start = self.version if expect is None else expect
+        held = {k: list(v) for k, v in self.manifest(start)["tables"].items()} if start else {}
+        self._writable(start)
+        for name, df in (tables or {}).items():
+            held[name] = [self.write(name, df)]
+        for name, df in (append or {}).items():
+            held[name] = [*held.get(name, []), self.write(name, df)]
+        held |= parts or {}
+        self._writable(start)
+        return self._mark({"version": start + 1, "tables": held, **meta}, start + 1)
+
+    def _writable(self, start: int) -> None:
         if self.frozen:
             raise Conflict("the index is being rebuilt")
-        start = self.version if expect is None else expect
-        old = self.manifest(start)["tables"] if start else {}
-        new = start + 1
-        paths = dict(old)
-        for name, df in tables.items():
-            paths[name] = f"{self.root}/versions/{new}/{name}"
-            df.write.mode("overwrite").parquet(paths[name])
         if self.version != start:
             raise Conflict("revision_conflict")
-        self._mark({"version": new, "tables": paths, **meta}, new)
-        return new
 
-    def _mark(self, manifest: dict, version: int) -> None:
-        fs, p = self._fs(f"{self.root}/CURRENT-{version}")
-        out = fs.create(p, False)  # fails where it exists: the compare-and-set
-        out.write(bytearray(json.dumps(manifest).encode()))
+    def compact(self, name: str) -> int:
+        """The table's parts as one."""
+        return self.publish({name: self.table(name)})
+
+    @property
+    def frozen(self) -> bool:
+        fs, p = self._fs(f"{self.root}/FROZEN")
+        return fs.exists(p)
+
+    def freeze(self) -> None:
+        """From now on every writer of this root, on any driver, is refused."""
+        self._create("FROZEN", "{}")
+
+    def thaw(self) -> None:
+        fs, p = self._fs(f"{self.root}/FROZEN")
+        fs.delete(p, False)
+
+    def _create(self, name: str, text: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        try:
+            out = fs.create(p, False)  # fails where it exists: the compare-and-set
+        except Exception as e:
+            if fs.exists(p):
+                raise Conflict("revision_conflict") from e
+            raise
+        out.write(bytearray(text.encode()))
         out.close()
 
+    def _mark(self, manifest: dict, version: int) -> int:
+        self._create(f"CURRENT-{version}", json.dumps(manifest))
+        return version
+
     def rollback(self) -> int:
         """Publish the tables of the version before the current one."""
         vs = self.versions()
         if len(vs) < 2:
             raise Conflict("nothing to roll back to")
-        m = self.manifest(vs[-2])
-        self._mark(m | {"version": vs[-1] + 1}, vs[-1] + 1)
-        return vs[-1] + 1
+        self._writable(vs[-1])
+        return self._mark(self.manifest(vs[-2]) | {"version": vs[-1] + 1}, vs[-1] + 1)
+
+    def backup(self, name: str) -> dict:
+        """Record the current version under a name; its parts are never rewritten, so nothing is copied."""
+        m = self.manifest()
+        self._create(f"BACKUP-{name}", json.dumps(m))
+        return m
+
+    def backups(self) -> dict[str, int]:
+        """Versions by backup name."""
+        fs, p = self._fs(self.root)
+        names = sorted(s.getPath().getName()[7:] for s in fs.listStatus(p) if s.getPath().getName().startswith("BACKUP-")) if fs.exists(p) else []
+        return {n: self._backup(n)["version"] for n in names}
+
+    def _backup(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/BACKUP-{name}", wholetext=True).first()[0])
+
+    def restore(self, name: str) -> int:
+        """Publish a backup's tables as the next version."""
+        start = self.version
+        self._writable(start)
+        return self._mark(self._backup(name) | {"version": start + 1}, start + 1)
 
 
 def first_of_each(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:

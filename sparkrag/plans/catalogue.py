@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve
 from sparkrag.functions import text as X
 from sparkrag.operators import chunking, citations, evaluate, feedback, fts, retrieval, store, sync
-from sparkrag.sources import loaders
+from sparkrag.sources import loaders, stored
 from sparkrag.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out where the file has fewer parts than there are cores; a large table is read as it is."""
+    df = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_INDEXES: dict[tuple[str, str], fts.Index] = {}
+
+
+def full_text(spark: SparkSession, sf_dir: str) -> fts.Index:
+    """The documents' full-text index, built at the first query of a session and stored in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        made, root = fts.postings(documents(spark, sf_dir), "doc_id", "text"), f"{stored.shared_folder(spark)}/sparkrag/index-{uuid.uuid4().hex}"
+        for name in ("postings", "lengths"):
+            getattr(made, name).write.parquet(f"{root}/{name}")
+        _INDEXES[key] = fts.Index(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "lengths")))
+    return _INDEXES[key]
+
+
 # ---- scalar and chunking
 
 @query("SELECT doc_id, length(text) // 3 AS tokens, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -44,7 +66,7 @@ _SENT = r"""list_filter(list_transform(string_split(regexp_replace(text, '([。
 @query(f"SELECT doc_id, len({_SENT}) AS n_sentences, md5(array_to_string({_SENT}, '|')) AS digest FROM documents")
 def sentence_split(spark, d):
     s = X.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), X.md5_hex(F.array_join("s", "|")).alias("digest"))
+    return documents(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), X.md5_hex(F.array_join("s", "|")).alias("digest"))
 
 
 _FIXED = f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENT} AS ss FROM documents),
@@ -62,37 +84,46 @@ x AS (SELECT doc_id, unnest(range(len(c))) AS ordinal, unnest(c) AS text FROM m)
 
 @query(_FIXED + " SELECT doc_id, ordinal, md5(text) AS md5, length(text) // 3 AS tokens FROM x")
 def chunk_fixed(spark, d):
-    return chunking.exploded(table(spark, d, "documents"), chunking.fixed(F.col("text")), "doc_id").drop("text")
+    return chunking.exploded(documents(spark, d), chunking.fixed(F.col("text")), "doc_id").drop("text")
 
 
 @query(_FIXED + " SELECT doc_id, count(*) AS chunks, max(length(text) // 3) AS longest FROM x GROUP BY doc_id")
 def chunk_fixed_stats(spark, d):
-    rows = chunking.exploded(table(spark, d, "documents"), chunking.fixed(F.col("text")), "doc_id")
+    rows = chunking.exploded(documents(spark, d), chunking.fixed(F.col("text")), "doc_id")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("tokens").alias("longest"))
 
 
 @query()
 def chunk_structure(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Title\n\n"), F.col("text")).alias("text"))
+    rows = documents(spark, d).select("doc_id", F.concat(F.lit("# Title\n\n"), F.col("text")).alias("text"))
     return chunking.exploded(rows, chunking.structure(F.col("text"), Chunk(breadcrumb=True)), "doc_id").drop("text")
 
 
 @query()
 def chunk_agentic(spark, d):
-    rows = table(spark, d, "documents")
+    rows = documents(spark, d)
     return chunking.exploded(rows, chunking.agentic(F.col("text"), _first_line_model), "doc_id").drop("text")
 
 
 def _first_line_model(part: str) -> str:
     """A stand-in model: cuts a numbered segment in two."""
-    ids = [int(x.split(":", 1)[0]) for x in part.split("\n") if x.split(":", 1)[0].isdigit()]
+    ids = [int(x.split(":", 1)[0]) for x in part.split("\n") if x.split(":", 1)[0].isdecimal()]
     mid = ids[len(ids) // 2]
-    return f'```json\n[{{"start": {ids[0]}, "end": {mid}}}, {{"start": {mid + 1}, "end": {ids[-1]}}}]\n```'
+    return f'```json\n{{"chunks": [{{"start_line": {ids[0]}, "end_line": {mid}}}, {{"start_line": {mid + 1}, "end_line": {ids[-1]}}}]}}\n```'
 
 
-@query()
+@query(_FIXED + """, h AS (
+  SELECT doc_id, c, 0 AS i, 0 AS g, 0 AS n, []::INT[] AS gs FROM m
+  UNION ALL
+  SELECT doc_id, c, i + 1, CASE WHEN n > 0 AND n + length(c[i + 1]) // 3 > 800 THEN g + 1 ELSE g END,
+    CASE WHEN n > 0 AND n + length(c[i + 1]) // 3 > 800 THEN length(c[i + 1]) // 3 ELSE n + length(c[i + 1]) // 3 END,
+    list_append(gs, CASE WHEN n > 0 AND n + length(c[i + 1]) // 3 > 800 THEN g + 1 ELSE g END)
+  FROM h WHERE i < len(c)),
+r AS (SELECT doc_id, unnest(range(len(c))) AS ordinal, unnest(c) AS text, unnest(gs) AS g FROM h WHERE i = len(c)),
+p AS (SELECT doc_id, g, 'parent-' || substr(md5(string_agg(text, chr(10) ORDER BY ordinal)), 1, 8) AS parent_id FROM r GROUP BY doc_id, g)
+SELECT doc_id, ordinal, parent_id FROM r JOIN p USING (doc_id, g)""")
 def chunk_hierarchical(spark, d):
-    rows = chunking.exploded(table(spark, d, "documents"), chunking.fixed(F.col("text")), "doc_id").select("doc_id", "ordinal", "text")
+    rows = chunking.exploded(documents(spark, d), chunking.fixed(F.col("text")), "doc_id").select("doc_id", "ordinal", "text")
     return chunking.hierarchical(rows, "doc_id").select("doc_id", "ordinal", "parent_id")
 
 
@@ -186,13 +217,13 @@ _TOK = r"""t AS (SELECT doc_id AS chunk_id, list_filter(string_split_regex(strip
 i AS (SELECT chunk_id, toks, len(toks) AS dl FROM t), a AS (SELECT count(*) AS total, avg(dl) AS adl FROM i)"""
 
 
-def _bm25_sql(units: list[str], where: str, scored: list[int], limit: int = 30) -> str:
-    """BM25 over units, each an expression of its occurrences in `toks`."""
+def _bm25_sql(units: list[str], where: str, scored: list[int], limit: int = 30, tag: str = "") -> str:
+    """BM25 over units, each an expression of its occurrences in `toks`; tag ends the names of its tables."""
     cols = ", ".join(f"({u})::DOUBLE AS f{k}" for k, u in enumerate(units))
     dfs = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(units)))
     idf = lambda k: f"(CASE WHEN ln((total - n{k} + 0.5) / (n{k} + 0.5)) > 0 THEN ln((total - n{k} + 0.5) / (n{k} + 0.5)) ELSE 0.000001 END)"
     score = " + ".join(f"{idf(k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / adl))" for k in scored)
-    return f"u AS (SELECT chunk_id, dl, {cols} FROM i), g AS (SELECT {dfs} FROM u), b AS (SELECT chunk_id, {score} AS score FROM u, g, a WHERE {where} ORDER BY round(-({score}), 9), chunk_id LIMIT {limit})"
+    return f"u{tag} AS (SELECT chunk_id, dl, {cols} FROM i), g{tag} AS (SELECT {dfs} FROM u{tag}), b{tag} AS (SELECT chunk_id, {score} AS score FROM u{tag}, g{tag}, a WHERE {where} ORDER BY round(-({score}), 9), chunk_id LIMIT {limit})"
 
 
 def _word(w: str) -> str:
@@ -201,8 +232,7 @@ def _word(w: str) -> str:
 
 def _bm25_query(name: str, match: str, units: list[str], where: str, scored: list[int]):
     def fn(spark, d):
-        index = fts.indexed(table(spark, d, "documents"), "doc_id", "text")
-        return fts.bm25(index, match, 30).select("chunk_id", F.round("score", 6).alias("score"))
+        return fts.bm25(full_text(spark, d), match, 30).select("chunk_id", F.round("score", 6).alias("score"))
 
     QUERIES[name] = fn
     SQL[name] = f"WITH {_TOK}, {_bm25_sql(units, where, scored)} SELECT chunk_id, round(score, 6) AS score FROM b"
@@ -223,10 +253,25 @@ y AS (SELECT chunk_id, vs, bs, 0.7 * vs + 0.3 * bs AS fs FROM x ORDER BY round(0
 SELECT chunk_id, source, round(vs, 6) AS vec_score, round(bs, 6) AS bm25_score, round(fs, 6) AS final_score FROM y JOIN documents ON doc_id = chunk_id""")
 def hybrid_retrieve(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
-    found = retrieval.retrieve(docs, _vectors(spark, d), fts.indexed(docs, "chunk_id", "text"), "the of and", _query_vector(spark, d), Retrieve(top_k=3), k=10)
+    found = retrieval.retrieve(docs, _vectors(spark, d), full_text(spark, d), "the of and", _query_vector(spark, d), Retrieve(top_k=3), k=10)
     return found.select("chunk_id", "source", *(F.round(c, 6).alias(c) for c in ("vec_score", "bm25_score", "final_score")))
 
 
+_HALVES = {"q1": "the of and", "q2": "licensed under"}
+
+
+@query(f"""{_BATCH}, vb AS (SELECT query_id, chunk_id, 1 / (1 + distance) AS vs FROM r WHERE pos <= 30), {_TOK.replace("i AS (", "i AS MATERIALIZED (")},
+{_bm25_sql([_word('the'), _word('of'), _word('and')], 'f0 > 0 AND f1 > 0 AND f2 > 0', [0, 1, 2], tag='1')}, {_bm25_sql([_word('licensed'), _word('under')], 'f0 > 0 AND f1 > 0', [0, 1], tag='2')},
+tb AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS bs FROM (SELECT query_id, chunk_id, score FROM q, b1 WHERE query_id % 100 = 0 UNION ALL SELECT query_id, chunk_id, score FROM q, b2 WHERE query_id % 100 <> 0)),
+fu AS (SELECT coalesce(vb.query_id, tb.query_id) AS query_id, coalesce(vb.chunk_id, tb.chunk_id) AS chunk_id, coalesce(vs, 0) AS vs, coalesce(bs, 0) AS bs FROM vb FULL JOIN tb ON vb.query_id = tb.query_id AND vb.chunk_id = tb.chunk_id),
+ra AS (SELECT *, 0.7 * vs + 0.3 * bs AS fs, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * vs + 0.3 * bs, 9) DESC, chunk_id)::INT AS pos FROM fu)
+SELECT query_id, pos, chunk_id, round(fs, 5) AS final_score FROM ra WHERE pos <= 3""")
+def hybrid_retrieve_batch(spark, d):
+    q = _queries(spark, d).withColumn("query", F.when(F.col("query_id") % 100 == 0, _HALVES["q1"]).otherwise(_HALVES["q2"]))
+    found = retrieval.hybrid_batch(_vectors(spark, d), full_text(spark, d), q)
+    return found.select("query_id", "pos", "chunk_id", F.round("final_score", 5).alias("final_score"))
+
+
 @query("""SELECT event_id, CASE WHEN used > 0 THEN greatest(1, least(3, greatest(0, 172000 - used) // 400)) ELSE 3 END::BIGINT AS k
 FROM (SELECT event_id, floor(abs(value) * 1000)::BIGINT AS used FROM events)""")
 def dynamic_top_k(spark, d):
@@ -237,7 +282,7 @@ def dynamic_top_k(spark, d):
 @query(rf"""WITH {_TOK}, s AS (SELECT chunk_id, len(list_filter(['the', 'of', 'licensed', 'under'], lambda w: list_contains(toks, w))) / 4.0 AS score FROM i)
 SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY score DESC, chunk_id LIMIT 9""")
 def rerank_lexical(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0.0).alias("final_score"))
+    docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0.0).alias("final_score"))
     return retrieval.rerank(docs, retrieval.lexical_score(F.col("text"), "the of licensed under")).select("chunk_id", F.round("rerank_score", 6).alias("score"))
 
 
@@ -257,6 +302,27 @@ def citation_validate(spark, d):
     return rows.select("doc_id", show(citations.labels(F.col("answer"))).alias("labels"), show(v["valid"]).alias("valid"), show(v["invalid"]).alias("invalid"), v["missing"].alias("missing"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_filter(ls, lambda x, k: list_position(ls, x) = k), ',') AS labels FROM (SELECT doc_id, regexp_extract_all({_ANSWER}, '\\[(\\d+)\\]', 1) AS ls FROM documents)")
+def citation_parse(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(citations.labels(F.expr(_ANSWER)).cast("array<string>"), ",").alias("labels"))
+
+
+@query(r"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, regexp_replace(text, '^\s+|\s+$', '', 'g') AS excerpt FROM documents WHERE source <> 'src1'),
+e AS (SELECT source, string_agg('[' || n || '] source=' || source || ' location=chunk:' || doc_id || chr(10) || excerpt || chr(10), '' ORDER BY n) AS e FROM r GROUP BY source)
+SELECT s.source, coalesce(e, '') = '' AS none, md5(coalesce(e, '')) AS digest FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN e USING (source)""")
+def evidence_instructions(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.where("source <> 'src1'").withColumns({"parent_text": F.lit(""), "document_uri": F.lit(""), "document_title": F.lit(""), "location": F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"))})
+    rows = citations.evidence(rows, "source", F.col("doc_id")).withColumn("uri", F.lit(""))
+    said = F.replace(F.replace(F.col("instructions"), F.lit(citations.RULE), F.lit("")), F.lit(citations.NO_EVIDENCE), F.lit(""))
+    return citations.instructions(docs, rows, "source").select("source", (said == "").alias("none"), X.md5_hex(said).alias("digest"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INT AS label FROM conversations")
+def evidence_renumber(spark, d):
+    return citations.renumbered(table(spark, d, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "label")
+
+
 @query(r"""WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS n, regexp_replace(text, '^\s+|\s+$', '', 'g') AS excerpt FROM documents)
 SELECT source, n, md5('[' || n || '] [来源: ' || source || ']' || chr(10) || excerpt) AS digest FROM r""")
 def evidence_render(spark, d):
@@ -279,7 +345,7 @@ def url_redact(spark, d):
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.md5_hex(X.collapse_ws(F.col("text"))).alias("digest"))
+    return documents(spark, d).select("doc_id", X.md5_hex(X.collapse_ws(F.col("text"))).alias("digest"))
 
 
 @query("SELECT page_id, url AS final_url, 'text/html' AS content_type FROM pages")
@@ -326,6 +392,19 @@ def sync_embed_keys(spark, d):
     return sync.to_embed(sync.diff(*_snapshots(spark, d), _KEYS), _KEYS)
 
 
+@query("""WITH c AS (SELECT source, doc_id, k, lpad(k::VARCHAR, 8, '0') AS chunk_key FROM (SELECT source, doc_id, unnest(range(1 + doc_id % 4)) AS k FROM documents)),
+o AS (SELECT * FROM c WHERE doc_id % 7 <> 0), n AS (SELECT * FROM c WHERE doc_id % 11 <> 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.chunk_key, n.chunk_key) AS chunk_key, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN n.doc_id % 13 = 0 AND n.k = 0 THEN 'changed' ELSE 'unchanged' END AS class
+FROM o FULL JOIN n ON o.source = n.source AND o.doc_id = n.doc_id AND o.chunk_key = n.chunk_key""")
+def sync_diff_chunks(spark, d):
+    keys = ["source", "doc_id", "chunk_key"]
+    docs = table(spark, d, "documents").select("source", "doc_id", sync.content_hash(F.col("text")).alias("h"), F.explode(F.sequence(F.lit(0), F.col("doc_id") % 4)).alias("k"))
+    rows = docs.withColumn("chunk_key", X.ordinal_key(F.col("k")))
+    old = rows.where("doc_id % 7 <> 0").select(*keys, F.concat("h", "chunk_key").alias("content_hash"))
+    new = rows.where("doc_id % 11 <> 0").select(*keys, F.concat("h", "chunk_key", F.when((F.col("doc_id") % 13 == 0) & (F.col("k") == 0), "x").otherwise("")).alias("content_hash"))
+    return sync.diff(old, new, keys).select("doc_id", "chunk_key", "class")
+
+
 @query("SELECT doc_id, sha256(source || chr(0) || doc_id || chr(0) || lpad((doc_id % 9)::VARCHAR, 8, '0')) AS chunk_key FROM documents")
 def chunk_key(spark, d):
     return table(spark, d, "documents").select("doc_id", X.chunk_key(F.col("source"), F.col("doc_id").cast("string"), X.ordinal_key(F.col("doc_id") % 9)).alias("chunk_key"))
@@ -334,8 +413,8 @@ def chunk_key(spark, d):
 # ---- feedback: a ledger derived from events
 
 _LEDGER = """WITH ev AS (SELECT event_id::VARCHAR AS id, ts AS created_at, 'c' || user_id % 3 AS channel, 's' || user_id % 50 AS session_id, event_id FROM events),
-ci AS (SELECT 'c' || event_id || '-' || r AS id, event_id::VARCHAR AS retrieval_id, r AS rank, 'src' || (event_id + r) % 20 AS source FROM events, (SELECT unnest([1, 2, 3]) AS r)),
-fb AS (SELECT 'f' || event_id AS id, event_id::VARCHAR AS retrieval_id, CASE event_id % 3 WHEN 0 THEN 'helpful' WHEN 1 THEN 'not_helpful' ELSE 'incorrect' END AS kind, ts AS created_at, CASE WHEN event_id % 10 = 9 THEN 'f' || (event_id - 4) END AS sup, event_id FROM events WHERE event_id % 2 = 1),
+ci AS (SELECT 'c' || event_id || '-' || r AS id, event_id::VARCHAR AS retrieval_id, r AS rank, 'src' || (event_id + r) % 19 AS source FROM events, (SELECT unnest([1, 2, 3]) AS r)),
+fb AS (SELECT 'f' || event_id AS id, event_id::VARCHAR AS retrieval_id, CASE event_id % 3 WHEN 0 THEN 'helpful' WHEN 1 THEN 'unhelpful' ELSE 'citation-error' END AS kind, ts AS created_at, CASE WHEN event_id % 10 = 9 THEN 'f' || (event_id - 4) END AS sup, event_id FROM events WHERE event_id % 2 = 1),
 li AS (SELECT 'f' || event_id AS feedback_id, 'c' || event_id || '-' || r AS citation_id FROM events, (SELECT unnest([1, 2, 3]) AS r) WHERE event_id % 2 = 1 AND r <= event_id % 4),
 li2 AS (SELECT * FROM li),
 live AS (SELECT * FROM fb WHERE id NOT IN (SELECT sup FROM fb WHERE sup IS NOT NULL) AND retrieval_id IN (SELECT id FROM ev))"""
@@ -346,9 +425,9 @@ def _ledger(spark, d) -> feedback.Ledger:
     i = F.col("event_id").cast("string")
     ev = e.select(i.alias("id"), F.col("ts").alias("created_at"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("channel"), F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias("session_id"), F.md5(i).alias("query_fingerprint"), F.lit("").alias("query_excerpt"))
     r = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank")
-    ci = e.select("event_id", r).select(F.concat(F.lit("c"), i, F.lit("-"), F.col("rank").cast("string")).alias("id"), i.alias("retrieval_id"), "rank", F.concat(F.lit("src"), ((F.col("event_id") + F.col("rank")) % 20).cast("string")).alias("source"))
+    ci = e.select("event_id", r).select(F.concat(F.lit("c"), i, F.lit("-"), F.col("rank").cast("string")).alias("id"), i.alias("retrieval_id"), "rank", F.concat(F.lit("src"), ((F.col("event_id") + F.col("rank")) % 19).cast("string")).alias("source"))
     odd = e.where("event_id % 2 = 1")
-    kind = F.when(F.col("event_id") % 3 == 0, "helpful").when(F.col("event_id") % 3 == 1, "not_helpful").otherwise("incorrect")
+    kind = F.when(F.col("event_id") % 3 == 0, "helpful").when(F.col("event_id") % 3 == 1, "unhelpful").otherwise("citation-error")
     fb = odd.select(F.concat(F.lit("f"), i).alias("id"), i.alias("retrieval_id"), kind.alias("kind"), F.lit("").alias("session_id"), F.lit("").alias("note"), F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("f"), (F.col("event_id") - 4).cast("string"))).alias("supersedes_feedback_id"), F.col("ts").alias("created_at"))
     li = odd.select("event_id", r).where("rank <= event_id % 4").select(F.concat(F.lit("f"), i).alias("feedback_id"), F.concat(F.lit("c"), i, F.lit("-"), F.col("rank").cast("string")).alias("citation_id"))
     return feedback.Ledger(ev, ci, fb, li)
@@ -409,12 +488,19 @@ def feedback_retention(spark, d):
 _CAND = _LEDGER + ", cd AS (SELECT live.id AS feedback_id, coalesce(citation_id, '') AS citation_id FROM live LEFT JOIN li ON feedback_id = live.id)"
 
 
-@query(_CAND + " SELECT feedback_id, citation_id, feedback_id || '|' || citation_id AS uniqueness_key, 'pending' AS status FROM cd")
+@query(_CAND + " SELECT feedback_id, citation_id, feedback_id || ':' || citation_id AS uniqueness_key, 'pending' AS status FROM cd")
 def candidates_convert(spark, d):
     return feedback.candidates_of(_ledger(spark, d)).select("feedback_id", "citation_id", "uniqueness_key", "status")
 
 
-@query(_CAND + " SELECT feedback_id || '|' || citation_id AS uniqueness_key FROM cd WHERE feedback_id NOT IN (SELECT id FROM fb WHERE kind = 'helpful')")
+@query(_CAND + " SELECT feedback_id, cd.citation_id FROM cd JOIN ci ON ci.id = cd.citation_id WHERE source = 'src3' AND feedback_id IN (SELECT id FROM fb WHERE kind = 'citation-error') ORDER BY feedback_id || ':' || cd.citation_id LIMIT 100")
+def candidates_list(spark, d):
+    led = _ledger(spark, d)
+    led.candidates = feedback.candidates_of(led).select("feedback_id", "citation_id", "kind", "status", "uniqueness_key")
+    return feedback.listed(led, "pending", "citation-error", "src3").select("feedback_id", "citation_id")
+
+
+@query(_CAND + " SELECT feedback_id || ':' || citation_id AS uniqueness_key FROM cd WHERE feedback_id NOT IN (SELECT id FROM fb WHERE kind = 'helpful')")
 def candidates_dedup(spark, d):
     led = _ledger(spark, d)
     led.candidates = feedback.candidates_of(led, feedback.Filter(kind="helpful"))
@@ -446,6 +532,13 @@ def eval_macro(spark, d):
     return evaluate.macro(_case_metrics(spark, d)).select(*(F.round(c, 6).alias(c) for c in ("recall_at_k", "mrr", "ndcg")))
 
 
+@query(_EVAL + """, mm AS (SELECT avg(recall) AS recall_at_k, avg(rr) AS mrr, avg(ndcg) AS ndcg FROM ca), lo AS (SELECT unnest(['mrr', 'ndcg', 'recall_at_k']) AS metric, unnest([mrr, ndcg, recall_at_k]) AS observed, unnest([1.0, 0.01, 1.0]) AS baseline, unnest([1.0, 0.0, 0.0]) AS allowed FROM mm)
+SELECT metric, round(observed, 6) AS observed, round(baseline - allowed, 6)::DOUBLE AS threshold, observed < baseline - allowed AS failed FROM lo""")
+def eval_compare(spark, d):
+    rows = evaluate.compared(evaluate.macro(_case_metrics(spark, d)), {"recall_at_k": 1.0, "mrr": 1.0, "ndcg": 0.01}, {"mrr": 1.0})
+    return rows.select("metric", F.round("observed", 6).alias("observed"), F.round("threshold", 6).alias("threshold"), "failed")
+
+
 # ---- sessions and streams
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS seq, md5(text) AS digest FROM conversations")

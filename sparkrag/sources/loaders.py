@@ -87,28 +87,40 @@ def visible_text(page: str) -> str:
     return " ".join(p.parts)
 
 
+# Escapes of quoted strings.
+_ESCAPES = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+
+def quoted(s: str) -> str:
+    """The string in double quotes, with what cannot be printed escaped."""
+
+    def show(c: str) -> str:
+        n = ord(c)
+        if n in _ESCAPES:
+            return _ESCAPES[n]
+        if c == " " or c.isprintable():
+            return c
+        return f"\\x{n:02x}" if n < 128 else f"\\u{n:04x}" if n < 1 << 16 else f"\\U{n:08x}"
+
+    return '"' + "".join(map(show, s)) + '"'
+
+
 def canonical_json(raw: str) -> str:
-    """Objects with sorted keys, one entry a line, numbers as written."""
+    """Objects with sorted keys, one entry a line without indent, numbers as written."""
 
     class Num(str):
         pass
 
-    def no_repeat(pairs):
-        return dict(pairs)
-
-    data = json.loads(raw, parse_int=Num, parse_float=Num, object_pairs_hook=no_repeat)
-
-    def show(v, pad):
+    def show(v):
         if isinstance(v, dict):
-            if not v:
-                return "{}"
-            rows = ",\n".join(f"{pad}  {json.dumps(k, ensure_ascii=False)}: {show(v[k], pad + '  ')}" for k in sorted(v))
-            return "{\n" + rows + "\n" + pad + "}"
+            return "{\n" + ",\n".join(f"{quoted(k)}: {show(v[k])}" for k in sorted(v, key=lambda k: k.encode("utf-8", "surrogatepass"))) + "\n}"
         if isinstance(v, list):
-            return "[\n" + ",\n".join(f"{pad}  {show(x, pad + '  ')}" for x in v) + "\n" + pad + "]" if v else "[]"
-        return str(v) if isinstance(v, Num) else json.dumps(v, ensure_ascii=False)
+            return "[\n" + ",\n".join(map(show, v)) + "\n]"
+        if isinstance(v, Num):
+            return str(v)
+        return quoted(v) if isinstance(v, str) else "<nil>" if v is None else str(v).lower()
 
-    return show(data, "")
+    return show(json.loads(raw, parse_int=Num, parse_float=Num))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}t"

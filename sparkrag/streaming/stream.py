@@ -31,7 +31,7 @@ def ingest(stream: DataFrame, chunks: Column, store: Store, checkpoint: str):
         new = deduplicated(rows, old, ["source", "ord"]).select("source", "text", "md5")
         top = (old.agg(F.max("chunk_id")).first()[0] or 0) if old is not None else 0
         new = numbered(new, ["source", "md5"], top).select("chunk_id", "source", "text", "md5")
-        store.publish({"chunks": old.unionByName(new) if old is not None else new}, expect=start, epoch=epoch)
+        store.publish(append={"chunks": new}, expect=start, epoch=epoch)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

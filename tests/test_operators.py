@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import sqlite3
 import zipfile
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve, Settings, tightened
 from sparkrag.engine import Engine
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, fts, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, retrieval, store, sync
 from sparkrag.sources import loaders
 
 
@@ -121,8 +122,7 @@ def test_sync_revisions_and_queue(spark):
 
 def test_loaders(spark, tmp_path):
     assert loaders.visible_text("<html><head><title>x</title></head><body><script>a</script><nav>m</nav><article>Hello <b>world</b></article><footer>f</footer></body></html>") == "Hello world"
-    shown = loaders.canonical_json('{"z":1.50,"a":{"b":true}}')
-    assert shown.index('"a"') < shown.index('"z"') and "1.50" in shown
+    assert loaders.canonical_json('{"z":1.50,"a":{"b":true,"c":null,"d":[]},"q":"x\\n\\u00e9\\u0001"}') == '{\n"a": {\n"b": true,\n"c": <nil>,\n"d": [\n\n]\n},\n"q": "x\\né\\x01",\n"z": 1.50\n}'
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:t>Hello</w:t><w:t> DOCX</w:t></w:document>')
@@ -140,8 +140,9 @@ def test_loaders(spark, tmp_path):
 
 
 def test_excerpts_and_fingerprints(spark):
-    s = X.redact_excerpt("see https://x.org/a?token=1#f and password=hunter2hunter2", 256)
-    assert "token=1" not in s and "hunter2" not in s
+    assert X.redact_excerpt("https://example.test/path?token=secret#fragment password=hunter2", 200) == "[REDACTED] [REDACTED]"
+    assert X.redact_excerpt("  see  https://x.org/a?page=1#f and a_word_of_forty_characters_that_is_no_secret_ ", 256) == "see  https://x.org/a and a_word_of_forty_characters_that_is_no_secret_"
+    assert X.redact_excerpt("cafe\u0301 x", 4) == "café" and X.redact_excerpt("x", 0) == ""
     df = spark.createDataFrame([(" café   redis ",), ("café redis",)], "q string").select(X.fingerprint(F.col("q"), b"k").alias("f")).collect()
     assert df[0].f == df[1].f
 
@@ -179,3 +180,158 @@ def test_stream_ingest_once(spark, tmp_path):
     q = ingest(spark.readStream.schema("source string, text string").json(str(src)), chunking.fixed(F.col("text")), s, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert s.table("chunks").count() == 1
+
+
+def test_headings_keep_their_place():
+    text = "### X\n\nfirst\n\n## Y\n\nsecond"
+    cfg = Chunk(max_tokens=1, min_tokens=0, breadcrumb=True)
+    assert chunking.structure_chunks(text, cfg)[-1].startswith("[X > Y]\n")
+    assert chunking.breadcrumb(["A", "", "C"], 3) == "[A >  > C]\n" and chunking.breadcrumb(["A"], 0) == ""
+    assert [b.level for b in chunking.markdown_blocks("#\tX\n# Y")] == [0, 1]
+    assert [b.atomic for b in chunking.markdown_blocks("1) no list\n\n1. list\n- more")] == [False, True]
+
+
+def test_agentic_answers(spark):
+    text = "alpha one\nalpha two\nbeta one\nbeta two"
+    seen = []
+
+    def cut(answer, cfg=Chunk()):
+        return spark.createDataFrame([(text,)], "t string").select(chunking.agentic(F.col("t"), lambda p: answer, cfg).alias("c")).first().c
+
+    good = '```json\n{"chunks": [{"start_line": 1, "end_line": 2, "summary": "A"}, {"start_line": 3, "end_line": 99}, {"start_line": 9, "end_line": 8}]}\n```'
+    assert cut(good) == ["[摘要] A\nalpha one\nalpha two", "beta one\nbeta two"]
+    assert cut(good, Chunk(summaries=False))[0] == "alpha one\nalpha two"
+    fixed = spark.createDataFrame([(text,)], "t string").select(chunking.fixed(F.col("t")).alias("c")).first().c
+    assert cut("no json") == cut('{"chunks": []}') == fixed
+    assert "start_line" in chunking.boundary_prompt("1: x\n", Chunk()) and not seen
+
+
+def test_fixed_chunks_equal_their_column(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(("word ", "two words. ", "end!\n", "\n\n", "x" * 300 + "。 ", "  ")) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    cfg = Chunk(max_tokens=60, min_tokens=30)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chunking.fixed(F.col("t"), cfg).alias("c")).collect()
+    assert all(r.c == chunking.fixed_chunks(texts[r.k], cfg) for r in rows)
+
+
+def test_index_equals_token_arrays(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("red", "rod", "blue", "green", "the")) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    plain, index = fts.indexed(docs, "k", "t"), fts.postings(docs, "k", "t")
+    for q in ("red", '"red blue"', "r*", '"the gre" *', "^the", "red NOT blue", "red OR (blue the)", "NEAR(red blue, 2)", "nothing", '"red red red"', "NEAR(red the green, 3) OR absent"):
+        a, b = (sorted((r.chunk_id, round(r.score, 9)) for r in fts.bm25(x, q).collect()) for x in (plain, index))
+        assert a == b, q
+
+
+def test_two_writers_do_not_share_files(spark, tmp_path):
+    a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    rows = lambda n: spark.range(n)
+    a.publish({"t": rows(1)})
+    # both start from version 1 and write before either marks
+    pa_, pb = a.write("t", rows(2)), b.write("t", rows(3))
+    assert pa_ != pb and a.publish(parts={"t": [pa_]}, expect=1) == 2
+    with pytest.raises(store.Conflict):
+        b.publish(parts={"t": [pb]}, expect=1)
+    with pytest.raises(store.Conflict):
+        b._mark({"version": 2, "tables": {"t": [pb]}}, 2)
+    assert a.table("t").count() == 2
+    a.publish(append={"t": rows(4)})
+    assert a.table("t").count() == 6 and len(a.manifest()["tables"]["t"]) == 2 and a.manifest()["tables"]["t"][0] == pa_
+    a.backup("before")
+    a.freeze()
+    with pytest.raises(store.Conflict):
+        b.publish({"t": rows(1)})
+    with pytest.raises(store.Conflict):
+        b.freeze()
+    b.thaw()
+    a.compact("t")
+    a.publish({"t": rows(0)})
+    assert a.table("t").count() == 0 and a.backups() == {"before": 3}
+    a.restore("before")
+    assert a.table("t").count() == 6
+
+
+def test_update_writes_one_version(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), settings=Settings(embedding=Settings().embedding.__class__(dims=16)))
+    e.ingest(spark.createDataFrame([("a", "Cats sleep."), ("a#x", "Dogs bark."), ("b", "Birds sing.")], "source string, text string"))
+    parts = e.store.manifest()["tables"]["chunks"]
+    assert e.ingest(spark.createDataFrame([("c", "Fish swim.")], "source string, text string")) == 1
+    assert e.store.manifest()["tables"]["chunks"][:1] == parts  # only the new rows were written
+    v = e.store.version
+    assert e.update_source("a", spark.createDataFrame([("a", "Cats run.")], "source string, text string")) == (2, 1)
+    assert e.store.version == v + 1 and sorted(r.text for r in e.store.table("chunks").collect()) == ["Birds sing.", "Cats run.", "Fish swim."]
+    assert sum(r.n for r in e.integrity().collect()) == 0 and e.retrieve("cats run", 1).first().text == "Cats run."
+    assert {r.term for r in e.store.table("postings").collect()} == {"birds", "sing", "cats", "run", "fish", "swim"}
+
+
+def test_reviews_of_others_stay(spark):
+    c = spark.createDataFrame([("k1", "pending"), ("k2", "pending")], "uniqueness_key string, status string")
+    c = feedback.reviewed(feedback.reviewed(c, "k1", "approved", " fine "), "k2", "rejected", "no")
+    got = {r.uniqueness_key: (r.status, r.review_note, r.reviewed_at is not None) for r in c.collect()}
+    assert got == {"k1": ("approved", "fine", True), "k2": ("rejected", "no", True)}
+    for bad in (lambda: feedback.reviewed(c, "k1", "rejected"), lambda: feedback.reviewed(c, "k9", "approved"), lambda: feedback.reviewed(c, "k1", "maybe")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_ledger_records_lists_and_exports(spark, tmp_path):
+    found = spark.createDataFrame([(1, "docs", 0.5, 0.5, 0.5), (2, "more", 0.9, 0.9, 0.9)], "chunk_id long, source string, vec_score double, bm25_score double, final_score double")
+    key = b"k" * 32
+    event, cits = feedback.recorded(found, "  cafe\u0301  redis  ", "http", key, excerpt=100)
+    e = event.first()
+    assert e.query_excerpt == "café  redis" and [(r.rank, r.chunk_id) for r in cits.orderBy("rank").collect()] == [(1, 2), (2, 1)]
+    for bad in (("q", " ", key), ("q", "http", b"short")):
+        with pytest.raises(ValueError):
+            feedback.recorded(found, *bad)
+    with pytest.raises(ValueError):
+        feedback.recorded(found, "q", "http", key, session="s")
+    fb = spark.createDataFrame([("f1", e.id, "citation-error", "", "wrong", None)], "id string, retrieval_id string, kind string, session_id string, note string, supersedes_feedback_id string").withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    links = cits.where("rank = 1").select(F.lit("f1").alias("feedback_id"), F.col("id").alias("citation_id"))
+    led = feedback.Ledger(event, cits, fb, links)
+    led.candidates = feedback.candidates_of(led)
+    assert feedback.listed(led, "pending", "citation-error", "more").count() == 1 and feedback.listed(led, source="docs").count() == 0
+    new = fb.withColumn("citation_ids", F.array().cast("array<string>"))
+    assert feedback.checked(new, led).first().error == "citations missing"
+    with pytest.raises(ValueError):
+        feedback.exported(led, feedback.Filter(), 0)
+    feedback.export(led, feedback.Filter(), str(tmp_path / "j"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).collect()]
+    assert lines[0]["schema_version"] == "v1" and lines[1]["feedback_id"] == "f1" and lines[1]["note"] == "" and len(lines[1]["citation_ids"]) == 1
+    feedback.export(led, feedback.Filter(notes=True), str(tmp_path / "c"), "csv")
+    row = spark.read.option("header", "true").csv(str(tmp_path / "c")).first()
+    assert row.note == "wrong" and row.created_at.endswith("03:04:05Z")
+
+
+def test_suites_run_through_retrieval(spark, tmp_path):
+    corpus = [{"id": "a", "text": "red apples are sweet", "source": "fruit", "embedding": [1, 0]}, {"id": "b", "text": "green pears are soft", "source": "pears", "embedding": [0, 1]}]
+    cases = [{"id": "q1", "query": "red apples", "embedding": [1, 0], "targets": [{"chunk_id": "a", "grade": 2}]}, {"id": "q2", "query": "pears (", "embedding": [0, 1], "targets": [{"source": "pears"}]}]
+
+    def put(**other):
+        (tmp_path / "manifest.json").write_text(json.dumps({"schema_version": evaluate.SCHEMA_VERSION, "version": "v", "corpus": "c.jsonl", "cases": "k.jsonl"}))
+        (tmp_path / "c.jsonl").write_text("".join(json.dumps(x) + "\n" for x in other.get("corpus", corpus)))
+        (tmp_path / "k.jsonl").write_text("".join(json.dumps(x) + "\n" for x in other.get("cases", cases)))
+        return evaluate.load(spark, str(tmp_path))
+
+    data = put()
+    per, shown = evaluate.run(data)
+    m = evaluate.macro(per).first().asDict()
+    assert m == {"recall_at_k": 1.0, "mrr": 1.0, "ndcg": 1.0, "source_hit_rate": 0.5}
+    text = evaluate.artifact(data, Retrieve(), per, shown)
+    assert text == evaluate.artifact(data, Retrieve(), *evaluate.run(data)) and json.loads(text)["cases"][0]["evidence"][0]["chunk_id"] == "a"
+    base = {"schema_version": evaluate.SCHEMA_VERSION, "dataset": {"version": "v", **data.digests}, "configuration": {}, "metrics": m | {"mrr": 2.0}}
+    (tmp_path / "b.json").write_text(json.dumps(base))
+    (tmp_path / "t.json").write_text(json.dumps({"schema_version": evaluate.SCHEMA_VERSION, "max_drop": {"mrr": 0.5}}))
+    b, t = evaluate.load_baseline(spark, str(tmp_path / "b.json")), evaluate.load_tolerances(spark, str(tmp_path / "t.json"))
+    assert evaluate.gate(data, m, b, t) == ["mrr"]
+    bad = [{"corpus": [*corpus, corpus[0]]}, {"corpus": [corpus[0] | {"embedding": [1]}, corpus[1]]}, {"cases": [cases[0] | {"targets": [{"chunk_id": "zz"}]}]}, {"cases": [cases[0] | {"targets": []}]}, {"cases": [cases[0] | {"odd": 1}]}, {"cases": []}, {"cases": [cases[0] | {"targets": [{"chunk_id": "a", "grade": -1}]}]}]
+    for other in bad:
+        with pytest.raises(evaluate.DatasetError):
+            put(**other)
+
+
+def test_instructions_of_evidence(spark):
+    asked = spark.createDataFrame([("q",), ("none",)], "q string")
+    rows = spark.createDataFrame([("q", 2, "s", "", "", "", "B"), ("q", 1, "s", "T", "u", "l", "A")], "q string, n int, source string, document_title string, uri string, location string, excerpt string")
+    got = {r.q: r.instructions for r in citations.instructions(asked, rows, "q").collect()}
+    assert got["q"] == citations.RULE + "[1] source=s title=T uri=u location=l\nA\n[2] source=s\nB\n" and got["none"] == citations.RULE + citations.NO_EVIDENCE
