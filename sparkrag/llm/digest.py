@@ -39,7 +39,7 @@ def digests(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_chars and digest of each row, with the canonical text if asked for."""
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches, "text", 8 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
             canon = [canonical(t) for t in texts]
             cols = [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(map(digest_of, canon), pa.string())]
@@ -148,6 +148,6 @@ def with_edits(docs: DataFrame) -> DataFrame:
     parts = split_buckets(digests(docs, True), found)
     shown = found
     if parts is not None:  # unlike texts under one 128-bit digest: number them
-        by_doc = digests(docs, True).join(parts, ["digest", "canonical"], "left").select("doc_id", F.concat_ws("-", "digest", F.col("part").cast("string")).alias("own")).distinct()
-        shown = found.join(by_doc, "doc_id", "left").withColumn("digest", F.coalesce("own", "digest"))
+        by_doc = digests(docs, True).join(parts, ["digest", "canonical"], "left").select("doc_id", "digest", F.concat_ws("-", "digest", F.col("part").cast("string")).alias("own")).distinct()
+        shown = found.join(by_doc, ["doc_id", "digest"], "left").withColumn("digest", F.coalesce("own", "digest"))
     return shown.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.when(F.col("near_edited") == 1, F.col("digest")).otherwise(F.col("edited_digest")).alias("edited_fingerprint"), "near_edited", "near_next")

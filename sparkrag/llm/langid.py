@@ -29,9 +29,9 @@ UND = "und"
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Lower-case letter of every code point below U+30000, 0 where it is no letter (one code point each)."""
-    t = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    """Lower-case letter of every code point below U+34000, above which there are none, 0 where it is no letter (one code point each)."""
+    t = np.zeros(0x34000, np.uint32)
+    for c in range(0x34000):
         s = chr(c)
         if s.isalpha():
             low = s.lower()

@@ -273,6 +273,17 @@ def test_fingerprints_and_edits(docs, empty):
     assert digest.canonical("  ﬁ\tSTRASSE ") == digest.canonical("fi straße")
 
 
+def test_groups_of_equal_texts(spark, docs, empty):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    least = {}
+    for i, t in rows:
+        least.setdefault(digest.canonical(t), []).append(i)
+    want = Counter((i, len(t), min((x for x in least[digest.canonical(t)] if x is not None), default=None)) for i, t in rows)
+    got = digest.fingerprints(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.group_id) for r in got) == want
+    assert len({r.fingerprint for r in got}) == len(least) and digest.fingerprints(empty).count() == 0
+
+
 def test_colliding_digests_are_split(spark):
     texts = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "c"), ("e", "c")], "digest string, canonical string")
     parts = digest.split_buckets(texts, texts.select("digest"))
@@ -468,6 +479,12 @@ def test_language_accuracy_on_held_out(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_letters_of_all_planes(spark):
+    rows = [(k, c * 4, "xx") for k, c in enumerate(("\U00030001", "\U000312ab", "\U00020001", "\U0001f600"))]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[0] == got[1] == got[2] == "xx" and got[3] == "und"
+
+
 def test_language_of_nothing(docs):
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     for r in docs.collect():
@@ -715,6 +732,65 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, DIR).collect()} == {r.doc_id for r in rows}
 
 
+def test_run_equals_a_plain_version(spark):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    best = {r.doc_id for r in quality.grade(docs, quality.fit(docs, labels)).collect() if r.p_best >= 0.5}
+    rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in best}
+    first = {i: c for i, (_, c) in brute_classes([(i, r["text"]) for i, r in rows.items()]).items()}
+    rows = {i: r for i, r in rows.items() if first[i] == i}
+    for r in rows.values():
+        hidden = [False] * len(r["text"])
+        for s, e, _ in secretscan.scan(r["text"])[1]:
+            hidden[s:e] = [True] * (e - s)
+        out, spans = "", sorted(secretscan.scan(r["text"])[1])
+        for k, c in enumerate(r["text"]):
+            if not hidden[k]:
+                out += c
+            elif any(s == k and not (k and hidden[k - 1] and not any(e == k for _, e, _ in spans)) for s, _, _ in spans):
+                out += "[secret]"
+        if out != r["text"]:
+            r["text"], r["n_chars"] = out, len(out)
+    mid = spark.createDataFrame(list(rows.values()), docs.schema)
+    model = mixing.fit_domains(mid, labels)
+    scored = mixing._scored(mid, model, [F.col("doc_id")]).withColumn("u", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id").cast("long")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    steps, _ = mixing.fit_rates(scored, None, mixing.ANCHOR)
+    kept = set()
+    for r in scored.select("doc_id", "u", *(f"p_{k}" for k in mixing.DOMAINS)).collect():
+        x = 1.0
+        for v in steps:
+            x = max(0.0, x - sum(r[f"p_{k}"] * w for k, w in zip(mixing.DOMAINS, v)))
+        if x + r.u >= 1:
+            kept.add(r.doc_id)
+    tok = Tokenizer.from_file(tokenizer_path())
+    pieces = {}
+    for r in cp.run(spark, DIR).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == kept and 0 < len(kept) < len(first)
+    for i, own in pieces.items():
+        ids = np.array([*tok.encode(rows[i]["text"], add_special_tokens=False).ids, 1], np.uint32)
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pipeline_of_odd_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline as cp
+
+    folder = str(tmp_path)
+    docs.withColumns({"__row": F.lit(1), "sig": F.lit("x")}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0), (3, 1, 0), (3, 1, 0), (6, None, 0), (None, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert cp.run(spark, folder).select("doc_id").distinct().count() > 0
+    empty.write.parquet(f"{folder}/none/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").where("false").write.parquet(f"{folder}/none/labels.parquet")
+    assert cp.run(spark, f"{folder}/none").count() == 0
+
+
 def test_hashes_of_runs_do_not_depend_on_pieces():
     data = np.frombuffer(b"a bb  " + b"x" * 40 + b" a bb", np.uint8)
     inside = data != 32
