@@ -51,8 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Tokenizers, fits and classes have no SQL form; tests/llm runs the stages on a small table and looks at their columns,
-# unequal texts, absent base spans and doc_ids; no test holds run() against a plain version.
+# Tokenizers, fits and classes have no SQL form; tests/llm holds run() against a plain version on sf0.001, and runs it on odd and empty tables.
 ORACLE_SQL: str | None = None
 
 
