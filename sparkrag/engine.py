@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.config import Settings
-from sparkrag.operators import chunking, citations, fts, retrieval, store
+from sparkrag.operators import chunking, citations, fts, retrieval, store, sync
 from sparkrag.sources import loaders
 
 
@@ -39,8 +40,8 @@ class Engine:
         # written once: what follows reads the rows back and does not depend on executors that held them
         return self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start)
 
-    def _append(self, rows: DataFrame, start: int, gone: DataFrame | None = None) -> int:
-        """Publish new chunk rows with their vectors and postings; gone: chunk_ids that leave in the same version."""
+    def _append(self, rows: DataFrame, start: int, gone: DataFrame | None = None, also: dict[str, list[str]] | None = None) -> int:
+        """Publish new chunk rows with their vectors and postings; gone: chunk_ids that leave, also: parts of other tables, in the same version."""
         held = self.store.manifest(start)["tables"]
         part = self.store.write("chunks", rows)
         new = self.store.read([part])
@@ -50,7 +51,7 @@ class Engine:
         kept = {k: held.get(k, []) for k in added}
         if gone is not None:
             kept = {k: [self.store.write(k, self.store.read(v).join(gone, "chunk_id", "left_anti"))] if v else [] for k, v in kept.items()}
-        self.store.publish(parts={k: [*kept[k], v] for k, v in added.items()}, expect=start)
+        self.store.publish(parts={k: [*kept[k], v] for k, v in added.items()} | (also or {}), expect=start)
         return n
 
     def update_source(self, source: str, docs: DataFrame) -> tuple[int, int]:
@@ -68,7 +69,58 @@ class Engine:
         top = old[0].agg(F.max("chunk_id")).first()[0] or 0
         new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), kept)
         n = gone.count()
-        return n, self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start, gone)
+        return n, self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start, gone, self._forgotten(start, source))
+
+    def _forgotten(self, start: int, source: str) -> dict[str, list[str]]:
+        """No parts for the baselines of a source and its parts."""
+        names = (k.partition(":")[::2] + (k,) for k in self.store.manifest(start)["tables"])
+        return {k: [] for kind, of, k in names if kind in sync.TABLES and (of == source or of.startswith(source + "#"))}
+
+    def baseline(self, source: str, version: int | None = None) -> sync.Baseline:
+        """What the last sync of a source left: revision (0: none), identity, documents and chunks."""
+        held = self.store.manifest(version)["tables"]
+        found = {k: self.store.read(p) if (p := held.get(f"{k}:{source}")) else self.spark.createDataFrame([], schema) for k, schema in sync.TABLES.items()}
+        state = found["sync_sources"].first()
+        return sync.Baseline(state.revision if state else 0, state.identity if state else "", found["sync_documents"], found["sync_chunks"])
+
+    def sync_source(self, source: str, snapshot: DataFrame, expect: int | None = None, identity: str = "") -> dict:
+        """Bring a source to a snapshot (document_id, text and perhaps title, uri, location) in one version; returns its revision and counts by class.
+
+        Blank or repeated ids reject the snapshot as a whole, a revision other than `expect` is a conflict. Only added and changed chunks are embedded,
+        the others keep their chunk_id; another identity (of the model; settings are part of it) changes all. The first sync replaces the chunks of exactly
+        this source. Revisions of documents and chunks grow by one a sync, changed or not.
+        """
+        for c in ("title", "uri", "location"):
+            snapshot = snapshot if c in snapshot.columns else snapshot.withColumn(c, F.lit(""))
+        bad = sync.violations(snapshot, "document_id")
+        if not bad.isEmpty():
+            raise loaders.LoadError("invalid_request", str(bad.first()))
+        start, tables = self.store.version, self._tables()
+        base = self.baseline(source, start)
+        if expect is not None and expect != base.revision:
+            raise store.Conflict("revision_conflict")
+        identity = hashlib.sha256(repr((identity, self.settings.embedding, self.settings.chunk)).encode()).hexdigest()
+        other = base.revision > 0 and identity != base.identity
+        docs = sync.snapshot_documents(snapshot, source)
+        # staged once: the diff, the new rows and the next baseline read the same chunks
+        pieces = self.store.read([self.store.write("staging", sync.snapshot_chunks(docs, chunking.chunk_column(F.col("text"), self.settings.chunk)))])
+        by_doc = sync.diff(base.documents, docs, sync.DOCUMENT, other)
+        by_chunk = self.store.read([self.store.write("staging", sync.diff(base.chunks, pieces, sync.CHUNK, other))])
+        top = (tables[0].agg(F.max("chunk_id")).first()[0] or 0) if tables else 0
+        fresh = pieces.join(sync.to_embed(by_chunk, sync.CHUNK), sync.CHUNK, "left_semi")
+        fresh = self.store.read([self.store.write("staging", store.numbered(fresh, ["document_id", "ord"], top))])
+        if base.revision:
+            gone = base.chunks.join(by_chunk.where("class in ('changed', 'deleted')"), sync.CHUNK, "left_semi").select("chunk_id")
+        else:
+            gone = tables[0].where(F.col("source") == source).select("chunk_id") if tables else None
+        gone = None if gone is None or gone.isEmpty() else gone
+        kept = base.chunks.join(by_chunk.where("class = 'unchanged'"), sync.CHUNK, "left_semi")
+        ids = kept.select(*sync.CHUNK, "chunk_id").unionByName(fresh.select(*sync.CHUNK, "chunk_id"))
+        state = self.spark.createDataFrame([(base.revision + 1, identity)], sync.TABLES["sync_sources"])
+        following = {"sync_sources": state, "sync_documents": sync.promoted(base.documents, by_doc, sync.DOCUMENT), "sync_chunks": sync.promoted(base.chunks, by_chunk, sync.CHUNK).join(ids, sync.CHUNK)}
+        report = {k: {r["class"]: r.n for r in sync.counts(d).collect()} for k, d in (("documents", by_doc), ("chunks", by_chunk))}
+        self._append(store.chunk_rows(fresh), start, gone, {f"{k}:{source}": [self.store.write(k, df)] for k, df in following.items()})
+        return {"source": source, "revision": base.revision + 1} | report
 
     def _index(self) -> fts.Index:
         return fts.Index(self.store.table("postings"), self.store.table("lengths"))
@@ -93,11 +145,18 @@ class Engine:
         chunks, _ = self._tables()
         gone = chunks.where(store.of_source(source)).select("chunk_id")
         n = gone.count()
-        self.store.publish({k: self.store.table(k).join(gone, "chunk_id", "left_anti") for k in self.store.manifest(start)["tables"]}, expect=start)
+        kept = {k: self.store.table(k).join(gone, "chunk_id", "left_anti") for k in self._index_tables(start)}
+        self.store.publish(kept, expect=start, parts=self._forgotten(start, source))
         return n
 
+    def _index_tables(self, start: int) -> list[str]:
+        return [k for k in self.store.manifest(start)["tables"] if k.partition(":")[0] not in sync.TABLES]
+
     def reset(self) -> None:
-        self.store.publish({k: self.store.table(k).where("false") for k in self.store.manifest()["tables"]})
+        start = self.store.version
+        own = self._index_tables(start)
+        baselines = {k: [] for k in self.store.manifest(start)["tables"] if k not in own}
+        self.store.publish({k: self.store.table(k).where("false") for k in own}, expect=start, parts=baselines)
 
     def rebuild(self) -> int:
         """Embed all chunks anew beside the live index, check, cut over. Writes are refused meanwhile, by any driver; reads go on."""

@@ -177,8 +177,15 @@ def sources(rows: DataFrame) -> DataFrame:
 def ingested(docs: DataFrame, chunks: Column, existing: DataFrame | None = None) -> DataFrame:
     """Chunk rows of documents (source, text, title, uri, location) with provenance defaults, deduplicated."""
     rows = docs.select("source", "title", "uri", "location", F.posexplode(chunks).alias("ord", "text"))
-    rows = rows.select("source", "ord", "text", md5_hex(F.col("text")).alias("md5"), F.col("title").alias("document_title"), F.coalesce(F.when(F.col("uri") != "", F.col("uri")), F.col("source")).alias("document_uri"), F.coalesce(F.when(F.col("location") != "", F.col("location")), F.concat(F.lit("chunk:"), F.col("ord").cast("string"))).alias("location"))
-    return deduplicated(rows, existing, ["source", "ord"])
+    return deduplicated(chunk_rows(rows, "ord"), existing, ["source", "ord"])
+
+
+def chunk_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """The store's columns, with provenance defaults, of pieces (source, ord, text, title, uri, location and perhaps chunk_id), and `more`."""
+    uri = F.coalesce(F.when(F.col("uri") != "", F.col("uri")), F.col("source")).alias("document_uri")
+    location = F.coalesce(F.when(F.col("location") != "", F.col("location")), F.concat(F.lit("chunk:"), F.col("ord").cast("string"))).alias("location")
+    own = ["chunk_id"] if "chunk_id" in rows.columns else []
+    return rows.select("source", *more, "text", md5_hex(F.col("text")).alias("md5"), F.col("title").alias("document_title"), uri, location, *own)
 
 
 def index_problems(chunks: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:

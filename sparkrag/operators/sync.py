@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.functions.text import newlines, sha256_hex, trim_ws
+from sparkrag.functions.text import chunk_key, newlines, ordinal_key, sha256_hex, trim_ws
+
+DOCUMENT, CHUNK = ["source", "document_id"], ["source", "document_id", "chunk_key"]
+#: Tables of a source's baseline; the store holds one of each a source, named `<table>:<source>`, so that a sync rewrites its own only.
+TABLES = {
+    "sync_sources": "revision long, identity string",
+    "sync_documents": "source string, document_id string, content_hash string, revision long",
+    "sync_chunks": "source string, document_id string, chunk_key string, content_hash string, revision long, chunk_id long",
+}
+
+
+@dataclass(frozen=True)
+class Baseline:
+    revision: int
+    identity: str
+    documents: DataFrame
+    chunks: DataFrame
 
 
 def canonical(text: Column) -> Column:
@@ -16,6 +34,18 @@ def content_hash(text: Column) -> Column:
     return sha256_hex(canonical(text))
 
 
+def snapshot_documents(snapshot: DataFrame, source: str) -> DataFrame:
+    """A snapshot's documents in canonical form, with their hashes."""
+    text = canonical(F.coalesce(F.col("text"), F.lit("")))
+    return snapshot.select(F.lit(source).alias("source"), trim_ws(F.col("document_id")).alias("document_id"), text.alias("text"), sha256_hex(text).alias("content_hash"), "title", "uri", "location")
+
+
+def snapshot_chunks(docs: DataFrame, chunks: Column) -> DataFrame:
+    """Chunks of a snapshot's documents with key and hash."""
+    rows = docs.select(*DOCUMENT, "title", "uri", "location", F.posexplode(chunks).alias("ord", "text"))
+    return rows.withColumns({"chunk_key": chunk_key(F.col("source"), F.col("document_id"), ordinal_key(F.col("ord"))), "content_hash": content_hash(F.col("text"))})
+
+
 def violations(snapshot: DataFrame, key: str) -> DataFrame:
     """Blank or repeated keys, which make a snapshot invalid as a whole."""
     k = trim_ws(F.coalesce(F.col(key), F.lit("")))

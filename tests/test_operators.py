@@ -120,6 +120,52 @@ def test_sync_revisions_and_queue(spark):
     assert q.recover() == 1 and q.retry(1, 1)["attempt"] == 2
 
 
+def test_sync_of_a_source(spark, tmp_path):
+    asked = tmp_path / "asked"  # written by the workers
+
+    def model(texts):
+        with asked.open("a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return retrieval.hash_embedder(32)(texts)
+
+    e = Engine(spark, str(tmp_path / "store"), model, Settings(embedding=Settings().embedding.__class__(dims=32)))
+    e.ingest(spark.createDataFrame([("wiki", "An old row."), ("wiki#part", "A part stays."), ("other", "Another source.")], "source string, text string"))
+
+    def sync_of(rows, **given):
+        return e.sync_source("wiki", spark.createDataFrame(rows, "document_id string, text string"), **given)
+
+    def ids():
+        return {r.document_id: r.chunk_id for r in e.baseline("wiki").chunks.collect()}
+
+    first = sync_of([("a", "Redis is a cache."), (" b ", "MySQL has indexes.\r\n"), ("c", "Kafka is a log.")], expect=0)
+    assert first == {"source": "wiki", "revision": 1, "documents": {"added": 3}, "chunks": {"added": 3}}
+    texts = {r.text for r in e.store.table("chunks").collect()}
+    assert "An old row." not in texts and {"A part stays.", "Another source.", "MySQL has indexes."} <= texts
+    before = ids()
+    asked.write_text("")
+    second = sync_of([("a", "Redis is a cache."), ("b", "MySQL has new indexes."), ("d", "Go is a language.")], expect=1)
+    assert second["documents"] == second["chunks"] == {"unchanged": 1, "changed": 1, "added": 1, "deleted": 1}
+    assert sorted(asked.read_text().splitlines()) == ["Go is a language.", "MySQL has new indexes."]
+    after = ids()
+    assert after["a"] == before["a"] and after["b"] != before["b"] and set(after) == {"a", "b", "d"}
+    assert {r.document_id: r.revision for r in e.baseline("wiki").documents.collect()} == {"a": 2, "b": 2, "d": 1}
+    assert {r.chunk_id for r in e.store.table("chunks").where("source = 'wiki'").collect()} == set(after.values())
+    assert sum(r.n for r in e.integrity().collect()) == 0
+    assert e.retrieve("language", 1).first().text == "Go is a language."
+    version = e.store.version
+    with pytest.raises(store.Conflict):
+        sync_of([("a", "x")], expect=1)
+    for rows in ([("", "x")], [("a", "x"), ("a ", "y")]):
+        with pytest.raises(loaders.LoadError):
+            sync_of(rows)
+    assert e.store.version == version
+    assert sync_of([("a", "Redis is a cache.")], identity="another model")["chunks"] == {"changed": 1, "deleted": 2}
+    assert sync_of([])["documents"] == {"deleted": 1} and e.store.table("chunks").where("source = 'wiki'").isEmpty()
+    assert e.delete_source("wiki") == 1 and e.baseline("wiki").revision == 0
+    e.reset()
+    assert e.store.table("chunks").isEmpty()
+
+
 def test_loaders(spark, tmp_path):
     assert loaders.visible_text("<html><head><title>x</title></head><body><script>a</script><nav>m</nav><article>Hello <b>world</b></article><footer>f</footer></body></html>") == "Hello world"
     assert loaders.canonical_json('{"z":1.50,"a":{"b":true,"c":null,"d":[]},"q":"x\\n\\u00e9\\u0001"}') == '{\n"a": {\n"b": true,\n"c": <nil>,\n"d": [\n\n]\n},\n"q": "x\\né\\x01",\n"z": 1.50\n}'
