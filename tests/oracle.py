@@ -23,7 +23,7 @@ def connect(sf_dir: str):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in r) for r in df.itertuples(index=False))
 
 
