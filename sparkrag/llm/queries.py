@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkrag.llm import audio, digest, htmltree, langid, mixing, packing, partenum, quality, secretscan, sharding
+from sparkrag.llm import audio, digest, htmltree, infill, langid, mixing, packing, partenum, quality, resample, secretscan, sharding, topk
 from sparkrag.llm.common import documents
 from sparkrag.shipping import ship
 
@@ -58,7 +59,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(documents(ship(spark), sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_packing, op3_langid, op4_mixing, op5_jaccard_join, op6_sharding, op7_fingerprint, op8_audio, op9_extraction, op10_secrets)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(documents(ship(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
-# The methods of these operators (fits, hashes of other kinds, tokenizers) have no SQL form; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.infill(documents(ship(spark), sf_dir)))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(ship(spark), sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_packing, op3_langid, op4_mixing, op5_jaccard_join, op6_sharding, op7_fingerprint, op8_audio, op9_extraction, op10_secrets, op11_topk, op12_infill, op13_resample)}
+
+# The methods of the other operators (fits, hashes of other kinds, tokenizers) have no SQL form; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op11_topk": topk.SQL, "op12_infill": infill.SQL, "op13_resample": resample.SQL}
