@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.config import Chunk, Retrieve
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, retrieval, store, sync
 from sparkrag.sources import loaders, stored
 from sparkrag.streaming import stream
 
@@ -43,13 +43,18 @@ _INDEXES: dict[tuple[str, str], fts.Index] = {}
 
 
 def full_text(spark: SparkSession, sf_dir: str) -> fts.Index:
-    """The documents' full-text index, built at the first query of a session and stored in the shared folder."""
+    """The documents' full-text index with its dictionary and counts, built at the first query of a session and stored in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         made, root = fts.postings(documents(spark, sf_dir), "doc_id", "text"), f"{stored.shared_folder(spark)}/sparkrag/index-{uuid.uuid4().hex}"
-        for name in ("postings", "lengths"):
-            getattr(made, name).write.parquet(f"{root}/{name}")
-        _INDEXES[key] = fts.Index(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "lengths")))
+
+        def kept(name, df):
+            df.write.parquet(f"{root}/{name}")
+            return spark.read.parquet(f"{root}/{name}")
+
+        lengths, postings = kept("lengths", made.lengths), kept("postings", made.postings)
+        n = lengths.agg(F.count(F.lit(1)).alias("total"), F.sum("len").alias("tokens")).first()
+        _INDEXES[key] = fts.Index(postings, lengths, kept("terms", fts.dictionary(postings)), n.total, n.tokens or 0)
     return _INDEXES[key]
 
 
@@ -246,6 +251,21 @@ _bm25_query("bm25_phrase", '"licensed under"', ["len(list_filter(range(1, dl), l
 _bm25_query("bm25_first", "^the", ["CASE WHEN toks[1] = 'the' THEN 1 ELSE 0 END"], "f0 > 0", [0])
 
 
+@query(f"""WITH {_TOK}, q AS (SELECT chunk_id AS query_id, toks[1:3] AS words FROM i WHERE chunk_id % 50 = 0),
+e AS (SELECT chunk_id, dl, term, count(*)::DOUBLE AS f FROM (SELECT chunk_id, dl, unnest(toks) AS term FROM i) GROUP BY ALL), d AS (SELECT term, count(*) AS n FROM e GROUP BY term),
+w AS (SELECT query_id, unnest(list_distinct(words)) AS term FROM q),
+s AS (SELECT query_id, e.chunk_id, sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 0.000001) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / adl))) AS score FROM w JOIN e USING (term) JOIN d USING (term), a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(-score, 9), chunk_id)::INT AS pos FROM s)
+SELECT query_id, chunk_id, pos, round(score, 6) AS score FROM r WHERE pos <= 10""")
+def bm25_batch(spark, d):
+    """The first three words of every 50th document as one expression each, in one plan."""
+    words = F.slice(X.tokens(F.col("text")), 1, 3)
+    q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " OR ").alias("query"))
+    found = fts_batch.search(full_text(spark, d), q, 10)
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9), "chunk_id"))
+    return found.select("query_id", "chunk_id", pos.alias("pos"), F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_KNN}, {_TOK}, {_bm25_sql([_word('the'), _word('of'), _word('and')], 'f0 > 0 AND f1 > 0 AND f2 > 0', [0, 1, 2])},
 n AS (SELECT chunk_id, score / max(score) OVER () AS bm FROM b),
 x AS (SELECT coalesce(k.chunk_id, n.chunk_id) AS chunk_id, coalesce(vec_score, 0) AS vs, coalesce(bm, 0) AS bs FROM k FULL JOIN n ON k.chunk_id = n.chunk_id),

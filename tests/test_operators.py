@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve, Settings, tightened
 from sparkrag.engine import Engine
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, retrieval, store, sync
 from sparkrag.sources import loaders
 
 
@@ -270,6 +270,50 @@ def test_index_equals_token_arrays(spark):
         assert a == b, q
 
 
+def test_many_expressions_in_one_plan_equal_one_by_one(spark):
+    rng = random.Random(7)
+    vocabulary = ["red", "rod", "rust", "blue", "green", "the", "é", "x1"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(120)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    made = fts.postings(docs, "k", "t")
+    index = fts.Index(made.postings.persist(), made.lengths.persist())
+    odd = ["red", '"red blue"', "r*", '"the gre" *', "^the", "^the red", "red NOT blue", "red OR (blue the)", "NEAR(red blue, 2)", "nothing", '"red red red"', "NEAR(red the green, 3) OR absent", "red red", "(", "", None, "a:b", "ru* NOT (rod OR x1)", '""', '"" OR red', "NEAR(^red r*, 1)", "É", "(" * 5000, "red OR nothing*"]
+    term = lambda: rng.choice([*vocabulary, "r*", '"red the"', "^blue", "NEAR(red x1, 4)", "absent"])
+    many = list(dict.fromkeys(f"{term()} {rng.choice(('AND', 'OR', 'NOT', ''))} {term()} {rng.choice(('AND', 'OR', 'NOT'))} ({term()} {term()})" for _ in range(40)))
+    asked = spark.createDataFrame(list(enumerate(odd + many)) + [(900, "red")], "query_id long, query string")
+    want = []
+    for i, q in enumerate(odd + many):
+        try:
+            rows = fts.bm25(index, q or "", 9).collect()
+        except (fts.MatchError, RecursionError):
+            continue
+        want += [(k, r.chunk_id, round(r.score, 9)) for r in rows for k in ([i, 900] if q == "red" else [i])]
+    full = fts.Index(index.postings, index.lengths, fts.dictionary(index.postings).persist(), *spark.createDataFrame([(len(texts),)], "n long").crossJoin(index.lengths.selectExpr("sum(len) s")).first())
+    for x, named in ((index, 1000), (full, 1000), (full, 2)):
+        got = fts_batch.search(x, asked, 9, named).collect()
+        assert sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in got) == sorted(want) and all(r["rank"] == -r.score for r in got)
+
+
+def test_a_thousand_expressions_are_one_plan(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(400)]
+    made = fts.postings(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t")
+    index = fts.Index(made.postings.persist(), made.lengths.persist(), None, 400, 16_000)
+    pairs = {i: (f"w{i % 300}", f"w{(i * 7 + i // 300) % 300}") for i in range(1000)}
+    asked = spark.createDataFrame([(i, " OR ".join(p)) for i, p in pairs.items()], "query_id long, query string")
+    found = fts_batch.search(index, asked)
+    assert found._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") <= 4  # the postings, at most once for scores and once for frequencies
+    want = sum(len({k for k, t in enumerate(texts) if a in t.split() or b in t.split()}) for a, b in pairs.values())
+    assert found.count() == want
+
+
+def test_terms_of_a_text_are_gathered_in_its_row(spark):
+    rows = spark.createDataFrame([(1, "b a b  c a b"), (2, ""), (3, None), (4, "x")], "k int, t string")
+    got = {r.k: [(p.term, p.positions) for p in r.p or []] for r in rows.select("k", fts.by_term(X.tokens(F.col("t"))).alias("p")).collect()}
+    assert got == {1: [("a", [1, 4]), ("b", [0, 2, 5]), ("c", [3])], 2: [], 3: [], 4: [("x", [0])]}
+
+
 def test_two_writers_do_not_share_files(spark, tmp_path):
     a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
     rows = lambda n: spark.range(n)
