@@ -8,6 +8,9 @@ prototype with the greatest cosine. Texts are lower-cased; everything that is no
 Training takes labelled rows in order of a hash of doc_id up to `max_train` rows (a documented bound of the fit only; every
 row's whole text is predicted). Prototypes are summed by partitions, so the driver gets languages x dimensions numbers.
 
+Memory is bounded by the block of 2 MB of text: besides it, three vectors for each letter of the block's alphabet and a table of at most 128 texts by 2048
+of their own trigrams.
+
 Defined results: null text or one without a letter is `und` with score 0; with nothing to learn from every row is
 `und`; scores are cosines clipped to 0..1; ties go to the first language in alphabetical order; rows repeat as they come;
 null doc_ids are never held out; other columns are not looked at.
@@ -89,6 +92,8 @@ class Space:
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.known:
+            if len(self.known) >= 1 << 14:
+                self.known.clear()
             self.known[code] = letter_vector(code, self.dims, self.seed)
         return self.known[code]
 
@@ -111,21 +116,31 @@ class Space:
             distinct, col = np.unique(key, return_inverse=True)
         base = np.stack([self.letter(int(c)) for c in alphabet])
         p2, p1 = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-        # groups of texts, so that the table of counts stays small
-        step = 128
-        edge = np.searchsorted(doc, np.arange(0, len(texts) + step, step))
-        for g in range(len(edge) - 1):
-            lo, hi = edge[g], edge[g + 1]
+
+        def add(a: int, z: int) -> None:
+            """Texts a..z: their own trigrams in parts, so that the table of counts stays small; alone, where they share few."""
+            lo, hi = np.searchsorted(doc, (a, z))
             if lo == hi:
-                continue
-            n = min(step, len(texts) - g * step)
-            counts = np.bincount((doc[lo:hi] - g * step) * len(distinct) + col[lo:hi], minlength=n * len(distinct)).reshape(n, -1)
-            used = np.flatnonzero(counts.any(axis=0))
-            for u in range(0, len(used), 4096):
-                part = used[u : u + 4096]
-                d = distinct[part]
+                return
+            by = np.argsort(col[lo:hi], kind="stable")
+            row, own = (doc[lo:hi] - a)[by], col[lo:hi][by]
+            new = np.append(True, own[1:] != own[:-1])
+            first, place = np.flatnonzero(new), np.cumsum(new) - 1  # where each trigram begins
+            if z - a > 1 and hi - lo < (z - a) * len(first) // 16:
+                for t in range(a, z):
+                    add(t, t + 1)
+                return
+            for u in range(0, len(first), most):
+                at, to = first[u], first[u + most] if u + most < len(first) else len(own)
+                width = min(most, len(first) - u)
+                counts = np.bincount(row[at:to] * width + (place[at:to] - u), minlength=(z - a) * width).reshape(z - a, width)
+                d = distinct[own[first[u : u + width]]]
                 vectors = p2[d // (k * k)] * p1[d // k % k] * base[d % k]
-                out[g * step : g * step + n] += counts[:, part].astype(np.float32) @ vectors.astype(np.float32)
+                out[a:z] += counts.astype(np.float32) @ vectors.astype(np.float32)
+
+        step, most = 128, 2048
+        for at in range(0, len(texts), step):
+            add(at, min(at + step, len(texts)))
         return out
 
 

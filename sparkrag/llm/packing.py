@@ -8,7 +8,7 @@ Where slack is left, one more rest is cut so that its head fills it. What remain
 one window, is cut into sequences of powers of two.
 
 Each partition packs its own rows in blocks of at most `block_bytes` of text and carries less than one window from
-block to block: no shuffle, memory bounded by the block, and a lost task is simply run again.
+block to block: no shuffle, memory bounded by the block and the words a worker remembers (some 128 MB), and a lost task is simply run again.
 
 Defined results: null text is empty (one token, the end id); a repeated row is packed once for each time it occurs; a null doc_id stays
 null; an empty table gives no pieces; other columns are not looked at.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 from collections import deque
 from functools import lru_cache
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from sparkrag.llm.common import blocks
 
 END_ID = 1
+_SLOT = 100  # bytes of an entry of a growing dict, about
 # Fixed value: the splitting rule of byte-level BPE files of this kind.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -148,9 +150,12 @@ class CachedTokenizer:
     space, so such a text is the concatenation of its parts. A part seen for the first time is merged by the same
     file's vocabulary and splitting rule in tiktoken, which is quicker for single words; texts with other
     spaces or an added token (such as <|endoftext|>) go through `tokenizers` whole. The ids are the same either way (tests hold them against `tokenizers`).
+
+    Parts of at most `longest` characters are remembered, until they take some `most` bytes; longer ones, as texts without spaces have them, are
+    forgotten after the call.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 128 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -163,7 +168,7 @@ class CachedTokenizer:
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
         self.quick = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
+        self.most, self.longest, self.held = most, longest, 0
         self.known: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -172,22 +177,28 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
         cut = [t.split(" ") for t in texts]
-        if len(self.known) > self.most:
+        if self.held > self.most:
             self.known.clear()
-        known, quick, missing = self.known, self.quick.encode_ordinary, set()
+            self.held = 0
+        known, quick, missing, once = self.known, self.quick.encode_ordinary, set(), {}
         for parts in cut:
             missing.update(parts[1:])
         for p in missing.difference(known):
             if p and not p[0].isspace() and not p[-1].isspace():
                 ids = quick(" " + p)
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                raw = struct.pack(f"<{len(ids)}I", *ids)
+                if len(p) <= self.longest:
+                    known[p] = raw
+                    self.held += sys.getsizeof(p) + sys.getsizeof(raw) + _SLOT
+                else:
+                    once[p] = raw
         out, whole = [], []
         for i, parts in enumerate(cut):
             head = parts[0]
             try:
                 if not head or head[-1].isspace() or any(a in texts[i] for a in self.added):
                     raise KeyError
-                out.append(np.array(quick(head), np.uint32).tobytes() + b"".join([known[p] for p in parts[1:]]))
+                out.append(np.array(quick(head), np.uint32).tobytes() + b"".join([known[p] if len(p) <= self.longest else once[p] for p in parts[1:]]))
             except KeyError:
                 out.append(b"")
                 whole.append(i)

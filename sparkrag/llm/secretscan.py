@@ -53,13 +53,27 @@ ENCODINGS = {
     "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
-_SETS = [(k, frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ENCODINGS.items()]
+_SETS = [(k, frozenset(v)) for k, v in ENCODINGS.items()]
 
 
-def infer(token: str):
-    """The smallest alphabet that holds the token (without = padding), or None."""
+def _codes(alphabet: str) -> np.ndarray:
+    """Place in the alphabet of each character of ASCII."""
+    t = np.zeros(128, np.int64)
+    for i, c in enumerate(alphabet):
+        t[ord(c)] = i
+    return t
+
+
+_CODES = {k: _codes(v) for k, v in ENCODINGS.items()}
+
+
+def infer(token: str) -> str | None:
+    """The smallest encoding whose alphabet holds the token (without = padding), or None."""
     have = set(token)
-    return next(((k, v) for k, s, v in _SETS if have <= s), None)
+    for k, s in _SETS:
+        if have <= s:
+            return k
+    return None
 
 
 def _chi2_sf(x: float, k: int) -> float:
@@ -80,29 +94,31 @@ def _cell(c: str) -> int:
 
 
 _CELLS = {k: np.array([_cell(c) for c in v]) for k, v in ENCODINGS.items()}
+_SHARES = {k: [(i, n / len(v)) for i, n in enumerate(np.bincount(v, minlength=5).tolist()) if n] for k, v in _CELLS.items()}
 
 
 def battery(codes: np.ndarray, encoding: str) -> tuple[float, float, float]:
     """p-values of uniformity, runs and serial correlation for symbol codes of an encoding."""
     n, size = len(codes), len(ENCODINGS[encoding])
-    cells = _CELLS[encoding]
-    share = np.bincount(cells, minlength=5) / size
-    c = np.bincount(cells[codes], minlength=5)[share > 0]
-    want = n * share[share > 0]
-    p_chi = _chi2_sf(float(((c - want) ** 2 / want).sum()), len(want) - 1)
+    c = np.bincount(_CELLS[encoding][codes], minlength=5).tolist()
+    shares = _SHARES[encoding]
+    chi = 0.0
+    for i, f in shares:
+        chi += (c[i] - n * f) ** 2 / (n * f)
+    p_chi = _chi2_sf(chi, len(shares) - 1)
     high = codes * 2 >= size
-    a = int(high.sum())
+    a = int(np.count_nonzero(high))
     b = n - a
     if a == 0 or b == 0:
         p_runs = 0.0
     else:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
+        runs = 1 + int(np.count_nonzero(high[1:] != high[:-1]))
         mean = 1 + 2 * a * b / n
         var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
         p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * var))
-    x = codes - codes.mean()
-    v = float((x * x).sum())
-    r = float((x[1:] * x[:-1]).sum()) / v if v else 1.0
+    x = codes - int(np.add.reduce(codes)) / n
+    v = float(x @ x)
+    r = float(x[1:] @ x[:-1]) / v if v else 1.0
     p_ser = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
     return p_chi, p_runs, p_ser
 
@@ -113,8 +129,8 @@ def randomness(token: str) -> tuple[str, float] | None:
     kind = infer(body) if len(body) >= 16 else None
     if kind is None:
         return None
-    codes = np.fromiter((kind[1][c] for c in body), np.int64, len(body))
-    return kind[0], min(1.0, 3 * min(battery(codes, kind[0])))
+    codes = _CODES[kind][np.frombuffer(body.encode("ascii"), np.uint8)]
+    return kind, min(1.0, 3 * min(battery(codes, kind)))
 
 
 def word_like(rng: np.random.Generator, length: int, style: int) -> str:
@@ -166,22 +182,41 @@ def candidates(text: str, taken: list[tuple[int, int]]):
         at = max(at, y)
 
 
+def better(a: list[tuple[float, int, int]], b: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of two lists of (p, start, end), each in order of place and without overlaps, what the least p, then the earlier place, leave standing.
+
+    All overlaps of the one list with the other are as many as both have entries at most, so the time is linear but for a sort.
+    """
+    near: list[list[int]] = [[] for _ in range(len(a) + len(b))]  # entries of b are numbered after those of a
+    j = 0
+    for i, (_, x, y) in enumerate(a):
+        while j < len(b) and b[j][2] <= x:
+            j += 1
+        k = j
+        while k < len(b) and b[k][1] < y:
+            near[i].append(len(a) + k)
+            near[len(a) + k].append(i)
+            k += 1
+    both, kept = [*a, *b], [False] * len(near)
+    for i in sorted(range(len(both)), key=both.__getitem__):
+        kept[i] = not any(kept[n] for n in near[i])
+    return [c for c, k in zip(both, kept) if k]
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], alpha: float, q: float) -> list[tuple[int, int]]:
     found = []
     for s, e in candidates(text, taken):
         token = text[s:e]
-        parts = [(0, e - s)] if infer(token.rstrip("=")) else [m.span() for rx in _PIECES for m in rx.finditer(token)]
+        by = [[(0, e - s)]] if infer(token.rstrip("=")) else [[m.span() for m in rx.finditer(token)] for rx in _PIECES]
         scored = []
-        for x, y in parts:
-            r = randomness(token[x:y])
-            if r is not None:
-                scored.append((discovery_p(r[1], len(token[x:y].rstrip("=")), r[0]) if r[1] >= alpha else 1.0, s + x, s + y))
-        # pieces by the two alphabets may overlap: the better one stays
-        own: list[tuple[float, int, int]] = []
-        for c in sorted(scored):
-            if all(c[2] <= x or y <= c[1] for _, x, y in own):
-                own.append(c)
-        found += own
+        for parts in by:
+            own = []
+            for x, y in parts:
+                r = randomness(token[x:y])
+                if r is not None:
+                    own.append((discovery_p(r[1], len(token[x:y].rstrip("=")), r[0]) if r[1] >= alpha else 1.0, s + x, s + y))
+            scored.append(own)
+        found += scored[0] if len(scored) == 1 else better(*scored)
     found.sort()
     keep, m = 0, len(found)
     for i, (p, _, _) in enumerate(found, 1):

@@ -799,3 +799,66 @@ def test_hashes_of_runs_do_not_depend_on_pieces():
     assert all((common.run_hashes(data, starts, inside, common.byte_codes(23), piece) == whole).all() for piece in (1, 7, 50))
     assert whole[0] == whole[3] and whole[1] == whole[4] and len(set(whole)) == 3
     assert not len(common.run_hashes(data[:0], starts[:0], inside[:0], common.byte_codes(23)))
+
+
+# ---- bounds of one text, one block, one worker
+
+
+def test_better_pieces_equal_a_plain_choice():
+    rng = random.Random(12)
+    for _ in range(300):
+        lists = []
+        for _ in range(2):
+            at, own = 0, []
+            for _ in range(rng.randint(0, 9)):
+                at += rng.randint(0, 6)
+                own.append((rng.choice((0.1, 0.2, 0.5, 1.0)), at, at + rng.randint(1, 12)))
+                at = own[-1][2]
+            lists.append(own)
+        want = []
+        for c in sorted(lists[0] + lists[1]):
+            if all(c[2] <= x or y <= c[1] for _, x, y in want):
+                want.append(c)
+        assert sorted(secretscan.better(*lists)) == sorted(want)
+
+
+def test_long_runs_of_mixed_pieces_take_linear_time():
+    rng = random.Random(1)
+    letters = secretscan.ENCODINGS["base62"]
+    text = "".join("".join(rng.choices(letters, k=24)) + "+-"[i % 2] for i in range(40_000))
+    secretscan.scan(text[:1000])
+    at = time.time()
+    _, spans = secretscan.scan(text)
+    assert time.time() - at < 25 and len(spans) > 10_000
+
+
+def blind(rng, n):
+    return "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+def test_token_cache_is_bounded_in_bytes():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    fresh, t = Tokenizer.from_file(tokenizer_path()), packing.CachedTokenizer(tokenizer_path(), most=100_000)
+    for k in range(60):
+        texts = [f"w{k} {blind(rng, 500)} x{blind(rng, 30)} {'b64' * 400}", blind(rng, 300), " ".join(str(rng.random()) for _ in range(50))]
+        assert t.encode(texts) == [np.array(fresh.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
+        assert all(len(p) <= t.longest for p in t.known) and t.held < 100_000 + 20_000
+
+
+def test_language_block_of_a_large_alphabet_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [blind(rng, 2650) for _ in range(128)]  # 1 MB, nearly all trigrams different
+    langid.Space().bundle(["abc"])
+    tracemalloc.start()
+    got = langid.Space().bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    # alone or in company, a text has the same vector
+    few = [t[:60] for t in texts[:5]] + ["abc abd", "abc"]
+    assert np.array_equal(langid.Space().bundle(few), np.concatenate([langid.Space().bundle([t]) for t in few]))
+    assert np.array_equal(got[7], langid.Space().bundle([texts[7]])[0])
