@@ -8,8 +8,7 @@ prototype with the greatest cosine. Texts are lower-cased; everything that is no
 Training takes labelled rows in order of a hash of doc_id up to `max_train` rows (a documented bound of the fit only; every
 row's whole text is predicted). Prototypes are summed by partitions, so the driver gets languages x dimensions numbers.
 
-Memory is bounded by the block of 2 MB of text: besides it, three vectors for each letter of the block's alphabet and a table of at most 128 texts by 2048
-of their own trigrams.
+Memory is bounded by the block of 2 MB of text: besides it, three vectors for each letter of the block's alphabet and tables of counts of at most 16 MB.
 
 Defined results: null text or one without a letter is `und` with score 0; with nothing to learn from every row is
 `und`; scores are cosines clipped to 0..1; ties go to the first language in alphabetical order; rows repeat as they come;
@@ -117,11 +116,23 @@ class Space:
         base = np.stack([self.letter(int(c)) for c in alphabet])
         p2, p1 = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
 
+        def use(a: int, z: int, counts: np.ndarray, keys: np.ndarray) -> None:
+            """Add the vectors of trigrams `keys` to texts a..z, as often as each holds them."""
+            held = np.flatnonzero(counts.any(axis=0))
+            for u in range(0, len(held), most):
+                part = held[u : u + most]
+                d = keys[part]
+                vectors = p2[d // (k * k)] * p1[d // k % k] * base[d % k]
+                out[a:z] += counts[:, part].astype(np.float32) @ vectors.astype(np.float32)
+
         def add(a: int, z: int) -> None:
-            """Texts a..z: their own trigrams in parts, so that the table of counts stays small; alone, where they share few."""
+            """Texts a..z: at once, where the block has few trigrams; else their own in parts, so that no table of counts grows; alone, where they share few."""
             lo, hi = np.searchsorted(doc, (a, z))
             if lo == hi:
                 return
+            if (z - a) * len(distinct) <= 1 << 21:
+                use(a, z, np.bincount((doc[lo:hi] - a) * len(distinct) + col[lo:hi], minlength=(z - a) * len(distinct)).reshape(z - a, -1), distinct)
+                return
             by = np.argsort(col[lo:hi], kind="stable")
             row, own = (doc[lo:hi] - a)[by], col[lo:hi][by]
             new = np.append(True, own[1:] != own[:-1])
@@ -134,9 +145,7 @@ class Space:
                 at, to = first[u], first[u + most] if u + most < len(first) else len(own)
                 width = min(most, len(first) - u)
                 counts = np.bincount(row[at:to] * width + (place[at:to] - u), minlength=(z - a) * width).reshape(z - a, width)
-                d = distinct[own[first[u : u + width]]]
-                vectors = p2[d // (k * k)] * p1[d // k % k] * base[d % k]
-                out[a:z] += counts.astype(np.float32) @ vectors.astype(np.float32)
+                use(a, z, counts, distinct[own[first[u : u + width]]])
 
         step, most = 128, 2048
         for at in range(0, len(texts), step):

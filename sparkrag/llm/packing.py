@@ -8,7 +8,7 @@ Where slack is left, one more rest is cut so that its head fills it. What remain
 one window, is cut into sequences of powers of two.
 
 Each partition packs its own rows in blocks of at most `block_bytes` of text and carries less than one window from
-block to block: no shuffle, memory bounded by the block and the words a worker remembers (some 128 MB), and a lost task is simply run again.
+block to block: no shuffle, memory bounded by the block and the words a worker remembers (some 48 MB), and a lost task is simply run again.
 
 Defined results: null text is empty (one token, the end id); a repeated row is packed once for each time it occurs; a null doc_id stays
 null; an empty table gives no pieces; other columns are not looked at.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import os
 import struct
-import sys
 from collections import deque
 from functools import lru_cache
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkrag.llm.common import blocks
 
 END_ID = 1
-_SLOT = 100  # bytes of an entry of a growing dict, about
+_ENTRY = 210  # bytes of a short text, its ids' bytes and a slot of a growing dict, besides the characters and ids themselves
 # Fixed value: the splitting rule of byte-level BPE files of this kind.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -155,7 +154,7 @@ class CachedTokenizer:
     forgotten after the call.
     """
 
-    def __init__(self, path: str, most: int = 128 << 20, longest: int = 64):
+    def __init__(self, path: str, most: int = 48 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -180,28 +179,29 @@ class CachedTokenizer:
         if self.held > self.most:
             self.known.clear()
             self.held = 0
-        known, quick, missing, once = self.known, self.quick.encode_ordinary, set(), {}
+        known, quick, missing, long = self.known, self.quick.encode_ordinary, set(), []
         for parts in cut:
             missing.update(parts[1:])
         for p in missing.difference(known):
             if p and not p[0].isspace() and not p[-1].isspace():
                 ids = quick(" " + p)
-                raw = struct.pack(f"<{len(ids)}I", *ids)
+                known[p] = raw = struct.pack(f"<{len(ids)}I", *ids)
                 if len(p) <= self.longest:
-                    known[p] = raw
-                    self.held += sys.getsizeof(p) + sys.getsizeof(raw) + _SLOT
+                    self.held += _ENTRY + 4 * len(p) + len(raw)
                 else:
-                    once[p] = raw
+                    long.append(p)
         out, whole = [], []
         for i, parts in enumerate(cut):
             head = parts[0]
             try:
                 if not head or head[-1].isspace() or any(a in texts[i] for a in self.added):
                     raise KeyError
-                out.append(np.array(quick(head), np.uint32).tobytes() + b"".join([known[p] if len(p) <= self.longest else once[p] for p in parts[1:]]))
+                out.append(np.array(quick(head), np.uint32).tobytes() + b"".join([known[p] for p in parts[1:]]))
             except KeyError:
                 out.append(b"")
                 whole.append(i)
+        for p in long:
+            del known[p]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = ids
         return out
