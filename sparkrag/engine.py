@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.config import Settings
@@ -20,56 +20,90 @@ class Engine:
         self.model = embed or retrieval.hash_embedder(settings.embedding.dims)
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
-        return chunks.select("chunk_id", retrieval.embed(F.col("text"), self.model, self.settings.embedding.dims).alias("embedding"))
+        return chunks.select("chunk_id", retrieval.embed(F.col("text"), self.model, self.settings.embedding.dims, batch=self.settings.embedding.batch).alias("embedding"))
 
     def _tables(self) -> tuple[DataFrame, DataFrame] | None:
-        m = self.store.manifest()["tables"]
-        return (self.store.table("chunks"), self.store.table("vectors")) if "chunks" in m else None
+        m = self.store.manifest()
+        return tuple(self.store.live(k, self.store.read(m["tables"][k]), m) for k in ("chunks", "vectors")) if m["tables"].get("chunks") else None
 
-    def ingest(self, docs: DataFrame) -> int:
-        """Documents (source, text and perhaps title, uri, location) into chunks, vectors and full-text index; returns new chunks. One publish, which
-        writes the new rows only."""
+    def _checked(self, docs: DataFrame) -> DataFrame:
         for c in ("title", "uri", "location"):
             docs = docs if c in docs.columns else docs.withColumn(c, F.lit(""))
         bad = loaders.problems(docs)
         if not bad.isEmpty():
             raise loaders.LoadError("invalid_request", str(bad.first()))
+        return docs
+
+    def ingest(self, docs: DataFrame, **meta) -> int:
+        """Documents (source, text and perhaps title, uri, location) into chunks, vectors and full-text index; returns new chunks. One publish, which
+        writes the new rows only; meta is kept with it."""
+        docs = self._checked(docs)
         start, old = self.store.version, self._tables()
         new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), old[0] if old else None)
-        top = (old[0].agg(F.max("chunk_id")).first()[0] or 0) if old else 0
-        # written once: what follows reads the rows back and does not depend on executors that held them
-        return self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start)
+        return self._append(new, ["source", "ord"], start, **meta)
+
+    def _top(self, start: int) -> int:
+        """The highest id ever given; for a store that never recorded it, the highest there is."""
+        m = self.store.manifest(start)
+        if m["top"] is None and m["tables"].get("chunks"):
+            return self.store.read(m["tables"]["chunks"]).agg(F.max("chunk_id")).first()[0] or 0
+        return m["top"] or 0
+
+    def _append(self, rows: DataFrame, order: list[str], start: int, gone: DataFrame | None = None, also: Callable[[DataFrame], dict[str, DataFrame]] | None = None, drop: dict[str, list[str]] | None = None, **meta) -> int:
+        """Publish chunk rows, which get the next ids in `order`, with their vectors and postings. gone: chunk_ids that leave; also: rows that other tables get,
+        made from the numbered ones; drop: parts of other tables from now on. All in one version, which writes in proportion to what comes and leaves."""
+        m, top, keep = self.store.manifest(start), self._top(start), self.store
+        first, parts, sizes = not m["tables"].get("chunks"), dict(drop or {}), {}
+
+        def add(table: str, df: DataFrame, n: int) -> str:
+            path = keep.write(table.partition(":")[0], df)
+            parts[table], sizes[path] = [*parts.get(table, m["tables"].get(table, [])), path], n
+            return path
 
-    def _append(self, rows: DataFrame, start: int, gone: DataFrame | None = None, also: dict[str, list[str]] | None = None) -> int:
-        """Publish new chunk rows with their vectors and postings; gone: chunk_ids that leave, also: parts of other tables, in the same version."""
-        held = self.store.manifest(start)["tables"]
-        part = self.store.write("chunks", rows)
-        new = self.store.read([part])
-        n = new.count()
-        index = fts.postings(new, "chunk_id", "text")
-        added = {"chunks": part, "vectors": self.store.write("vectors", self._vectors(new)), "postings": self.store.write("postings", index.postings), "lengths": self.store.write("lengths", index.lengths)}
-        kept = {k: held.get(k, []) for k in added}
+        # written once: what follows reads the rows back and does not depend on executors that held them
+        staged = keep.read([keep.write("staging", store.numbered(rows, order, top))])
+        n = staged.count()
+        own = [c for c in ("source", "text", "md5", "document_title", "document_uri", "location", "chunk_id") if c in staged.columns]
+        counts = m["counts"] if not first else {"chunks": 0, "tokens": 0}
+        if n or first:
+            new = keep.read([add("chunks", staged.select(*own), n)])
+            add("vectors", self._vectors(new), n)
+            index = fts.postings(new, "chunk_id", "text")
+            add("postings", index.postings, n)
+            lengths = keep.read([add("lengths", index.lengths, n)])
+            if counts is not None:
+                counts = {"chunks": counts["chunks"] + n, "tokens": counts["tokens"] + (lengths.agg(F.sum("len")).first()[0] or 0)}
         if gone is not None:
-            kept = {k: [self.store.write(k, self.store.read(v).join(gone, "chunk_id", "left_anti"))] if v else [] for k, v in kept.items()}
-        self.store.publish(parts={k: [*kept[k], v] for k, v in added.items()} | (also or {}), expect=start)
+            part = keep.write("removed", gone.select("chunk_id").distinct())
+            lost = keep.read([part])
+            if g := lost.count():
+                parts["removed"], sizes[part] = [*m["tables"].get("removed", []), part], g
+                if counts is not None:
+                    less = keep.table("lengths", start).join(lost, "chunk_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).first()
+                    counts = {"chunks": counts["chunks"] - less.n, "tokens": counts["tokens"] - (less.tokens or 0)}
+        for table, df in (also(staged) if also else {}).items():
+            path = add(table, df, 0)
+            sizes[path] = keep.read([path]).count()
+        keep.publish(parts=parts, sizes=sizes, top=top + n, counts=counts, expect=start, **meta)
+        self.tidy()
         return n
 
+    def tidy(self) -> None:
+        """Merge small parts of the index and of the baselines' logs."""
+        logs = {k: sync.KEYS[kind] for k in self.store.manifest()["tables"] if (kind := k.partition(":")[0]) in sync.KEYS}
+        self.store.tidy({k: lambda rows, whole, keys=keys: sync.latest(rows, keys, whole).sortWithinPartitions(*keys) for k, keys in logs.items()})
+
     def update_source(self, source: str, docs: DataFrame) -> tuple[int, int]:
         """Replace a source and its parts by new documents in one version: (chunks removed, chunks added)."""
         start, old = self.store.version, self._tables()
-        for c in ("title", "uri", "location"):
-            docs = docs if c in docs.columns else docs.withColumn(c, F.lit(""))
-        bad = loaders.problems(docs)
-        if not bad.isEmpty():
-            raise loaders.LoadError("invalid_request", str(bad.first()))
+        docs = self._checked(docs)
         if old is None:
             return 0, self.ingest(docs)
         gone = old[0].where(store.of_source(source)).select("chunk_id")
         kept = store.without_source(old[0], source)
-        top = old[0].agg(F.max("chunk_id")).first()[0] or 0
         new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), kept)
         n = gone.count()
-        return n, self._append(store.numbered(new, ["source", "ord"], top).drop("ord"), start, gone, self._forgotten(start, source))
+        return n, self._append(new, ["source", "ord"], start, gone, drop=self._forgotten(start, source))
 
     def _forgotten(self, start: int, source: str) -> dict[str, list[str]]:
         """No parts for the baselines of a source and its parts."""
@@ -81,14 +115,16 @@ class Engine:
         held = self.store.manifest(version)["tables"]
         found = {k: self.store.read(p) if (p := held.get(f"{k}:{source}")) else self.spark.createDataFrame([], schema) for k, schema in sync.TABLES.items()}
         state = found["sync_sources"].first()
-        return sync.Baseline(state.revision if state else 0, state.identity if state else "", found["sync_documents"], found["sync_chunks"])
+        revision = state.revision if state else 0
+        return sync.Baseline(revision, state.identity if state else "", *(sync.state(found[k], keys, revision) for k, keys in sync.KEYS.items()))
 
-    def sync_source(self, source: str, snapshot: DataFrame, expect: int | None = None, identity: str = "") -> dict:
+    def sync_source(self, source: str, snapshot: DataFrame, expect: int | None = None, identity: str = "", **meta) -> dict:
         """Bring a source to a snapshot (document_id, text and perhaps title, uri, location) in one version; returns its revision and counts by class.
 
         Blank or repeated ids reject the snapshot as a whole, a revision other than `expect` is a conflict. Only added and changed chunks are embedded,
         the others keep their chunk_id; another identity (of the model; settings are part of it) changes all. The first sync replaces the chunks of exactly
-        this source. Revisions of documents and chunks grow by one a sync, changed or not.
+        this source. Revisions of documents and chunks grow by one a sync, changed or not. What is written is in proportion to what changed; the snapshot
+        is read three times (ids, documents, chunks), so it should not change meanwhile.
         """
         for c in ("title", "uri", "location"):
             snapshot = snapshot if c in snapshot.columns else snapshot.withColumn(c, F.lit(""))
@@ -100,30 +136,39 @@ class Engine:
         if expect is not None and expect != base.revision:
             raise store.Conflict("revision_conflict")
         identity = hashlib.sha256(repr((identity, self.settings.embedding, self.settings.chunk)).encode()).hexdigest()
-        other = base.revision > 0 and identity != base.identity
+        other, revision = base.revision > 0 and identity != base.identity, base.revision + 1
         docs = sync.snapshot_documents(snapshot, source)
-        # staged once: the diff, the new rows and the next baseline read the same chunks
-        pieces = self.store.read([self.store.write("staging", sync.snapshot_chunks(docs, chunking.chunk_column(F.col("text"), self.settings.chunk)))])
-        by_doc = sync.diff(base.documents, docs, sync.DOCUMENT, other)
-        by_chunk = self.store.read([self.store.write("staging", sync.diff(base.chunks, pieces, sync.CHUNK, other))])
-        top = (tables[0].agg(F.max("chunk_id")).first()[0] or 0) if tables else 0
-        fresh = pieces.join(sync.to_embed(by_chunk, sync.CHUNK), sync.CHUNK, "left_semi")
-        fresh = self.store.read([self.store.write("staging", store.numbered(fresh, ["document_id", "ord"], top))])
+        pieces = sync.snapshot_chunks(docs, chunking.chunk_column(F.col("text"), self.settings.chunk))
+        report, changed = {}, {}
+        for name, old, new, keys in (("documents", base.documents, docs.select(*sync.DOCUMENT, "content_hash"), sync.DOCUMENT), ("chunks", base.chunks, pieces, sync.CHUNK)):
+            seen = Observation()
+            kinds = {k: F.count(F.when(F.col("class") == k, 1)).alias(k) for k in ("unchanged", "added", "changed", "deleted")}
+            diff = sync.changes(old, new, keys, revision, other).observe(seen, *kinds.values())
+            # one pass counts all classes and stages what changed
+            changed[name] = self.store.read([self.store.write("staging", diff.where("class <> 'unchanged'"))])
+            report[name] = {k: seen.get[k] for k in kinds if seen.get[k]}
+        by_chunk = changed["chunks"]
+        fresh = store.chunk_rows(by_chunk.where("class in ('added', 'changed')"), *sync.CHUNK[1:], "ord")
         if base.revision:
-            gone = base.chunks.join(by_chunk.where("class in ('changed', 'deleted')"), sync.CHUNK, "left_semi").select("chunk_id")
+            gone = by_chunk.where("class in ('changed', 'deleted')").select(F.col("old_chunk_id").alias("chunk_id"))
         else:
             gone = tables[0].where(F.col("source") == source).select("chunk_id") if tables else None
-        gone = None if gone is None or gone.isEmpty() else gone
-        kept = base.chunks.join(by_chunk.where("class = 'unchanged'"), sync.CHUNK, "left_semi")
-        ids = kept.select(*sync.CHUNK, "chunk_id").unionByName(fresh.select(*sync.CHUNK, "chunk_id"))
-        state = self.spark.createDataFrame([(base.revision + 1, identity)], sync.TABLES["sync_sources"])
-        following = {"sync_sources": state, "sync_documents": sync.promoted(base.documents, by_doc, sync.DOCUMENT), "sync_chunks": sync.promoted(base.chunks, by_chunk, sync.CHUNK).join(ids, sync.CHUNK)}
-        report = {k: {r["class"]: r.n for r in sync.counts(d).collect()} for k, d in (("documents", by_doc), ("chunks", by_chunk))}
-        self._append(store.chunk_rows(fresh), start, gone, {f"{k}:{source}": [self.store.write(k, df)] for k, df in following.items()})
-        return {"source": source, "revision": base.revision + 1} | report
+
+        def logs(numbered: DataFrame) -> dict[str, DataFrame]:
+            hashed = F.when(F.col("class") != "deleted", F.col("new_hash")).alias("content_hash")
+            documents = changed["documents"].select(*sync.DOCUMENT, hashed, "first", "at")
+            chunks = by_chunk.join(numbered.select(*sync.CHUNK, "chunk_id"), sync.CHUNK, "left").select(*sync.CHUNK, hashed, "first", "at", "chunk_id")
+            return {f"sync_documents:{source}": documents, f"sync_chunks:{source}": chunks}
+
+        state = self.store.write("sync_sources", self.spark.createDataFrame([(revision, identity)], sync.TABLES["sync_sources"]))
+        self._append(fresh, ["document_id", "ord"], start, gone, logs, {f"sync_sources:{source}": [state]}, **meta)
+        return {"source": source, "revision": revision} | report
 
     def _index(self) -> fts.Index:
-        return fts.Index(self.store.table("postings"), self.store.table("lengths"))
+        m = self.store.manifest()
+        postings, lengths = (self.store.live(k, self.store.read(m["tables"][k]), m) for k in ("postings", "lengths"))
+        counts = m["counts"] or {}
+        return fts.Index(postings, lengths, None, counts.get("chunks"), counts.get("tokens"))
 
     def retrieve(self, query: str, k: int | None = None) -> DataFrame:
         tables = self._tables()
@@ -141,36 +186,49 @@ class Engine:
         return store.sources(self.store.table("chunks"))
 
     def delete_source(self, source: str) -> int:
+        """Chunks of a source and its parts leave; writes their ids only."""
         start = self.store.version
         chunks, _ = self._tables()
         gone = chunks.where(store.of_source(source)).select("chunk_id")
         n = gone.count()
-        kept = {k: self.store.table(k).join(gone, "chunk_id", "left_anti") for k in self._index_tables(start)}
-        self.store.publish(kept, expect=start, parts=self._forgotten(start, source))
+        self._append(chunks.where("false").withColumn("ord", F.lit(0)).drop("chunk_id"), ["source", "ord"], start, gone, drop=self._forgotten(start, source))
         return n
 
-    def _index_tables(self, start: int) -> list[str]:
-        return [k for k in self.store.manifest(start)["tables"] if k.partition(":")[0] not in sync.TABLES]
-
     def reset(self) -> None:
-        start = self.store.version
-        own = self._index_tables(start)
-        baselines = {k: [] for k in self.store.manifest(start)["tables"] if k not in own}
-        self.store.publish({k: self.store.table(k).where("false") for k in own}, expect=start, parts=baselines)
+        """No chunks; ids go on from where they were."""
+        start, top = self.store.version, self._top(self.store.version)
+        held = self.store.manifest(start)["tables"]
+        empty = {k: self.store.write(k, self.store.read(held[k]).where("false")) for k in store.KEYED if held.get(k)}
+        self.store.publish(parts={k: [] for k in held} | {k: [p] for k, p in empty.items()}, sizes=dict.fromkeys(empty.values(), 0), top=top, counts={"chunks": 0, "tokens": 0}, expect=start)
 
-    def rebuild(self) -> int:
-        """Embed all chunks anew beside the live index, check, cut over. Writes are refused meanwhile, by any driver; reads go on."""
-        self.store.freeze()
+    def rebuild(self, owner: str = "rebuild", seconds: float = 3600.0, span: int = 1 << 16) -> int:
+        """Embed all chunks anew beside the live index, check, cut over. Writes are refused meanwhile, by any driver; reads go on.
+
+        Ids go in ranges of `span`, more where there would be over 256; each finished range leaves a progress file. A rebuild whose driver died leaves a lease
+        that runs out after `seconds`; the next rebuild of the same version, model and settings takes it over and goes on with the missing ranges. The
+        lease is given back after the cut-over, so no writer slips in between; a holder whose lease was taken over cannot publish.
+        """
+        lease = self.store.freeze(owner, seconds)
         try:
             start = self.store.version
-            chunks, _ = self._tables()
-            part = self.store.write("vectors", self._vectors(chunks))
-            bad = [r for r in store.index_problems(chunks, self.store.read([part]), self.settings.embedding.dims).collect() if r.n]
+            m = self.store.manifest(start)
+            chunks = self.store.table("chunks", start)
+            top = self._top(start)
+            span = max(span, top // 256 + 1)
+            job = hashlib.sha256(repr((start, span, self.settings.embedding, getattr(self.model, "name", ""))).encode()).hexdigest()[:16]
+            done = {int(n): self.store.text(f"REBUILD-{job}-{n}") for n in self.store.names(f"REBUILD-{job}-")}
+            for at in range(0, top + 1, span):
+                if at not in done:
+                    done[at] = self.store.write("vectors", self._vectors(chunks.where((F.col("chunk_id") >= at) & (F.col("chunk_id") < at + span))))
+                    self.store.create(f"REBUILD-{job}-{at}", done[at])
+            parts = [done[at] for at in sorted(done)]
+            fresh = self.store.read(parts)
+            bad = [r for r in store.index_problems(chunks, fresh, self.settings.embedding.dims).collect() if r.n] + retrieval.probe(fresh)
             if bad:
                 raise store.Conflict(str(bad))
+            return self.store.publish(parts={"vectors": parts}, sizes=dict.fromkeys(parts, sum(m["sizes"].get(p, 0) for p in m["tables"]["chunks"]) // len(parts)), expect=start, lease=lease)
         finally:
-            self.store.thaw()
-        return self.store.publish(parts={"vectors": [part]}, expect=start)
+            self.store.thaw(lease)
 
     def integrity(self) -> DataFrame:
         return store.index_problems(*self._tables(), self.settings.embedding.dims)

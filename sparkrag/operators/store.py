@@ -1,22 +1,36 @@
 """A versioned store of Parquet tables: every publish writes new parts and one marker file.
 
-Layout under `root` (any path Spark reads): parts/<table>-<unique name>, CURRENT-<n> markers (the greatest counts), FROZEN while an index is built anew.
-A marker lists the parts of each table; an appended part leaves the others as they are, `compact` writes a table anew as one. No two writers
+Layout under `root` (any path Spark reads): parts/<table>-<unique name>, CURRENT-<n> markers (the greatest counts), FREEZE-<n> and THAW-<n> for leases of
+an index that is built anew. A marker lists the parts of each table and their sizes; an appended part leaves the others as they are. No two writers
 share a folder, and the marker, which can be made once only, decides between them. Files go through Hadoop's file system, so the store may live anywhere.
+
+Rows of the tables in KEYED carry a chunk_id. They leave by a part of the table `removed`, which names their ids and is applied at every read; what a removal writes
+is in proportion to what leaves. Ids are never given twice: a marker holds the highest one given (`top`), and no version, rolled back to or restored, lowers it. So a
+removed id stays removed whatever part holds it. `tidy` merges parts of like size, so that their number grows with the logarithm of
+the rows, and drops removed rows from what it rewrites; `fold` rewrites all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrag.functions.text import md5_hex
 
+#: Tables whose rows leave by their chunk_id.
+KEYED = ("chunks", "vectors", "postings", "lengths")
+#: Parts of a size class that are merged into one; a class spans sizes within this factor.
+FAN = 8
+#: Removed rows from which on, if they are a quarter of all, `tidy` folds them in.
+MANY_REMOVED = 10_000
+
 
 class Conflict(RuntimeError):
     pass
@@ -31,75 +45,159 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
+    def names(self, prefix: str) -> list[str]:
+        """What follows the prefix in the names of the root's files."""
         fs, p = self._fs(self.root)
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName()[8:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("CURRENT-"))
+        return [n[len(prefix) :] for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith(prefix)]
+
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self.names("CURRENT-"))
 
     @property
     def version(self) -> int:
         return (self.versions() or [0])[-1]
 
+    def text(self, name: str) -> str:
+        """The content of a small file of the root."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def manifest(self, version: int | None = None) -> dict:
+        """tables: parts by table; sizes: rows by part; top: the highest id given; counts: chunks and their tokens, where known; meta: what publishers keep."""
         v = self.version if version is None else version
-        if not v:
-            return {"version": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT-{v}", wholetext=True).first()[0])
+        return {"version": v, "tables": {}, "sizes": {}, "top": None, "counts": None, "meta": {}} | (json.loads(self.text(f"CURRENT-{v}")) if v else {})
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.read(self.manifest(version)["tables"][name])
+        m = self.manifest(version)
+        return self.live(name, self.read(m["tables"][name]), m)
+
+    def live(self, name: str, rows: DataFrame, manifest: dict) -> DataFrame:
+        """Without the removed rows. Ids of a removal list are broadcast only where Spark finds them small enough."""
+        gone = manifest["tables"].get("removed")
+        return rows.join(self.read(gone), "chunk_id", "left_anti") if gone and name in KEYED else rows
 
     def read(self, parts: list[str]) -> DataFrame:
         return self.spark.read.parquet(*parts)
 
     def write(self, name: str, df: DataFrame) -> str:
         """Write a part that no marker names yet."""
-        path = f"{self.root}/parts/{name}-{uuid.uuid4().hex}"
+        path = f"{self.root}/parts/{name.replace('/', '_')}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def publish(self, tables: dict[str, DataFrame] | None = None, expect: int | None = None, append: dict[str, DataFrame] | None = None, parts: dict[str, list[str]] | None = None, **meta) -> int:
-        """The next version: tables replaced by rows or by written parts, or appended to; others carry over. Fails if another version
-        appeared since `expect`, or while the store is frozen."""
+    def publish(
+        self,
+        tables: dict[str, DataFrame] | None = None,
+        expect: int | None = None,
+        append: dict[str, DataFrame] | None = None,
+        parts: dict[str, list[str]] | None = None,
+        sizes: dict[str, int] | None = None,
+        top: int | None = None,
+        counts: dict[str, int] | None = None,
+        lease: int | None = None,
+        **meta,
+    ) -> int:
+        """The next version: tables replaced by rows or by written parts, or appended to; others carry over, as do sizes, the highest id and meta. Fails if
+        another version appeared since `expect`, or while another lease freezes the store. Counts are known only where they are given or no keyed table changes."""
         start = self.version if expect is None else expect
-        held = {k: list(v) for k, v in self.manifest(start)["tables"].items()} if start else {}
-        self._writable(start)
+        old = self.manifest(start)
+        held = {k: list(v) for k, v in old["tables"].items()}
+        self._writable(start, lease)
         for name, df in (tables or {}).items():
             held[name] = [self.write(name, df)]
         for name, df in (append or {}).items():
             held[name] = [*held.get(name, []), self.write(name, df)]
         held |= parts or {}
-        self._writable(start)
-        return self._mark({"version": start + 1, "tables": held, **meta}, start + 1)
-
-    def _writable(self, start: int) -> None:
-        if self.frozen:
+        if set(KEYED) & {*(tables or {}), *(append or {})} and counts is None:
+            old["counts"] = None
+        named = {p for ps in held.values() for p in ps}
+        new = {"version": start + 1, "tables": held, "sizes": {p: n for p, n in (old["sizes"] | (sizes or {})).items() if p in named}}
+        new |= {"top": max((x for x in (old["top"], top) if x is not None), default=None), "counts": counts or old["counts"], "meta": old["meta"] | meta}
+        self._writable(start, lease)
+        return self._mark(new, start + 1)
+
+    def _writable(self, start: int, lease: int | None = None) -> None:
+        if self.lease() not in (0, lease):
             raise Conflict("the index is being rebuilt")
+        if lease and self.lease() != lease:
+            raise Conflict("the lease has ended")
         if self.version != start:
             raise Conflict("revision_conflict")
 
     def compact(self, name: str) -> int:
-        """The table's parts as one."""
-        return self.publish({name: self.table(name)})
+        """The table's parts as one, without removed rows."""
+        start = self.version
+        part = self.write(name, self.table(name, start))
+        return self.publish(parts={name: [part]}, sizes={part: sum(self.manifest(start)["sizes"].get(p, 0) for p in self.manifest(start)["tables"][name])}, expect=start)
+
+    def fold(self) -> int:
+        """All keyed tables as one part each and no removal list."""
+        start = self.version
+        m = self.manifest(start)
+        made = {k: self.write(k, in_order(k, self.table(k, start))) for k in KEYED if m["tables"].get(k)}
+        n = (m["counts"] or {}).get("chunks", sum(m["sizes"].get(p, 0) for p in m["tables"].get("chunks", ())))
+        return self.publish(parts={k: [p] for k, p in made.items()} | {"removed": []}, sizes={p: n for p in made.values()}, expect=start)
+
+    def tidy(self, merge: dict[str, Callable[[DataFrame, bool], DataFrame]] | None = None) -> int | None:
+        """Merge each size class of FAN parts or more, class by class, until none is left; fold where too much is removed. The new version, None where there
+        was nothing to do or another writer came first, who will find the same to do. `merge`: how rows of other tables come together, given whether they are all."""
+        try:
+            m, done = self.manifest(), None
+            gone, rows = (sum(m["sizes"].get(p, 0) for p in m["tables"].get(k, ())) for k in ("removed", "chunks"))
+            if gone >= MANY_REMOVED and 4 * gone >= rows:
+                return self.fold()
+            while groups := {k: g for k in m["tables"] if (k in KEYED or k == "removed" or k in (merge or {})) and (g := crowded(m["tables"][k], m["sizes"]))}:
+                parts, sizes = {}, {}
+                for k, g in groups.items():
+                    kept = [p for p in m["tables"][k] if p not in g]
+                    rows = self.live(k, self.read(g), m)
+                    rows = (merge or {})[k](rows, not kept) if k in (merge or {}) else in_order(k, rows)
+                    parts[k] = [*kept, new := self.write(k, rows)]
+                    sizes[new] = sum(m["sizes"][p] for p in g)
+                done = self.publish(parts=parts, sizes=sizes, expect=m["version"])
+                m = self.manifest(done)
+            return done
+        except Conflict:
+            return None
+
+    # ---- freezing
+
+    def lease(self, now: float | None = None) -> int:
+        """The number of the lease that freezes the store, 0 where none does: the latest one, unless it was given back or has run out."""
+        taken = max((int(n) for n in self.names("FREEZE-")), default=0)
+        if not taken or str(taken) in self.names("THAW-"):
+            return 0
+        return taken if json.loads(self.text(f"FREEZE-{taken}"))["until"] > (time.time() if now is None else now) else 0
 
     @property
     def frozen(self) -> bool:
-        fs, p = self._fs(f"{self.root}/FROZEN")
-        return fs.exists(p)
+        return self.lease() > 0
 
-    def freeze(self) -> None:
-        """From now on every writer of this root, on any driver, is refused."""
-        self._create("FROZEN", "{}")
+    def freeze(self, owner: str = "", seconds: float = 3600.0) -> int:
+        """From now on every writer of this root, on any driver, is refused, but for who names the lease, until it is given back or runs out. Of two who
+        take an expired lease over, one gets the next number; the former owner's number is no longer good for anything."""
+        if self.frozen:
+            raise Conflict("the index is being rebuilt")
+        number = max((int(n) for n in self.names("FREEZE-")), default=0) + 1
+        self.create(f"FREEZE-{number}", json.dumps({"owner": owner, "until": time.time() + seconds}))
+        return number
 
-    def thaw(self) -> None:
-        fs, p = self._fs(f"{self.root}/FROZEN")
-        fs.delete(p, False)
+    def thaw(self, lease: int | None = None) -> None:
+        lease = self.lease() if lease is None else lease
+        if lease and str(lease) not in self.names("THAW-"):
+            self.create(f"THAW-{lease}", "{}")
 
-    def _create(self, name: str, text: str) -> None:
+    def create(self, name: str, text: str) -> None:
+        """A file that must not exist yet: the compare-and-set of this store."""
         fs, p = self._fs(f"{self.root}/{name}")
         try:
-            out = fs.create(p, False)  # fails where it exists: the compare-and-set
+            out = fs.create(p, False)
         except Exception as e:
             if fs.exists(p):
                 raise Conflict("revision_conflict") from e
@@ -108,37 +206,58 @@ class Store:
         out.close()
 
     def _mark(self, manifest: dict, version: int) -> int:
-        self._create(f"CURRENT-{version}", json.dumps(manifest))
+        self.create(f"CURRENT-{version}", json.dumps(manifest))
         return version
 
+    def _again(self, manifest: dict, start: int) -> int:
+        """An earlier manifest as the version after `start`; the highest id given and meta stay the latest."""
+        now = self.manifest(start)
+        return self._mark(manifest | {"version": start + 1, "top": now["top"], "meta": now["meta"]}, start + 1)
+
     def rollback(self) -> int:
         """Publish the tables of the version before the current one."""
         vs = self.versions()
         if len(vs) < 2:
             raise Conflict("nothing to roll back to")
         self._writable(vs[-1])
-        return self._mark(self.manifest(vs[-2]) | {"version": vs[-1] + 1}, vs[-1] + 1)
+        return self._again(self.manifest(vs[-2]), vs[-1])
 
     def backup(self, name: str) -> dict:
         """Record the current version under a name; its parts are never rewritten, so nothing is copied."""
         m = self.manifest()
-        self._create(f"BACKUP-{name}", json.dumps(m))
+        self.create(f"BACKUP-{name}", json.dumps(m))
         return m
 
     def backups(self) -> dict[str, int]:
         """Versions by backup name."""
-        fs, p = self._fs(self.root)
-        names = sorted(s.getPath().getName()[7:] for s in fs.listStatus(p) if s.getPath().getName().startswith("BACKUP-")) if fs.exists(p) else []
-        return {n: self._backup(n)["version"] for n in names}
+        return {n: self._backup(n)["version"] for n in sorted(self.names("BACKUP-"))}
 
     def _backup(self, name: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/BACKUP-{name}", wholetext=True).first()[0])
+        return json.loads(self.text(f"BACKUP-{name}"))
 
     def restore(self, name: str) -> int:
         """Publish a backup's tables as the next version."""
         start = self.version
         self._writable(start)
-        return self._mark(self._backup(name) | {"version": start + 1}, start + 1)
+        return self._again(self._backup(name), start)
+
+
+def crowded(parts: list[str], sizes: dict[str, int]) -> list[str]:
+    """The parts of the smallest size class that has FAN of them or more, none if no class has. Parts of unknown size stay."""
+    classes: dict[int, list[str]] = {}
+    for p in parts:
+        if p in sizes:
+            n, c = sizes[p], 0
+            while n >= FAN * 128:
+                n, c = n // FAN, c + 1
+            classes.setdefault(c, []).append(p)
+    return next((g for _, g in sorted(classes.items()) if len(g) >= FAN), [])
+
+
+def in_order(name: str, rows: DataFrame) -> DataFrame:
+    """Merged rows in the order that queries look them up in: postings by term, others by id."""
+    keys = ["term", "chunk_id"] if name == "postings" else ["chunk_id"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def first_of_each(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from sparkrag.functions.text import chunk_key, newlines, ordinal_key, sha256_hex, trim_ws
 
 DOCUMENT, CHUNK = ["source", "document_id"], ["source", "document_id", "chunk_key"]
-#: Tables of a source's baseline; the store holds one of each a source, named `<table>:<source>`, so that a sync rewrites its own only.
+#: Tables of a source's baseline; the store holds one of each a source, named `<table>:<source>`, so that a sync writes its own only. The latter two are logs: a
+#: sync appends what changed, with its revision of the source (`at`) and the one that added the key (`first`); a null hash says that the key is gone.
 TABLES = {
     "sync_sources": "revision long, identity string",
-    "sync_documents": "source string, document_id string, content_hash string, revision long",
-    "sync_chunks": "source string, document_id string, chunk_key string, content_hash string, revision long, chunk_id long",
+    "sync_documents": "source string, document_id string, content_hash string, first long, at long",
+    "sync_chunks": "source string, document_id string, chunk_key string, content_hash string, first long, at long, chunk_id long",
 }
+KEYS = {"sync_documents": DOCUMENT, "sync_chunks": CHUNK}
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,29 @@ class Baseline:
     chunks: DataFrame
 
 
+def latest(log: DataFrame, keys: list[str], whole: bool = True) -> DataFrame:
+    """The last entry of each key of a log; keys that are gone drop out where the log is whole."""
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "at").alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest))
+    return last.where(F.col("content_hash").isNotNull()) if whole else last
+
+
+def state(log: DataFrame, keys: list[str], revision: int) -> DataFrame:
+    """Keys present with hash, first and revision, which grows by one a sync from 1."""
+    return latest(log, keys).withColumn("revision", F.lit(revision) - F.col("first") + 1)
+
+
+def changes(old: DataFrame, new: DataFrame, keys: list[str], revision: int, all_changed: bool = False) -> DataFrame:
+    """The diff of a state and a snapshot's rows with their other columns, `old` ids, and the log's first and at for the sync to `revision`."""
+    ids = ["chunk_id"] if "chunk_id" in old.columns else []
+    a = old.select(*keys, F.col("content_hash").alias("old_hash"), F.col("first").alias("old_first"), *(F.col(c).alias(f"old_{c}") for c in ids))
+    b = new.withColumnRenamed("content_hash", "new_hash")
+    o, n = F.col("old_hash"), F.col("new_hash")
+    kind = F.when(o.isNull(), "added").when(n.isNull(), "deleted").when((o == n) & F.lit(not all_changed), "unchanged").otherwise("changed")
+    first = F.when(o.isNull(), F.lit(revision)).otherwise(F.col("old_first")).cast("long")
+    return a.join(b, keys, "full_outer").withColumns({"class": kind, "first": first, "at": F.lit(revision).cast("long")})
+
+
 def canonical(text: Column) -> Column:
     return trim_ws(F.regexp_replace(newlines(text), "\r", "\n"))
 

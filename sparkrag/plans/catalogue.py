@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.config import Chunk, Retrieve
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync
 from sparkrag.sources import loaders, stored
 from sparkrag.streaming import stream
 
@@ -218,6 +218,26 @@ def vector_knn_batch(spark, d):
     return retrieval.knn_batch(_vectors(spark, d), _queries(spark, d), 10).select("query_id", "chunk_id", "pos", F.round("distance", 5).alias("distance"))
 
 
+def _kept(spark: SparkSession):
+    """Stores rows in the shared folder and reads them back."""
+    root = f"{stored.shared_folder(spark)}/sparkrag/nearest-{uuid.uuid4().hex}"
+
+    def keep(name, df):
+        path = f"{root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return keep
+
+
+@query(_BATCH + " SELECT query_id, chunk_id, pos, round(distance, 5) AS distance FROM r WHERE pos <= 10")
+def vector_knn_groups(spark, d):
+    """The same by an index of groups with bounds."""
+    keep = _kept(spark)
+    found = nearest.search(nearest.build(_vectors(spark, d), 64, keep), _queries(spark, d), 10, keep)
+    return found.select("query_id", "chunk_id", "pos", F.round("distance", 5).alias("distance"))
+
+
 _TOK = r"""t AS (SELECT doc_id AS chunk_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS toks FROM documents),
 i AS (SELECT chunk_id, toks, len(toks) AS dl FROM t), a AS (SELECT count(*) AS total, avg(dl) AS adl FROM i)"""
 

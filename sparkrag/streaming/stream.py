@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkrag.functions.text import md5_hex
-from sparkrag.operators.store import Store, deduplicated, numbered
+from sparkrag.engine import Engine
+from sparkrag.operators.store import Conflict
 
 
 def outcomes(events: DataFrame, ts: str, kind: str, value: str, width: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
@@ -19,19 +19,22 @@ def outcomes(events: DataFrame, ts: str, kind: str, value: str, width: str = "1
     return rows.groupBy(F.window(ts, width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
 
 
-def ingest(stream: DataFrame, chunks: Column, store: Store, checkpoint: str):
-    """Documents (source, text) of a stream into the store's chunks, each MD5 once; replays of a batch change nothing."""
+def ingest(stream: DataFrame, engine: Engine, checkpoint: str, name: str = "ingest"):
+    """Documents (source, text and perhaps title, uri, location) of a stream into the engine's chunks, vectors and full-text index: one publish a batch, after which
+    they are found. The version that holds a batch also holds its number under the stream's name, and later versions keep it: a batch that is run again after a
+    restart changes nothing. Another writer in between makes the batch start anew."""
+    key = f"epoch:{name}"
 
     def batch(df: DataFrame, epoch: int) -> None:
-        start = store.version
-        if start and store.manifest().get("epoch", -1) >= epoch:
-            return
-        rows = df.select("source", F.posexplode(chunks).alias("ord", "text")).withColumn("md5", md5_hex(F.col("text")))
-        old = store.table("chunks") if start and "chunks" in store.manifest()["tables"] else None
-        new = deduplicated(rows, old, ["source", "ord"]).select("source", "text", "md5")
-        top = (old.agg(F.max("chunk_id")).first()[0] or 0) if old is not None else 0
-        new = numbered(new, ["source", "md5"], top).select("chunk_id", "source", "text", "md5")
-        store.publish(append={"chunks": new}, expect=start, epoch=epoch)
+        for _ in range(10):
+            if engine.store.manifest()["meta"].get(key, -1) >= epoch:
+                return
+            try:
+                engine.ingest(df, **{key: epoch})
+                return
+            except Conflict:
+                continue
+        raise Conflict("the batch was always overtaken")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

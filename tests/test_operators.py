@@ -2,7 +2,9 @@ import io
 import json
 import random
 import sqlite3
+import time
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve, Settings, tightened
 from sparkrag.engine import Engine
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync
 from sparkrag.sources import loaders
 
 
@@ -217,15 +219,246 @@ def test_engine_end_to_end(spark, tmp_path):
         e.store.publish({}, expect=1)
 
 
+def nearest_by_hand(rows, queries, k):
+    import math
+
+    out = []
+    for q, qv in queries:
+        found = sorted((round(math.dist(qv, v), 9), i) for i, v in rows if v is not None and len(v) == len(qv) and all(x is not None and math.isfinite(x) for x in v))
+        out += [(q, i, pos, d) for pos, (d, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def agree(found, want):
+    got = sorted((r.query_id, r.chunk_id, r.pos, r.distance) for r in found.collect())
+    return [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want))
+
+
+def grouped_rows(rng, dims=5):
+    """Twelve clusters, one point that holds a third of the rows, ties, and rows of other kinds."""
+    spots = [[rng.uniform(-9, 9) for _ in range(dims)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in spots[i % 12]]) for i in range(600)] + [(1000 + i, spots[0]) for i in range(300)]
+    rows = [(i, [float(f"{x:.4f}") for x in v]) for i, v in rows]
+    return rows, [(5000, None), (5001, [1.0]), (5002, [float("nan")] * dims), (5003, [float("inf")] * dims)]
+
+
+def test_nearest_by_blocks_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows, odd = grouped_rows(rng)
+    queries = [(i, v) for i, v in rows[::40]] + [(9000, [50.0] * 5), (9001, [1.0]), (9002, [1.0, 2.0])]
+    schema = "chunk_id long, embedding array<double>"
+    table, asked = spark.createDataFrame(rows + odd, schema).repartition(3), spark.createDataFrame(queries, "query_id long, qv array<double>")
+    for k, block in ((4, 256), (350, 7)):
+        assert agree(nearest.scan(table, asked, k, block=block), nearest_by_hand(rows + odd, queries, k))
+    assert nearest.scan(table.where("false"), asked, 3).isEmpty() and nearest.scan(table, asked.where("false"), 3).isEmpty()
+
+
+def test_groups_with_bounds_equal_the_scan_and_skip_groups(spark, tmp_path):
+    rng = random.Random(3)
+    rows, odd = grouped_rows(rng)
+
+    def keep(name, df):
+        path = str(tmp_path / f"{name}-{rng.random()}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    table = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<double>").repartition(3)
+    index = nearest.build(table, 5, keep)
+    groups = index.groups.count()
+    assert index.groups.agg(F.sum("n")).first()[0] == len(rows)
+    queries = [(i, v) for i, v in rows[::30]] + [(9000, [50.0] * 5), (9001, [1.0])]
+    asked = spark.createDataFrame(queries, "query_id long, qv array<double>")
+    for k in (1, 10, 400, 2000):
+        want = nearest_by_hand(rows, [q for q in queries if len(q[1]) == 5], k)
+        assert agree(nearest.search(index, asked, k, keep), want)
+        bound = spark.createDataFrame([(q, d) for q, d in {(q, max(w[3] for w in want if w[0] == q)) for q, *_ in want}], "query_id long, upto double")
+        read = nearest.probes(index, asked, k, bound).count() / (groups * (len(queries) - 1))
+        print(f"k={k}: {read:.2f} of {groups} groups read")
+        assert read < 0.35 if k <= 10 else read <= 1
+    assert nearest.search(nearest.build(table.where("false"), 5, keep), asked, 3, keep).isEmpty()
+
+
+def small(spark, tmp_path, name="store", dims=16, model=None):
+    return Engine(spark, str(tmp_path / name), model, Settings(embedding=Settings().embedding.__class__(dims=dims)))
+
+
+def rows_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "source string, text string")
+
+
 def test_stream_ingest_once(spark, tmp_path):
     from sparkrag.streaming.stream import ingest
 
     src = tmp_path / "in"
-    spark.createDataFrame([("s", "One. Two."), ("t", "One. Two.")], "source string, text string").coalesce(1).write.json(str(src))
-    s = store.Store(spark, str(tmp_path / "store"))
-    q = ingest(spark.readStream.schema("source string, text string").json(str(src)), chunking.fixed(F.col("text")), s, str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert s.table("chunks").count() == 1
+    rows_of(spark, ("s", "One fish. Two birds."), ("t", "One fish. Two birds.")).coalesce(1).write.json(str(src))
+    e = small(spark, tmp_path)
+
+    def run(checkpoint):
+        q = ingest(spark.readStream.schema("source string, text string").json(str(src)), e, str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    run("cp")
+    assert e.store.table("chunks").count() == 1 and e.retrieve("fish", 1).first().text == "One fish. Two birds."
+    assert sum(r.n for r in e.integrity().collect()) == 0
+    rows_of(spark, ("u", "Three cats.")).coalesce(1).write.mode("append").json(str(src))
+    run("cp")
+    v = e.store.version
+    e.delete_source("u")
+    assert e.store.manifest()["meta"] == {"epoch:ingest": 1}  # later versions keep it
+    run("other")  # a checkpoint that was lost: its batch 0 is known
+    assert e.store.version == v + 1 and e.store.table("chunks").count() == 1
+
+
+def test_ids_are_never_given_twice(spark, tmp_path):
+    e = small(spark, tmp_path)
+    e.ingest(rows_of(spark, ("a", "Cats sleep."), ("b", "Dogs bark.")))
+    given = {r.chunk_id for r in e.store.table("chunks").collect()}
+    v = e.store.version
+    e.ingest(rows_of(spark, ("c", "Birds sing.")))
+    newest = e.store.table("chunks").where("source = 'c'").first().chunk_id
+    e.delete_source("c")
+    e.ingest(rows_of(spark, ("d", "Fish swim.")))
+    assert e.store.table("chunks").where("source = 'd'").first().chunk_id > newest > max(given)
+    e.store.rollback()
+    e.reset()
+    e.ingest(rows_of(spark, ("e", "Ants dig.")))
+    assert e.store.table("chunks").first().chunk_id > newest + 1 and e.store.version > v
+
+
+def test_removal_writes_what_leaves(spark, tmp_path):
+    """A sync that changes one chunk of many writes one row of each table; the same store as one that was built anew answers alike."""
+    e = small(spark, tmp_path)
+    docs = [(f"d{i}", f"Document {i} tells about topic{i % 7} and word{i}.") for i in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "document_id string, text string")
+    e.sync_source("wiki", frame(docs))
+    before = e.store.manifest()
+    docs[17] = ("d17", "Quite another sentence.")
+    assert e.sync_source("wiki", frame(docs))["chunks"] == {"unchanged": 299, "changed": 1}
+    after = e.store.manifest()
+    fresh = {k: [p for p in ps if p not in before["tables"].get(k, [])] for k, ps in after["tables"].items()}
+    assert {k: sum(e.store.read([p]).count() for p in ps) for k, ps in fresh.items()} == {"chunks": 1, "vectors": 1, "lengths": 1, "postings": 3, "removed": 1, "sync_sources:wiki": 1, "sync_documents:wiki": 1, "sync_chunks:wiki": 1}
+    assert all(set(before["tables"][k]) <= set(after["tables"][k]) for k in store.KEYED)
+    assert sum(r.n for r in e.integrity().collect()) == 0 and after["counts"] == {"chunks": 300, "tokens": e.store.table("lengths").agg(F.sum("len")).first()[0]}
+    assert e.retrieve("word17").where("bm25_score > 0").isEmpty() and e.retrieve("another", 1).first().text == "Quite another sentence."
+    plain = small(spark, tmp_path, "plain")
+    plain.sync_source("wiki", frame(docs))
+    for q in ("topic3", "document", "another OR word250"):
+        a, b = ([(r.text, round(r.final_score, 9)) for r in sorted(x.retrieve(q, 5).collect(), key=lambda r: (-round(r.final_score, 9), r.text))] for x in (e, plain))
+        assert [s for _, s in a] == [s for _, s in b]
+    folded = e.store.fold()
+    assert e.store.manifest()["tables"]["removed"] == [] and e.store.table("chunks", folded).count() == 300 == e.store.read(e.store.manifest()["tables"]["vectors"]).count()
+
+
+def test_racing_writers_of_a_removal(spark, tmp_path):
+    e, other = small(spark, tmp_path), small(spark, tmp_path)
+    e.ingest(rows_of(spark, ("a", "Cats sleep."), ("b", "Dogs bark.")))
+    start = e.store.version
+    real = e.store.publish
+
+    def late(**given):  # another driver publishes between the staging and the mark of this one
+        if e.store.version == start:
+            other.ingest(rows_of(spark, ("c", "Birds sing.")))
+        return real(**given)
+
+    e.store.publish = late
+    with pytest.raises(store.Conflict):
+        e.delete_source("a")
+    e.store.publish = real
+    assert e.store.table("chunks").count() == 3 and e.delete_source("a") == 1 and e.store.table("chunks").count() == 2
+    ids = [r.chunk_id for r in e.store.read(e.store.manifest()["tables"]["chunks"]).collect()]
+    assert len(ids) == len(set(ids)) == 3 and sum(r.n for r in e.integrity().collect()) == 0
+
+
+def test_small_parts_merge_by_size_class(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "s"))
+    sizes = {f"p{i}": 1 for i in range(7)} | {f"q{i}": 5000 for i in range(8)}
+    assert store.crowded(list(sizes), sizes) == [f"q{i}" for i in range(8)] and store.crowded([f"p{i}" for i in range(7)] + ["x"], sizes) == []
+    # 1,000 batches by the rule alone
+    parts, known, n = [], {}, 0
+    for i in range(1000):
+        parts.append(f"b{i}")
+        known[f"b{i}"] = 100
+        while g := store.crowded(parts, known):
+            n += 1
+            parts = [p for p in parts if p not in g] + [f"m{n}"]
+            known[f"m{n}"] = sum(known[p] for p in g)
+    assert len(parts) <= 4 * store.FAN and sum(known[p] for p in parts) == 100_000
+    # and with tables
+    schema = "chunk_id long, source string"
+    for i in range(12):
+        part, gone = s.write("chunks", spark.createDataFrame([(3 * i + k, f"s{i}") for k in range(3)], schema)), s.write("removed", spark.createDataFrame([(3 * i,)], "chunk_id long"))
+        held = s.manifest()["tables"]
+        s.publish(parts={"chunks": [*held.get("chunks", []), part], "removed": [*held.get("removed", []), gone]}, sizes={part: 3, gone: 1})
+        s.tidy()
+    m = s.manifest()
+    assert len(m["tables"]["chunks"]) == len(m["tables"]["removed"]) == 5 and {r.chunk_id for r in s.table("chunks").collect()} == {3 * i + k for i in range(12) for k in (1, 2)}
+    merged = next(p for p in m["tables"]["chunks"] if m["sizes"][p] == 24)
+    assert s.read([merged]).count() == 16  # removed rows are gone from what was rewritten
+    monkeypatch.setattr(store, "MANY_REMOVED", 10)
+    s.tidy()
+    m = s.manifest()
+    assert m["tables"]["removed"] == [] and len(m["tables"]["chunks"]) == 1 and s.table("chunks").count() == 24
+
+
+def test_rebuild_goes_on_where_it_was_killed(spark, tmp_path, monkeypatch):
+    asked = tmp_path / "asked"
+
+    def model(texts):
+        assert len(texts) <= 32
+        with asked.open("a") as f:
+            f.writelines(t + "\n" for t in texts)
+        if any("poison" in t for t in texts) and not (tmp_path / "cured").exists():
+            raise RuntimeError("the worker dies")
+        return retrieval.hash_embedder(16)(texts)
+
+    e = small(spark, tmp_path, model=model)
+    (tmp_path / "cured").touch()
+    e.ingest(rows_of(spark, *((f"s{i:02}", f"Text number {i}." + (" poison" if i == 30 else "")) for i in range(40))))
+    (tmp_path / "cured").unlink()
+    e.delete_source("s05")
+    v = e.store.version
+    real, e.store.thaw = e.store.thaw, lambda lease=None: None  # a driver that dies does not give its lease back
+    with pytest.raises(Exception, match="the worker dies"):
+        e.rebuild("one", span=10)
+    e.store.thaw = real
+    (tmp_path / "cured").touch()
+    other = small(spark, tmp_path, model=model)
+    with pytest.raises(store.Conflict):
+        other.ingest(rows_of(spark, ("x", "No entry.")))
+    with pytest.raises(store.Conflict):
+        other.rebuild("two", span=10)
+    later = time.time() + 3601
+    monkeypatch.setattr(store, "time", SimpleNamespace(time=lambda: later))  # the lease runs out
+    assert other.store.version == v and not other.store.frozen
+    asked.write_text("")
+    assert other.rebuild("two", span=10) == v + 1 and not other.store.frozen
+    again = asked.read_text().splitlines()
+    assert 0 < len(again) < 39  # some ranges were done
+    assert other.store.table("vectors").count() == 39 and sum(r.n for r in other.integrity().collect()) == 0
+    other.ingest(rows_of(spark, ("x", "Entry.")))
+    assert fts.bm25(other._index(), "entry").count() == 1
+
+
+def test_a_lease_that_was_taken_over_is_no_longer_good(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.publish({"t": spark.range(1)})
+    first = s.freeze("one", 0.0)
+    second = s.freeze("two")
+    assert (first, second) == (1, 2) and s.lease() == 2
+    with pytest.raises(store.Conflict):
+        s.publish({"t": spark.range(2)}, lease=first)
+    s.publish({"t": spark.range(2)}, lease=second)
+    s.thaw(second)
+    with pytest.raises(store.Conflict):
+        s.publish({"t": spark.range(3)}, lease=second)
+    assert s.publish({"t": spark.range(3)}) == 3 and not s.frozen
+
+
+def test_a_probe_finds_a_wrong_index(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
+    assert retrieval.probe(spark.createDataFrame(rows, "chunk_id long, embedding array<float>")) == []
+    assert retrieval.probe(spark.createDataFrame([(i, [float("nan")] * 4) for i, _ in rows], "chunk_id long, embedding array<float>"))
 
 
 def test_headings_keep_their_place():
