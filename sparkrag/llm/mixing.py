@@ -223,11 +223,16 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] | None, anchor: dict[
 
 
 def copies_of(rate: Column, doc_id: Column, seed: int = 7) -> Column:
-    """The rate rounded up or down by a seeded hash of doc_id, so that copies have the rate as their mean."""
+    """The rate rounded up or down by a seeded hash of doc_id, so that copies have the rate as their mean. Rows of one doc_id draw alike."""
     u = F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(rate + u).cast("int")
 
 
+def _drawn_by() -> Column:
+    """What a stored row is drawn by: its doc_id, without one its number, so that many rows without doc_id draw apart."""
+    return F.coalesce("doc_id", -1 - F.col("__n"))
+
+
 #: Shares of tokens that the query asks for.
 TARGETS = {"low": 0.05, "toxic": 0.02, "clean": 0.93}
 
@@ -235,10 +240,11 @@ TARGETS = {"low": 0.05, "toxic": 0.02, "clean": 0.93}
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_fit: int = 12_000) -> DataFrame:
     """doc_id, tokens, p_low, p_toxic, p_clean, rate, copies of every row."""
     model = fit_domains(docs, labels, max_fit)
-    scored = stored(_scored(docs, model, [F.col("doc_id").cast("long").alias("doc_id")]).select("doc_id", "tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
+    number = F.monotonically_increasing_id().alias("__n")  # stored, so it stays what it is
+    scored = stored(_scored(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), number]).select("doc_id", "__n", "tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
     steps, _ = fit_rates(scored, targets)
     out = _bound(scored, rate=rate_of(steps))
-    return out.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    return out.withColumn("copies", copies_of(F.col("rate"), _drawn_by())).drop("__n")
 
 
 #: For one token of the clean domain at most so many of the others, in the pipeline.
@@ -253,7 +259,8 @@ def select(docs: DataFrame, labels: DataFrame, anchor: dict[str, float] = ANCHOR
     model = fit_domains(docs, labels, max_fit)
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row")
     key = F.col("doc_id").cast("long").alias("doc_id")
-    scored = stored(_scored(docs, model, [whole, key]).select("__row", "doc_id", "tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
+    number = F.monotonically_increasing_id().alias("__n")
+    scored = stored(_scored(docs, model, [whole, key, number]).select("__row", "doc_id", "__n", "tokens", *(f"p_{k}" for k in DOMAINS)), "mixing")
     steps, _ = fit_rates(scored, None, anchor)
     rows = _bound(scored, rate=rate_of(steps))
-    return rows.where(copies_of(F.col("rate"), F.col("doc_id")) >= 1).select("__row.*")
+    return rows.where(copies_of(F.col("rate"), _drawn_by()) >= 1).select("__row.*")

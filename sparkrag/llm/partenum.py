@@ -560,3 +560,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return kept
     same = docs["doc_id"].cast("long") == twice["__id"]
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+# Equal shingles by a hash; pairs by what they share; classes by the least doc_id that spreads along the links. For small tables.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+x AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM g),
+c AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+y AS MATERIALIZED (SELECT x.* FROM x SEMI JOIN c USING (h)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k FROM y a JOIN y b ON a.h = b.h AND a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (an + bn - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT doc_id, any_value(n) AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id"""

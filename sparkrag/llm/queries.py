@@ -74,4 +74,4 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_packing, op3_langid, op4_mixing, op5_jaccard_join, op6_sharding, op7_fingerprint, op8_audio, op9_extraction, op10_secrets, op11_topk, op12_infill, op13_resample)}
 
 # The methods of the other operators (fits, hashes of other kinds, tokenizers) have no SQL form; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op11_topk": topk.SQL, "op12_infill": infill.SQL, "op13_resample": resample.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": partenum.SQL, "op11_topk": topk.SQL, "op12_infill": infill.SQL, "op13_resample": resample.SQL}

@@ -638,6 +638,15 @@ def test_mixture_of_odd_rows(spark, docs):
         mixing.mix(docs, labels.where("false")).count()  # no rows of two domains
 
 
+def test_rows_without_id_draw_apart(spark):
+    rng = random.Random(9)
+    texts = [words(rng, 30) for _ in range(600)]
+    docs = spark.createDataFrame([(i if i < 300 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels, {"low": 0.2, "toxic": 0.1, "clean": 0.3}).where("doc_id is null").select("rate", "copies").collect()
+    assert len(rows) == 300 and abs(sum(r.copies for r in rows) - sum(r.rate for r in rows)) < 40 and 0 < sum(r.copies for r in rows)
+
+
 def test_copies_have_the_rate_as_mean(spark):
     rows = spark.range(40_000).select(*(F.sum(mixing.copies_of(F.lit(x), F.col("id"))).alias(str(k)) for k, x in enumerate((0.0, 0.03, 0.97, 1.0, 1.04, 2.5)))).first()
     assert np.allclose(np.array(rows) / 40_000, (0.0, 0.03, 0.97, 1.0, 1.04, 2.5), atol=0.01)
