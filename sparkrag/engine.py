@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.config import Settings
-from sparkrag.operators import chunking, citations, fts, retrieval, store, sync
+from sparkrag.operators import chunking, citations, fts, retrieval, store, sync, tasks
 from sparkrag.sources import loaders
 
 
@@ -18,6 +19,7 @@ class Engine:
         self.spark, self.settings = spark, settings
         self.store = store.Store(spark, root)
         self.model = embed or retrieval.hash_embedder(settings.embedding.dims)
+        self._tasks = tasks.Tasks(self.store)
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         return chunks.select("chunk_id", retrieval.embed(F.col("text"), self.model, self.settings.embedding.dims, batch=self.settings.embedding.batch).alias("embedding"))
@@ -164,6 +166,44 @@ class Engine:
         self._append(fresh, ["document_id", "ord"], start, gone, logs, {f"sync_sources:{source}": [state]}, **meta)
         return {"source": source, "revision": revision} | report
 
+    @property
+    def tasks(self) -> tasks.Tasks:
+        return self._tasks
+
+    def submit_sync(self, source: str, snapshot: DataFrame, base: int | None = None, key: str = "") -> dict:
+        """Stage a snapshot and queue its sync against revision `base` (the present one). A replayed key gives its task again, if the snapshot is the same."""
+        for c in ("title", "uri", "location"):
+            snapshot = snapshot if c in snapshot.columns else snapshot.withColumn(c, F.lit(""))
+        rows = snapshot.select("document_id", "text", "title", "uri", "location")
+        part = self.store.write("snapshot", rows)
+        parts = F.xxhash64(*rows.columns).cast("decimal(20,0)")
+        n, total = self.store.read([part]).agg(F.count(F.lit(1)), F.sum(parts)).first()  # of rows in any order
+        return self._tasks.submit(source, f"{n}:{total}", self.baseline(source).revision if base is None else base, key, snapshot=part)
+
+    def run_sync(self, owner: str, seconds: float = 600.0) -> dict | None:
+        """Claim the next queued sync, run it and record its report or error; the task as it ended, None where none waits.
+
+        The version that holds the sync also holds the task's number: an owner that died after publishing has done the task, and who runs it
+        again finds that. An owner whose task was recovered meanwhile cannot finish it.
+        """
+        task = self._tasks.claim(owner, seconds)
+        if task is None:
+            return None
+        try:
+            done = f"task:{task['source']}"
+            report = self.sync_source(task["source"], self.store.read([task["payload"]["snapshot"]]), task["base"], **{done: task["id"]})
+        except Exception as e:  # noqa: BLE001 - the task fails with it
+            return self._tasks.finish(task, error=str(e)[:1000])
+        return self._tasks.finish(task, report)
+
+    def recover_syncs(self, now: float | None = None) -> int:
+        """End tasks of owners that are gone: done where their version was published, else failed."""
+        for t in self._tasks.list(state=tasks.RUNNING):
+            published = self.store.manifest()["meta"].get(f"task:{t['source']}") == t["id"]
+            if published and t["until"] <= (time.time() if now is None else now):
+                self._tasks.finish(t, {"source": t["source"], "revision": self.baseline(t["source"]).revision})
+        return self._tasks.recover(now)
+
     def _index(self) -> fts.Index:
         m = self.store.manifest()
         postings, lengths = (self.store.live(k, self.store.read(m["tables"][k]), m) for k in ("postings", "lengths"))

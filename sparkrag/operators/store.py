@@ -166,6 +166,19 @@ class Store:
         except Conflict:
             return None
 
+    def clear_staging(self, seconds: float, now: float | None = None) -> int:
+        """Delete staged parts older than this that no version names; the number of them. What a running writer staged is younger."""
+        fs, p = self._fs(f"{self.root}/parts")
+        if not fs.exists(p):
+            return 0
+        named = {path.rpartition("/")[2] for v in self.versions() for ps in self.manifest(v)["tables"].values() for path in ps}
+        n = 0
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.startswith(("staging-", "snapshot-")) and name not in named and s.getModificationTime() / 1000 <= (time.time() if now is None else now) - seconds:
+                n += bool(fs.delete(s.getPath(), True))
+        return n
+
     # ---- freezing
 
     def lease(self, now: float | None = None) -> int:

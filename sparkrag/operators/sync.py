@@ -100,53 +100,3 @@ def promoted(old: DataFrame, d: DataFrame, keys: list[str]) -> DataFrame:
     """The next baseline: keys present, their hash and revision (old + 1, from 1)."""
     rev = old.select(*keys, "revision")
     return d.where(F.col("new_hash").isNotNull()).join(rev, keys, "left").select(*keys, F.col("new_hash").alias("content_hash"), (F.coalesce("revision", F.lit(0)) + 1).cast("long").alias("revision"))
-
-
-class RevisionConflict(RuntimeError):
-    pass
-
-
-STATES = ("queued", "running", "succeeded", "failed", "cancelled")
-
-
-class TaskQueue:
-    """Sync tasks in order of submission: one active a source, idempotency keys, capped retries. Driver state only."""
-
-    def __init__(self, attempts: int = 3):
-        self.attempts, self.tasks = attempts, []
-
-    def submit(self, source: str, snapshot_hash: str, base: int, key: str = "") -> dict:
-        if key:
-            for t in self.tasks:
-                if t["source"] == source and t["key"] == key:
-                    if t["hash"] != snapshot_hash:
-                        raise RevisionConflict("idempotency_conflict")
-                    return t
-        if any(t["source"] == source and t["state"] in ("queued", "running") for t in self.tasks):
-            raise RevisionConflict("active_task_conflict")
-        t = {"id": len(self.tasks) + 1, "source": source, "hash": snapshot_hash, "base": base, "key": key, "attempt": 1, "state": "queued", "parent": None}
-        self.tasks.append(t)
-        return t
-
-    def claim(self) -> dict | None:
-        t = next((t for t in self.tasks if t["state"] == "queued"), None)
-        if t:
-            t["state"] = "running"
-        return t
-
-    def recover(self) -> int:
-        n = 0
-        for t in self.tasks:
-            if t["state"] == "running":
-                t["state"], n = "failed", n + 1
-        return n
-
-    def retry(self, task_id: int, base: int) -> dict:
-        t = self.tasks[task_id - 1]
-        if t["state"] not in ("failed", "cancelled"):
-            raise RevisionConflict("conflict")
-        if t["attempt"] >= self.attempts:
-            raise RevisionConflict("retry_limit")
-        new = t | {"id": len(self.tasks) + 1, "attempt": t["attempt"] + 1, "state": "queued", "parent": t["id"], "key": "", "base": base}
-        self.tasks.append(new)
-        return new

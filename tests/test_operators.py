@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve, Settings, tightened
 from sparkrag.engine import Engine
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync
+from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync, tasks
 from sparkrag.sources import loaders
 
 
@@ -113,13 +113,80 @@ def test_sync_revisions_and_queue(spark):
     d = sync.diff(old, new, ["source", "k"])
     assert {r.k: r["class"] for r in d.collect()} == {"a": "unchanged", "b": "deleted", "c": "added"}
     assert {r.k: r.revision for r in sync.promoted(old, d, ["source", "k"]).collect()} == {"a": 3, "c": 1}
-    q = sync.TaskQueue()
-    t = q.submit("s", "h", 0, "key")
-    assert q.submit("s", "h", 0, "key") is t
-    with pytest.raises(sync.RevisionConflict):
-        q.submit("s", "other", 0, "key")
-    q.claim()
-    assert q.recover() == 1 and q.retry(1, 1)["attempt"] == 2
+
+
+def test_tasks_are_durable_and_claimed_once(spark, tmp_path):
+    a, b = (tasks.Tasks(store.Store(spark, str(tmp_path / "s"))) for _ in range(2))  # two drivers
+    t = a.submit("s", "h", 0, "key")
+    assert b.submit("s", "h", 0, "key") == t
+    with pytest.raises(store.Conflict, match="idempotency_conflict"):
+        b.submit("s", "other", 0, "key")
+    with pytest.raises(store.Conflict, match="active_task_conflict"):
+        b.submit("s", "h2", 0)
+    for i in range(6):
+        a.submit(f"s{i}", "h", 0)
+    seen = b.list  # b looked before a claimed
+    b.list = lambda **k: [x for x in seen() if k.get("state") in (None, "queued")] or seen(**k)
+    stale = b.list(state="queued")
+    first = a.claim("a")
+    b.list = lambda **k: stale
+    second = b.claim("b")
+    b.list = seen
+    assert (first["id"], second["id"]) == (1, 2)  # the task that another was first to claim is passed over
+    got = [x["id"] for _ in range(4) for x in (a.claim("a"), b.claim("b")) if x]
+    assert sorted(got) == [3, 4, 5, 6, 7]
+    renewed = a.renew(first, 100.0)
+    with pytest.raises(store.Conflict):
+        a.finish(first)  # an older state of its own
+    late = time.time() + 10_000
+    assert b.recover() == 0 and b.recover(late) == 7 and b.recover(late) == 0
+    with pytest.raises(store.Conflict):
+        a.finish(renewed, {"n": 1})  # the former owner
+    fresh = tasks.Tasks(store.Store(spark, str(tmp_path / "s")))  # after a restart
+    assert fresh.get(1)["state"] == "failed" and fresh.get(1)["error"] == "interrupted" and fresh.submit("s", "h", 0, "key")["id"] == 1
+    again = fresh.retry(1, 4)
+    assert (again["attempt"], again["parent"], again["base"]) == (2, 1, 4)
+    assert fresh.cancel(again["id"])["state"] == "cancelled"
+    third = fresh.retry(again["id"], 5)
+    done = fresh.finish(fresh.claim("c"), {"n": 3})
+    assert done["id"] == third["id"] and a.get(third["id"])["report"] == {"n": 3} and [x["id"] for x in a.list("s")] == [1, 8, 9]
+    for bad in (third["id"], 1):
+        with pytest.raises(store.Conflict):
+            fresh.cancel(bad)
+    fresh.attempts = 2
+    with pytest.raises(store.Conflict, match="retry_limit"):
+        fresh.retry(again["id"], 5)
+    with pytest.raises(KeyError):
+        fresh.get(99)
+
+
+def test_syncs_run_as_tasks(spark, tmp_path):
+    e = small(spark, tmp_path)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "document_id string, text string")
+    one = frame(("a", "Cats sleep."), ("b", "Dogs bark."))
+    t = e.submit_sync("wiki", one, key="k")
+    assert e.submit_sync("wiki", one.orderBy(F.desc("document_id")), key="k")["id"] == t["id"]
+    with pytest.raises(store.Conflict, match="idempotency_conflict"):
+        e.submit_sync("wiki", frame(("a", "Other.")), key="k")
+    done = e.run_sync("driver")
+    assert done["state"] == "succeeded" and done["report"]["documents"] == {"added": 2} and e.run_sync("driver") is None
+    e.submit_sync("wiki", frame(("", "no id")))
+    assert e.run_sync("driver")["state"] == "failed"
+    # a driver that dies after it published: the task is found done; one that dies before: failed, and retried
+    e.submit_sync("wiki", frame(("a", "Cats run.")))
+    real, e.tasks.finish = e.tasks.finish, lambda *a, **k: None
+    e.run_sync("driver")
+    e.tasks.finish = real
+    other = small(spark, tmp_path)
+    late = time.time() + 10_000
+    assert other.recover_syncs(late) == 0 and other.tasks.get(3)["state"] == "succeeded" and other.tasks.get(3)["report"]["revision"] == 2
+    other.submit_sync("wiki", frame(("a", "Cats jump.")))
+    assert e.tasks.claim("driver")["id"] == 4 and other.recover_syncs(late) == 1
+    other.tasks.retry(4, 2)
+    assert other.run_sync("other")["report"]["chunks"] == {"changed": 1} and [r.text for r in other.store.table("chunks").collect()] == ["Cats jump."]
+    n = len(list((tmp_path / "store" / "parts").glob("s[tn]a*-*")))
+    assert other.store.clear_staging(3600) == 0 and other.store.clear_staging(0, time.time() + 10) == n > 0
+    assert other.store.table("chunks").count() == 1 and other.baseline("wiki").revision == 3
 
 
 def test_sync_of_a_source(spark, tmp_path):
