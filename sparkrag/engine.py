@@ -15,8 +15,8 @@ from sparkrag.sources import loaders
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]] | None = None, settings: Settings = Settings()):
-        self.spark, self.settings = spark, settings
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]] | None = None, settings: Settings = Settings(), llm: Callable[[str], str] | None = None, reranker: Callable[[str, list[str], int], list[tuple[int, float]]] | None = None):
+        self.spark, self.settings, self.llm, self.reranker = spark, settings, llm, reranker
         self.store = store.Store(spark, root)
         self.model = embed or retrieval.hash_embedder(settings.embedding.dims)
         self._tasks = tasks.Tasks(self.store)
@@ -24,6 +24,10 @@ class Engine:
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         return chunks.select("chunk_id", retrieval.embed(F.col("text"), self.model, self.settings.embedding.dims, batch=self.settings.embedding.batch).alias("embedding"))
 
+    def _pieces(self, docs: DataFrame) -> DataFrame:
+        e = self.settings.embedding
+        return chunking.pieces(docs, self.settings.chunk, lambda c: retrieval.embed(c, self.model, e.dims, batch=e.batch), self.llm)
+
     def _tables(self) -> tuple[DataFrame, DataFrame] | None:
         m = self.store.manifest()
         return tuple(self.store.live(k, self.store.read(m["tables"][k]), m) for k in ("chunks", "vectors")) if m["tables"].get("chunks") else None
@@ -41,7 +45,7 @@ class Engine:
         writes the new rows only; meta is kept with it."""
         docs = self._checked(docs)
         start, old = self.store.version, self._tables()
-        new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), old[0] if old else None)
+        new = store.ingested(self._pieces(docs), old[0] if old else None)
         return self._append(new, ["source", "ord"], start, **meta)
 
     def _top(self, start: int) -> int:
@@ -103,7 +107,7 @@ class Engine:
             return 0, self.ingest(docs)
         gone = old[0].where(store.of_source(source)).select("chunk_id")
         kept = store.without_source(old[0], source)
-        new = store.ingested(docs, chunking.chunk_column(F.col("text"), self.settings.chunk), kept)
+        new = store.ingested(self._pieces(docs), kept)
         n = gone.count()
         return n, self._append(new, ["source", "ord"], start, gone, drop=self._forgotten(start, source))
 
@@ -140,7 +144,7 @@ class Engine:
         identity = hashlib.sha256(repr((identity, self.settings.embedding, self.settings.chunk)).encode()).hexdigest()
         other, revision = base.revision > 0 and identity != base.identity, base.revision + 1
         docs = sync.snapshot_documents(snapshot, source)
-        pieces = sync.snapshot_chunks(docs, chunking.chunk_column(F.col("text"), self.settings.chunk))
+        pieces = sync.snapshot_chunks(self._pieces(docs))
         report, changed = {}, {}
         for name, old, new, keys in (("documents", base.documents, docs.select(*sync.DOCUMENT, "content_hash"), sync.DOCUMENT), ("chunks", base.chunks, pieces, sync.CHUNK)):
             seen = Observation()
@@ -210,13 +214,24 @@ class Engine:
         counts = m["counts"] or {}
         return fts.Index(postings, lengths, None, counts.get("chunks"), counts.get("tokens"))
 
-    def retrieve(self, query: str, k: int | None = None) -> DataFrame:
-        tables = self._tables()
+    def retrieve(self, query: str, k: int | None = None, used: int = 0, rewrite: str | None = None) -> DataFrame:
+        """The best chunks for a query. used: tokens of context taken already, which lower k where settings make it dynamic; rewrite: expansion, hyde or multi_query
+        by the engine's language model, whose forms of the query are searched at once, a failing model leaving the query itself."""
+        tables, cfg, e = self._tables(), self.settings.retrieve, self.settings.embedding
         if tables is None:
             return self.spark.createDataFrame([], "chunk_id long, text string, source string, vec_score double, bm25_score double, final_score double")
-        vector = self.model([self.settings.embedding.query_prefix + query])[0]
-        found = retrieval.retrieve(*tables, self._index(), query, vector, self.settings.retrieve, k)
-        return retrieval.rerank(found, retrieval.lexical_score(F.col("text"), query), self.settings.retrieve) if self.settings.retrieve.rerank else found
+        k = k or cfg.top_k
+        k = retrieval.room(k, used, cfg) if cfg.dynamic_top_k else k
+        forms = retrieval.rewritten(query, rewrite, self.llm) if rewrite and self.llm else [query]
+        if len(forms) == 1:
+            found = retrieval.retrieve(*tables, self._index(), forms[0], self.model([e.query_prefix + forms[0]])[0], cfg, k)
+        else:
+            asked = [(i, q, v) for i, (q, v) in enumerate(zip(forms, self.model([e.query_prefix + q for q in forms])))]
+            asked = self.spark.createDataFrame(asked, "query_id long, query string, qv array<double>")
+            found = retrieval.hydrate(retrieval.best_of(tables[1], self._index(), asked, cfg, k), tables[0])
+        if cfg.rerank and self.reranker is not None:
+            return retrieval.reranked(found, query, self.reranker, cfg)
+        return retrieval.rerank(found, retrieval.lexical_score(F.col("text"), query), cfg) if cfg.rerank else found
 
     def evidence(self, query: str) -> DataFrame:
         rows = self.retrieve(query).withColumn("q", F.lit(0)).withColumn("parent_text", F.lit(""))

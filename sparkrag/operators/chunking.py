@@ -299,7 +299,9 @@ def hierarchical(chunks: DataFrame, doc: str, cfg: Chunk = Chunk()) -> DataFrame
 
 
 def chunk_column(text: Column, cfg: Chunk = Chunk(), llm: LLM | None = None) -> Column:
-    """Chunks by the strategy's name; unknown names mean fixed."""
+    """Chunks by the strategy's name; unknown names mean fixed. Semantic chunks need vectors of sentences: see `pieces`."""
+    if cfg.strategy == "semantic":
+        raise ValueError("semantic chunks are made by `pieces`")
     if cfg.strategy == "structure":
         return structure(text, cfg)
     if cfg.strategy == "agentic":
@@ -307,4 +309,17 @@ def chunk_column(text: Column, cfg: Chunk = Chunk(), llm: LLM | None = None) ->
     return fixed(text, cfg)
 
 
-__all__ = ["fixed", "exploded", "structure", "structure_chunks", "agentic", "semantic", "semantic_breaks", "adjacent_cosine", "hierarchical", "chunk_column", "strip_fence"]
+def pieces(docs: DataFrame, cfg: Chunk = Chunk(), embed: Callable[[Column], Column] | None = None, llm: LLM | None = None) -> DataFrame:
+    """ord, text of the chunks of every document (text), by the strategy, beside the documents' other columns. Semantic: `embed` gives the vectors of
+    sentences; documents that are alike in every column are cut once."""
+    rest = [c for c in docs.columns if c != "text"]
+    if cfg.strategy != "semantic":
+        return docs.select(*rest, F.posexplode(chunk_column(F.col("text"), cfg, llm)).alias("ord", "text"))
+    if embed is None:
+        raise ValueError("semantic chunks need a model")
+    rows = docs.select(F.struct(*rest, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__digest")).alias("__doc"), "text").distinct()
+    rows = rows.select("__doc", F.posexplode(sentences(F.col("text"))).alias("__o", "__s")).withColumn("__v", embed(F.col("__s")))
+    return semantic(rows, "__doc", "__o", "__s", "__v", cfg).select(*(F.col("__doc")[c].alias(c) for c in rest), F.col("ordinal").cast("int").alias("ord"), "text")
+
+
+__all__ = ["fixed", "exploded", "structure", "structure_chunks", "agentic", "semantic", "semantic_breaks", "adjacent_cosine", "hierarchical", "chunk_column", "pieces", "strip_fence"]

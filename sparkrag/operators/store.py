@@ -306,10 +306,9 @@ def sources(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("chunks")).orderBy("source")
 
 
-def ingested(docs: DataFrame, chunks: Column, existing: DataFrame | None = None) -> DataFrame:
-    """Chunk rows of documents (source, text, title, uri, location) with provenance defaults, deduplicated."""
-    rows = docs.select("source", "title", "uri", "location", F.posexplode(chunks).alias("ord", "text"))
-    return deduplicated(chunk_rows(rows, "ord"), existing, ["source", "ord"])
+def ingested(pieces: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Chunk rows of documents' pieces (source, title, uri, location, ord, text) with provenance defaults, deduplicated."""
+    return deduplicated(chunk_rows(pieces, "ord"), existing, ["source", "ord"])
 
 
 def chunk_rows(rows: DataFrame, *more: str) -> DataFrame:

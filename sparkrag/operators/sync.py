@@ -65,9 +65,9 @@ def snapshot_documents(snapshot: DataFrame, source: str) -> DataFrame:
     return snapshot.select(F.lit(source).alias("source"), trim_ws(F.col("document_id")).alias("document_id"), text.alias("text"), sha256_hex(text).alias("content_hash"), "title", "uri", "location")
 
 
-def snapshot_chunks(docs: DataFrame, chunks: Column) -> DataFrame:
-    """Chunks of a snapshot's documents with key and hash."""
-    rows = docs.select(*DOCUMENT, "title", "uri", "location", F.posexplode(chunks).alias("ord", "text"))
+def snapshot_chunks(pieces: DataFrame) -> DataFrame:
+    """Chunks (pieces of a snapshot's documents: ord, text) with key and hash."""
+    rows = pieces.select(*DOCUMENT, "title", "uri", "location", "ord", "text")
     return rows.withColumns({"chunk_key": chunk_key(F.col("source"), F.col("document_id"), ordinal_key(F.col("ord"))), "content_hash": content_hash(F.col("text"))})
 
 

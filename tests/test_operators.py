@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkrag.config import Chunk, Retrieve, Settings, tightened
 from sparkrag.engine import Engine
 from sparkrag.functions import text as X
-from sparkrag.operators import chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync, tasks
+from sparkrag.operators import archive, chunking, citations, evaluate, feedback, fts, fts_batch, nearest, retrieval, store, sync, tasks
 from sparkrag.sources import loaders
 
 
@@ -376,6 +376,95 @@ def test_stream_ingest_once(spark, tmp_path):
     assert e.store.version == v + 1 and e.store.table("chunks").count() == 1
 
 
+def test_retrieval_options(spark, tmp_path):
+    from dataclasses import replace
+
+    e = small(spark, tmp_path, dims=32)
+    e.ingest(rows_of(spark, *((f"s{i}", t) for i, t in enumerate(("Cats sleep long.", "Dogs bark loudly.", "Birds sing early.", "Fish swim deep.")))))
+    base = e.settings
+    e.settings = replace(base, retrieve=replace(base.retrieve, dynamic_top_k=True))
+    assert e.retrieve("cats", 4, used=base.retrieve.window - base.retrieve.reserve - 900).count() == 2 and e.retrieve("cats", 4, used=10**9).count() == 1 and e.retrieve("cats", 4).count() == 4
+    assert retrieval.room(3, 0) == 3 and retrieval.room(3, 171_000) == 2
+    # forms of a question: each chunk as its best form scores it
+    e.llm = lambda prompt: "birds sing\nfish swim\n"
+    assert {r.source for r in e.retrieve("animals", 2, rewrite="multi_query").collect()} == {"s2", "s3"}
+    want = {}
+    for q in ("birds sing", "fish swim"):
+        for r in e.retrieve(q, 4).collect():
+            want[r.source] = max(want.get(r.source, 0), round(r.final_score, 6))
+    assert {r.source: round(r.final_score, 6) for r in e.retrieve("animals", 4, rewrite="multi_query").collect()} == want
+    e.llm = lambda prompt: 1 / 0
+    assert e.retrieve("dogs bark", 1, rewrite="hyde").first().source == "s1"
+    # a reranking model, and what is left of it where it fails
+    e.settings = replace(base, retrieve=replace(base.retrieve, rerank=True, top_k=4))
+    fused = [r.source for r in small(spark, tmp_path, dims=32).retrieve("cats", 4).orderBy(F.round("final_score", 9).desc(), "chunk_id").collect()]
+    e.reranker = lambda q, texts, n: [(i, 1.0 - i) for i in range(len(texts))][::-1] + [(99, 0.0), (-1, 0.0)]
+    assert [r.source for r in e.retrieve("cats").collect()] == fused[::-1]
+    for bad in (lambda *a: 1 / 0, lambda *a: [], lambda *a: [(7, 1.0)]):
+        e.reranker = bad
+        assert {r.source for r in e.retrieve("cats").collect()} == set(fused)
+
+
+def test_every_strategy_is_dispatched(spark, tmp_path):
+    from dataclasses import replace
+
+    texts = ["Red cats sleep. Red cats eat. Blue sea waves. Blue sea salt.", "One line.", "", None]
+    docs = spark.createDataFrame([(f"s{i}", t, "x") for i, t in enumerate(texts)] + [("s0", texts[0], "x")], "source string, text string, title string")
+    model = lambda batch: [[1.0, 0.0] if "Red" in t else [0.0, 1.0] for t in batch]
+    cfg = Chunk(strategy="semantic", percentile=50, min_sentences=2)
+    got = chunking.pieces(docs, cfg, lambda c: retrieval.embed(c, model, 2)).collect()
+    assert sorted((r.source, r.ord, r.text, r.title) for r in got) == [("s0", 0, "Red cats sleep. Red cats eat.", "x"), ("s0", 1, "Blue sea waves. Blue sea salt.", "x"), ("s1", 0, "One line.", "x")]
+    with pytest.raises(ValueError):
+        chunking.pieces(docs, cfg)
+    with pytest.raises(ValueError):
+        chunking.chunk_column(F.col("text"), cfg)
+    for strategy in ("fixed", "structure", "agentic", "anything"):
+        assert {r.source for r in chunking.pieces(docs, Chunk(strategy=strategy)).collect()} == {"s0", "s1"}
+    e = small(spark, tmp_path, dims=2, model=model)
+    e.settings = replace(e.settings, chunk=cfg)
+    assert e.ingest(docs.where("text <> ''").distinct()) == 3 and e.store.table("vectors").count() == 3
+
+
+def test_archives_name_the_part_that_changed(spark, tmp_path):
+    e, who = small(spark, tmp_path), {"dims": 16}
+    e.ingest(rows_of(spark, *((f"s{i:02}", f"Text number {i} about cats.") for i in range(30))))
+    e.delete_source("s07")
+    at = str(tmp_path / "archive")
+    m = archive.export(e.store, at, who, rows_a_file=10)
+    assert m["rows"]["chunks"] == m["rows"]["vectors"] == 29 and archive.problems(spark, at, who) == []
+    with pytest.raises(archive.ArchiveError):
+        archive.export(e.store, at, who)
+    other = small(spark, tmp_path, "other")
+    other.ingest(rows_of(spark, *((f"o{i}", f"Other text {i}.") for i in range(50))))
+    top = other.store.manifest()["top"]
+    archive.restore(other.store, at, who, 16)
+    a, b = (sorted(map(tuple, x.store.table("chunks").collect())) for x in (e, other))
+    assert a == b and other.store.manifest()["top"] == top == 50 and sum(r.n for r in other.integrity().collect()) == 0
+    assert other.store.manifest()["counts"] == e.store.manifest()["counts"]
+    assert [r.chunk_id for r in other.retrieve("number 3", 3).collect()] == [r.chunk_id for r in e.retrieve("number 3", 3).collect()]
+    # one byte
+    files = sorted((tmp_path / "archive" / "vectors").glob("*.parquet"))
+    assert len(files) >= 3
+    raw = bytearray(files[1].read_bytes())
+    raw[len(raw) // 2] ^= 1
+    files[1].write_bytes(raw)
+    assert archive.problems(spark, at, who) == [f"vectors/{files[1].name}: missing or unreadable"]  # the file system's own sum
+    files[1].with_name(f".{files[1].name}.crc").unlink()
+    assert archive.problems(spark, at, who) == [f"vectors/{files[1].name}: changed"]
+    v = other.store.version
+    with pytest.raises(archive.ArchiveError, match=files[1].name):
+        archive.restore(other.store, at, who, 16)
+    raw[len(raw) // 2] ^= 1
+    files[1].write_bytes(raw)
+    files[0].rename(files[0].with_name("renamed.parquet"))
+    assert sorted(x.rpartition(": ")[2] for x in archive.problems(spark, at, who)) == ["missing or unreadable", "unknown"]
+    (tmp_path / "archive" / "vectors" / "renamed.parquet").rename(files[0])
+    assert archive.problems(spark, at, {"dims": 8}) == ["another embedding"] and archive.problems(spark, at, who, 10) == ["too large"]
+    assert archive.problems(spark, str(tmp_path / "none")) != [] and other.store.version == v
+    with pytest.raises(archive.ArchiveError, match="wrong_dimension"):
+        archive.restore(other.store, at, who, 17)
+
+
 def test_ids_are_never_given_twice(spark, tmp_path):
     e = small(spark, tmp_path)
     e.ingest(rows_of(spark, ("a", "Cats sleep."), ("b", "Dogs bark.")))
