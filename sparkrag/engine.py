@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.config import Settings
+from sparkrag.functions.text import trim_ws
 from sparkrag.operators import chunking, citations, fts, retrieval, store, sync, tasks
 from sparkrag.sources import loaders
 
@@ -124,13 +126,14 @@ class Engine:
         revision = state.revision if state else 0
         return sync.Baseline(revision, state.identity if state else "", *(sync.state(found[k], keys, revision) for k, keys in sync.KEYS.items()))
 
-    def sync_source(self, source: str, snapshot: DataFrame, expect: int | None = None, identity: str = "", **meta) -> dict:
+    def sync_source(self, source: str, snapshot: DataFrame, expect: int | None = None, identity: str = "", only: DataFrame | None = None, **meta) -> dict:
         """Bring a source to a snapshot (document_id, text and perhaps title, uri, location) in one version; returns its revision and counts by class.
 
         Blank or repeated ids reject the snapshot as a whole, a revision other than `expect` is a conflict. Only added and changed chunks are embedded,
         the others keep their chunk_id; another identity (of the model; settings are part of it) changes all. The first sync replaces the chunks of exactly
         this source. Revisions of documents and chunks grow by one a sync, changed or not. What is written is in proportion to what changed; the snapshot
-        is read three times (ids, documents, chunks), so it should not change meanwhile.
+        is read three times (ids, documents, chunks), so it should not change meanwhile. only: the document_ids that the snapshot speaks of, where it is not
+        of the whole source; those of them it lacks are deleted, other documents stay as they are.
         """
         for c in ("title", "uri", "location"):
             snapshot = snapshot if c in snapshot.columns else snapshot.withColumn(c, F.lit(""))
@@ -146,6 +149,11 @@ class Engine:
         docs = sync.snapshot_documents(snapshot, source)
         pieces = sync.snapshot_chunks(self._pieces(docs))
         report, changed = {}, {}
+        if only is not None:
+            ids = only.select(trim_ws(F.col("document_id")).alias("document_id")).distinct()
+            base = replace(base, documents=base.documents.join(ids, "document_id", "left_semi"), chunks=base.chunks.join(ids, "document_id", "left_semi"))
+            if base.revision and identity != base.identity:
+                raise store.Conflict("another identity needs a snapshot of the whole source")
         for name, old, new, keys in (("documents", base.documents, docs.select(*sync.DOCUMENT, "content_hash"), sync.DOCUMENT), ("chunks", base.chunks, pieces, sync.CHUNK)):
             seen = Observation()
             kinds = {k: F.count(F.when(F.col("class") == k, 1)).alias(k) for k in ("unchanged", "added", "changed", "deleted")}
@@ -155,7 +163,7 @@ class Engine:
             report[name] = {k: seen.get[k] for k in kinds if seen.get[k]}
         by_chunk = changed["chunks"]
         fresh = store.chunk_rows(by_chunk.where("class in ('added', 'changed')"), *sync.CHUNK[1:], "ord")
-        if base.revision:
+        if base.revision or only is not None:
             gone = by_chunk.where("class in ('changed', 'deleted')").select(F.col("old_chunk_id").alias("chunk_id"))
         else:
             gone = tables[0].where(F.col("source") == source).select("chunk_id") if tables else None

@@ -147,7 +147,19 @@ def chunk_semantic_breaks(spark, d):
     return rows.select("label", "vec_id", F.round("cutoff", 6).alias("cutoff"), "brk")
 
 
-@query()
+@query(_SIMS.replace("WITH p", "WITH RECURSIVE p") + """, c AS (SELECT label, quantile_cont(sim, 0.1) AS cutoff FROM s GROUP BY label),
+k AS (SELECT e.label, e.vec_id, 'v' || e.vec_id AS s, coalesce(s.sim < c.cutoff, false) AS b FROM embeddings e LEFT JOIN s ON s.label = e.label AND s.vec_id = e.vec_id LEFT JOIN c ON c.label = e.label),
+l AS (SELECT label, list({'s': s, 'b': b} ORDER BY vec_id) AS xs FROM k GROUP BY label),
+f AS (
+  SELECT label, xs, 0 AS i, []::VARCHAR[][] AS done, []::VARCHAR[] AS buf FROM l
+  UNION ALL
+  SELECT label, xs, i + 1, CASE WHEN xs[i + 1].b AND len(buf) >= 1 THEN list_append(done, list_append(buf, xs[i + 1].s)) ELSE done END,
+    CASE WHEN xs[i + 1].b AND len(buf) >= 1 THEN [] ELSE list_append(buf, xs[i + 1].s) END
+  FROM f WHERE i < len(xs)),
+g AS (SELECT label, CASE WHEN len(buf) = 0 THEN done WHEN len(buf) < 2 AND len(done) > 0 THEN list_append(done[1:len(done) - 1], list_concat(done[-1], buf)) ELSE list_append(done, buf) END AS gs FROM f WHERE i = len(xs)),
+u AS (SELECT label, unnest(range(len(gs))) AS gi, unnest(gs) AS g FROM g),
+r AS (SELECT label, gi, unnest(range(0, len(g), 20)) AS o, g FROM u)
+SELECT label, (row_number() OVER (PARTITION BY label ORDER BY gi, o) - 1)::INT AS ordinal, array_to_string(g[o + 1:o + 20], ' ') AS text FROM r""")
 def chunk_semantic(spark, d):
     rows = table(spark, d, "embeddings").withColumn("s", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
     return chunking.semantic(rows, "label", "vec_id", "s", "embedding")
@@ -373,7 +385,16 @@ def evidence_render(spark, d):
 
 # ---- sources
 
-@query()
+_SKIPPED = "text"
+for _tag in ("script", "style", "noscript", "svg", "nav", "footer", "header", "aside", "form", "iframe", "template", "head"):
+    _SKIPPED = f"regexp_replace({_SKIPPED}, '(?is)<{_tag}(\\s[^>]*)?>.*?</{_tag}>', ' ', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g') AS text FROM pages),
+b AS (SELECT url, regexp_replace({_SKIPPED}, '<[/!]?[A-Za-z][^>]*>', ' ', 'g') AS text FROM a),
+c AS (SELECT url, replace(replace(replace(replace(text, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&') AS text FROM b),
+e AS (SELECT url, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM c)
+SELECT url, md5(text) AS digest, length(text) AS chars FROM e""")
 def html_extract(spark, d):
     return loaders.pages(table(spark, d, "pages")).select(F.col("source").alias("url"), X.md5_hex(F.col("text")).alias("digest"), F.length("text").cast("long").alias("chars"))
 
@@ -595,3 +616,12 @@ def trace_summary(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def outcomes_tumbling(spark, d):
     return stream.outcomes(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+_AT_MOST = ", ".join(f"count(*) FILTER (WHERE value <= {b})::BIGINT AS le_{i}" for i, b in enumerate(stream.BUCKETS))
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, {_AT_MOST} FROM events GROUP BY 1, 2")
+def metric_histograms(spark, d):
+    found = stream.histograms(table(spark, d, "events"), "ts", "event_type", "value")
+    return found.select("start", "event_type", "n", F.round("total", 4).alias("total"), *(F.get("at_most", i).alias(f"le_{i}") for i in range(len(stream.BUCKETS))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import json
+import os
 import re
 import zipfile
 from html.parser import HTMLParser
@@ -216,18 +217,88 @@ def ignored(path: str, rules: list[tuple[str, str]]) -> bool:
     return out
 
 
+# Files that a repository's documents come from.
+TEXTS = frozenset("txt md markdown rst csv log go py js ts java c h yaml yml toml xml html css sh".split())
+EXTRACTED = frozenset("json pdf docx".split())
+
+
+def walked(spark: SparkSession, root: str, rules: list[tuple[str, str]] = (), limits: Connectors = Connectors()) -> list[tuple[str, str, int]]:
+    """(path, uri, bytes) of a tree's supported files, by path. Rules of `.gitignore` files, outer ones first, then the given ones decide before a folder is listed, so what is
+    ignored is never looked into; `.git` and symbolic links are passed over. Over `files` files or `total_bytes` bytes the walk ends with an error,
+    so the list is bounded; files over `file_bytes` are left out."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, seen, total = [], 0, 0
+
+    def lines(path) -> list[str]:
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8", "replace").split("\n")
+        finally:
+            stream.close()
+
+    def walk(folder, base: str, own: list[tuple[str, str]]) -> None:
+        nonlocal seen, total
+        entries = sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName())
+        ignore = next((s for s in entries if s.getPath().getName() == ".gitignore" and s.isFile()), None)
+        if ignore is not None:
+            own = own + [(base, x.strip()) for x in lines(ignore.getPath()) if x.strip() and not x.strip().startswith("#")]
+        for s in entries:
+            name, uri = s.getPath().getName(), s.getPath().toString()
+            path = f"{base}/{name}" if base else name
+            local = uri.removeprefix("file:")
+            if path == ".git" or s.isSymlink() or (uri.startswith("file:") and os.path.islink(local)):
+                continue
+            if ignored(path + "/" if s.isDirectory() else path, [*own, *rules]):
+                continue
+            if s.isDirectory():
+                walk(s.getPath(), path, own)
+                continue
+            seen += 1
+            if seen > limits.files:
+                raise LoadError("too_large", "The repository exceeds the configured file limit.")
+            ext = name.rpartition(".")[2].lower() if "." in name else ""
+            if ext not in TEXTS | EXTRACTED or s.getLen() > limits.file_bytes:
+                continue
+            total += s.getLen()
+            if total > limits.total_bytes:
+                raise LoadError("too_large", "The repository exceeds the configured byte limit.")
+            out.append((path, uri, s.getLen()))
+
+    walk(top, "", [])
+    return sorted(out)
+
+
 def repository(spark: SparkSession, root: str, identity: str, revision: str, rules: list[tuple[str, str]] = (), limits: Connectors = Connectors()) -> DataFrame:
-    """A checked-out tree as documents `identity#path` at `path@revision`."""
-    rules = list(rules)
-    docs = files(spark, root, limits)
+    """A checked-out tree as documents `identity#path` at `path@revision`. Only files that the walk leaves are read; empty ones give no document, more than
+    `documents` of them, or none, reject the load."""
+    found = walked(spark, root, list(rules), limits)
+    if not found:
+        raise LoadError("extraction_failed", "The repository contains no supported usable documents.")
+    names = spark.createDataFrame([(p, u) for p, u, _ in found], "path string, uri string")
+    raw = spark.read.format("binaryFile").load([u for _, u, _ in found]).withColumnRenamed("path", "uri")
+
+    @F.pandas_udf(_DOC)
+    def run(paths: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_plain(p, bytes(c), limits) for p, c in zip(paths, content)], columns=["text", "error"])
+
+    # at most `files` names: bounded
+    docs = raw.join(F.broadcast(names), "uri").withColumn("d", run("path", "content"))
+    docs = docs.select(F.concat(F.lit(identity + "#"), "path").alias("source"), F.col("d.text").alias("text"), F.concat("path", F.lit("@" + revision[:12])).alias("location"), F.col("d.error").alias("error"))
+    docs = docs.where("error is not null or text <> ''")
+    n = docs.where("error is null").count()
+    if n > limits.documents:
+        raise LoadError("too_large", "The repository exceeds the configured document limit.")
+    if not n:
+        raise LoadError("extraction_failed", "The repository contains no supported usable documents.")
+    return docs
 
-    @F.pandas_udf(T.BooleanType())
-    def kept(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: not ignored(p, rules) and "/.git/" not in f"/{p}")
 
-    rel = F.regexp_replace(F.col("uri"), f"^(file:)?/*{re.escape(root.strip('/'))}/", "")
-    docs = docs.withColumn("path", rel).where(kept("path"))
-    return docs.select(F.concat(F.lit(identity + "#"), "path").alias("source"), "text", F.concat("path", F.lit("@" + revision[:12])).alias("location"), "error")
+def _plain(path: str, raw: bytes, limits: Connectors) -> tuple[str | None, str | None]:
+    """As `_read`; a repository's HTML files are texts like others."""
+    ext = path.rpartition(".")[2].lower()
+    return _read(path if ext in EXTRACTED else "x.txt", raw, limits)
 
 
 def problems(docs: DataFrame) -> DataFrame:
@@ -257,4 +328,4 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-__all__ = ["LoadError", "files", "pages", "repository", "visible_text", "canonical_json", "docx_text", "ignored", "problems", "provenance", "envelope", "jsonl", "newlines"]
+__all__ = ["LoadError", "files", "pages", "repository", "walked", "visible_text", "canonical_json", "docx_text", "ignored", "problems", "provenance", "envelope", "jsonl", "newlines"]

@@ -254,6 +254,52 @@ def test_loaders(spark, tmp_path):
         loaders.kind_of({"text": "a", "url": "b"})
 
 
+def test_repository_walk_never_lists_what_is_ignored(spark, tmp_path):
+    from dataclasses import replace
+
+    from sparkrag.config import Connectors
+
+    root = tmp_path / "repo"
+    for path, text in {
+        "a.md": "# Title", "src/b.py": "x = 1", "src/.gitignore": "*.log\n!keep.log\n/only/\n", "src/x.log": "no", "src/keep.log": "yes", "src/only/z.py": "no", "src/sub/only/z.py": "yes",
+        ".gitignore": "# rules\nbuild/\n*.tmp\n", "build/deep/c.py": "no", "d.tmp": "no", ".git/config": "no", "page.html": "<b>raw</b>", "pic.png": "no", "empty.txt": "", "big.txt": "y" * 5000, "data.json": "[1]", "bad.json": "{",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    (root / "link.md").symlink_to(root / "a.md")
+    limits = replace(Connectors(), file_bytes=4000)
+    got = {r.source: (r.text, r.error) for r in loaders.repository(spark, str(root), "r.git", "0123456789abcdef", [("", "page.h*")], limits).collect()}
+    assert got == {f"r.git#{p}": t for p, t in {"a.md": ("# Title", None), "src/b.py": ("x = 1", None), "src/keep.log": ("yes", None), "src/sub/only/z.py": ("yes", None), "data.json": ("[\n1\n]", None), "bad.json": (None, "extraction_failed")}.items()}
+    (root / "build" / "deep").chmod(0)  # whoever lists it fails
+    n = len(loaders.walked(spark, str(root), limits=limits))
+    assert n == 8
+    for bad, message in ((replace(limits, files=9), "file limit"), (replace(limits, total_bytes=20), "byte limit"), (replace(limits, documents=4), "document limit")):
+        with pytest.raises(loaders.LoadError, match=message):
+            loaders.repository(spark, str(root), "r.git", "0", limits=bad)
+    with pytest.raises(loaders.LoadError, match="no supported"):
+        loaders.repository(spark, str(root / ".git"), "r.git", "0")
+
+
+def test_histograms_of_a_stream_equal_a_batch(spark, tmp_path):
+    from sparkrag.streaming import stream
+
+    schema = "ts timestamp, kind string, value double"
+    rng = random.Random(4)
+    rows = [(f"2026-01-01 {h:02}:{rng.randint(0, 59):02}:00", rng.choice("ab"), rng.choice([0.004, 0.005, 0.3, 2.0, 11.0, None])) for h in (0, 1, 2) for _ in range(40)]
+    frame = lambda x: spark.createDataFrame(x, "ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (rows[:70], rows[70:] + rows[:5]):  # late rows of windows that are still open
+        frame(part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    q = stream.histograms(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), "ts", "kind", "value", late="5 hours").writeStream.format("memory").queryName("hist").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    shown = lambda df: sorted((str(r.start), r.kind, r.n, round(r.total or 0, 6), r.at_most) for r in df.collect())
+    whole = frame(rows + rows[:5])
+    want = shown(stream.histograms(whole, "ts", "kind", "value"))
+    assert shown(spark.table("hist")) == want
+    parts = [stream.histograms(frame(x), "ts", "kind", "value") for x in (rows[:70], rows[70:] + rows[:5])]
+    assert shown(stream.merged(parts[0].unionByName(parts[1]), "kind")) == want
+    assert stream.BUCKETS[0] == 0.005 and all(x[4] == sorted(x[4]) for x in want)
+
+
 def test_excerpts_and_fingerprints(spark):
     assert X.redact_excerpt("https://example.test/path?token=secret#fragment password=hunter2", 200) == "[REDACTED] [REDACTED]"
     assert X.redact_excerpt("  see  https://x.org/a?page=1#f and a_word_of_forty_characters_that_is_no_secret_ ", 256) == "see  https://x.org/a and a_word_of_forty_characters_that_is_no_secret_"
@@ -425,6 +471,52 @@ def test_every_strategy_is_dispatched(spark, tmp_path):
     assert e.ingest(docs.where("text <> ''").distinct()) == 3 and e.store.table("vectors").count() == 3
 
 
+def test_stream_sync_goes_on_after_a_break(spark, tmp_path):
+    from sparkrag.streaming import stream
+
+    schema = "source string, document_id string, text string, at long"
+    src = tmp_path / "in"
+    e, plain = small(spark, tmp_path), small(spark, tmp_path, "plain")
+    first = [("a", "1", "Cats sleep.", 1), ("a", "2", "Dogs bark.", 1), ("b", "1", "Birds sing.", 1), ("b", "1", "Birds fly.", 2)]
+    second = [("a", "2", None, 3), ("a", "3", "Fish swim.", 3), ("b", "1", "Birds fly.", 3), ("b", "2", "Ants dig.", 3)]
+
+    def run():
+        q = stream.sync(spark.readStream.schema(schema).json(str(src)), e, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(src))
+
+    add(first)
+    run()
+    add(second)
+    real = e.sync_source
+
+    def breaks(source, *a, **k):
+        if source == "b":
+            raise RuntimeError("the driver dies")
+        return real(source, *a, **k)
+
+    e.sync_source = breaks
+    with pytest.raises(Exception, match="the driver dies"):
+        run()
+    v = e.store.version
+    e.sync_source = real
+    run()
+    assert e.store.version == v + 1  # source a was done
+    frame = lambda *rows: spark.createDataFrame(list(rows), "document_id string, text string")
+    plain.sync_source("a", frame(("1", "Cats sleep."), ("2", "Dogs bark.")))
+    plain.sync_source("b", frame(("1", "Birds fly.")))
+    plain.sync_source("a", frame(("1", "Cats sleep."), ("3", "Fish swim.")))
+    plain.sync_source("b", frame(("1", "Birds fly."), ("2", "Ants dig.")))
+    for source in "ab":
+        x, y = (sorted((r.document_id, r.content_hash, r.revision) for r in z.baseline(source).documents.collect()) for z in (e, plain))
+        assert x == y and e.baseline(source).revision == 2
+    x, y = (sorted((r.source, r.text) for r in z.store.table("chunks").collect()) for z in (e, plain))
+    assert x == y and sum(r.n for r in e.integrity().collect()) == 0 and e.store.manifest()["counts"] == plain.store.manifest()["counts"]
+    assert e.retrieve("fish swim", 1).first().text == "Fish swim."
+
+
 def test_archives_name_the_part_that_changed(spark, tmp_path):
     e, who = small(spark, tmp_path), {"dims": 16}
     e.ingest(rows_of(spark, *((f"s{i:02}", f"Text number {i} about cats.") for i in range(30))))
