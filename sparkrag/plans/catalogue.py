@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def full_text(spark: SparkSession, sf_dir: str) -> fts.Index:
     return _INDEXES[key]
 
 
+_PEAKS: dict[tuple[str, str], fts.Index] = {}
+
+
+def full_text_peaks(spark: SparkSession, sf_dir: str) -> fts.Index:
+    """The same index with the peaks of its terms by block of texts."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PEAKS:
+        index, path = full_text(spark, sf_dir), f"{stored.shared_folder(spark)}/sparkrag/peaks-{uuid.uuid4().hex}"
+        fts.peaks(index.postings, index.whole()[1]).write.parquet(path)
+        _PEAKS[key] = replace(index, peaks=spark.read.parquet(path))
+    return _PEAKS[key]
+
+
 # ---- scalar and chunking
 
 @query("SELECT doc_id, length(text) // 3 AS tokens, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -283,21 +297,34 @@ _bm25_query("bm25_phrase", '"licensed under"', ["len(list_filter(range(1, dl), l
 _bm25_query("bm25_first", "^the", ["CASE WHEN toks[1] = 'the' THEN 1 ELSE 0 END"], "f0 > 0", [0])
 
 
-@query(f"""WITH {_TOK}, q AS (SELECT chunk_id AS query_id, toks[1:3] AS words FROM i WHERE chunk_id % 50 = 0),
+_BATCH = f"""WITH {_TOK}, q AS (SELECT chunk_id AS query_id, toks[1:3] AS words FROM i WHERE chunk_id % 50 = 0),
 e AS (SELECT chunk_id, dl, term, count(*)::DOUBLE AS f FROM (SELECT chunk_id, dl, unnest(toks) AS term FROM i) GROUP BY ALL), d AS (SELECT term, count(*) AS n FROM e GROUP BY term),
 w AS (SELECT query_id, unnest(list_distinct(words)) AS term FROM q),
 s AS (SELECT query_id, e.chunk_id, sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 0.000001) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / adl))) AS score FROM w JOIN e USING (term) JOIN d USING (term), a GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(-score, 9), chunk_id)::INT AS pos FROM s)
-SELECT query_id, chunk_id, pos, round(score, 6) AS score FROM r WHERE pos <= 10""")
-def bm25_batch(spark, d):
-    """The first three words of every 50th document as one expression each, in one plan."""
+SELECT query_id, chunk_id, pos, round(score, 6) AS score FROM r WHERE pos <= 10"""
+
+
+def _batch(spark, d, index):
     words = F.slice(X.tokens(F.col("text")), 1, 3)
     q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " OR ").alias("query"))
-    found = fts_batch.search(full_text(spark, d), q, 10)
+    found = fts_batch.search(index, q, 10)
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9), "chunk_id"))
     return found.select("query_id", "chunk_id", pos.alias("pos"), F.round("score", 6).alias("score"))
 
 
+@query(_BATCH)
+def bm25_batch(spark, d):
+    """The first three words of every 50th document as one expression each, in one plan."""
+    return _batch(spark, d, full_text(spark, d))
+
+
+@query(_BATCH)
+def bm25_batch_peaks(spark, d):
+    """The same expressions by peaks: blocks of texts that cannot reach an expression's 10 best are not read for it."""
+    return _batch(spark, d, full_text_peaks(spark, d))
+
+
 @query(f"""WITH {_KNN}, {_TOK}, {_bm25_sql([_word('the'), _word('of'), _word('and')], 'f0 > 0 AND f1 > 0 AND f2 > 0', [0, 1, 2])},
 n AS (SELECT chunk_id, score / max(score) OVER () AS bm FROM b),
 x AS (SELECT coalesce(k.chunk_id, n.chunk_id) AS chunk_id, coalesce(vec_score, 0) AS vs, coalesce(bm, 0) AS bs FROM k FULL JOIN n ON k.chunk_id = n.chunk_id),

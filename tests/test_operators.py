@@ -4,6 +4,7 @@ import random
 import sqlite3
 import time
 import zipfile
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -751,7 +752,7 @@ def test_index_equals_token_arrays(spark):
         assert a == b, q
 
 
-def test_many_expressions_in_one_plan_equal_one_by_one(spark):
+def test_many_expressions_in_one_plan_equal_one_by_one(spark, monkeypatch):
     rng = random.Random(7)
     vocabulary = ["red", "rod", "rust", "blue", "green", "the", "é", "x1"]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(120)] + ["", None]
@@ -770,11 +771,43 @@ def test_many_expressions_in_one_plan_equal_one_by_one(spark):
             continue
         want += [(k, r.chunk_id, round(r.score, 9)) for r in rows for k in ([i, 900] if q == "red" else [i])]
     full = fts.Index(index.postings, index.lengths, fts.dictionary(index.postings).persist(), *spark.createDataFrame([(len(texts),)], "n long").crossJoin(index.lengths.selectExpr("sum(len) s")).first())
-    for x, named in ((index, 1000), (full, 1000), (full, 2)):
+    monkeypatch.setattr(fts, "SPAN", 4)
+    # peaks of this mean length, and those of an index whose texts were shorter or longer since
+    peaked = [replace(full, peaks=fts.peaks(full.postings, full.whole()[1] * f).persist()) for f in (1, 0.5, 2)]
+    for x, named in ((index, 1000), (full, 1000), (full, 2), *((p, 1000) for p in peaked), (peaked[0], 2)):
         got = fts_batch.search(x, asked, 9, named).collect()
         assert sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in got) == sorted(want) and all(r["rank"] == -r.score for r in got)
 
 
+def test_blocks_that_cannot_reach_the_best_rows_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(fts, "SPAN", 16)
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(20)]
+    texts = [" ".join(rng.choices(common, k=30)) for _ in range(3200)]
+    for i in range(640, 672):  # two blocks hold all good texts
+        texts[i] = "star star star moon"
+    texts[5] = texts[3000] = "star " + texts[7]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "star star w0")], "k long, t string")
+    made = fts.postings(docs, "k", "t")
+    postings, lengths = made.postings.persist(), made.lengths.persist()
+    index = fts.Index(postings, lengths)
+    peaked = replace(index, peaks=fts.peaks(postings, index.whole()[1]).persist())
+    queries = ["star", "star OR w3", "star AND moon", "moon NOT w1", "w3 AND star", "w1 OR w2 OR absent", "absent", "NEAR(star moon, 2)", "star NOT star"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    key = lambda r: (r.query_id, -1 if r.chunk_id is None else r.chunk_id, round(r.score, 9))
+    for limit in (1, 7, 40):
+        want, got = (sorted(map(key, fts_batch.search(x, asked, limit).collect())) for x in (index, peaked))
+        assert got == want
+    exprs = fts_batch.parsed(asked.select(F.col("query").alias("expr")))
+    kept = fts_batch.skipping(peaked, exprs, fts_batch._lookup(peaked, exprs, 1000), 7)
+    n = {r.expr: r["count"] for r in kept.groupBy("expr").count().collect()}
+    assert n["star AND moon"] == 2 and n["w3 AND star"] == 2 and n["moon NOT w1"] == 2 and "absent" not in n  # of 200
+    assert n["star"] <= 3 and n["star OR w3"] <= 3
+    # what survives reaches the scan as ranges of ids
+    few = kept.where("expr = 'star AND moon'")
+    assert fts_batch._within(index.postings, few).select("chunk_id").distinct().count() == 32
+
+
 def test_a_thousand_expressions_are_one_plan(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(300)]
