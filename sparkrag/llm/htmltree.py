@@ -2,7 +2,8 @@
 
 The page is read into a tree of its block elements (inline markup joins the text of the block around it). Every node has
 a hidden state, content or not. Potentials between parent and child depend on the child's tag; a node's own evidence
-comes from its tag, its class/id/role words, the length and link share of its own text and its place in the page; like siblings share
+comes from its tag, its class/id/role words (of a compound the last word that names a thing counts for itself, those before it as words said of it), the
+length and link share of its own text, its place in the page and the share of the page's text that it holds; like siblings share
 their evidence, lest a run of short paragraphs outvote the rest of an article. Sum-product messages
 go up from the leaves and down from the root, which gives each node's exact marginal; text whose node is content with
 probability >= 0.5 is kept in page order.
@@ -66,7 +67,12 @@ def attribute_words(attrs: str) -> tuple:
         if name == "hidden" or name == "style" and "none" in value and "display" in value:
             out.append("hidden")
         elif name in ("class", "id", "role", "itemprop"):
-            out += [w.lower() for w in _WORD.findall(value)]
+            for given in value.split():
+                # of a compound the last word names the thing, but for words of mere containers, and those before it say more of it: a header-image
+                # is an image, post-meta is meta, a sidebar-box is a sidebar
+                found = [w.lower() for w in _WORD.findall(given)]
+                last = max((i for i, w in enumerate(found) if w not in NEUTRAL), default=0)
+                out += ["~" + w for w in found[:last]] + found[last:]
     return tuple(sorted(set(out)))
 
 
@@ -218,17 +224,21 @@ def alike(tree: Tree, keys: list[tuple]) -> list[float]:
 
 
 def evidence_keys(tree: Tree) -> list[tuple]:
-    """(tag, words, level of own text, link share, end of sentence, place in page) of each node."""
+    """(tag, words, level of own text, link share, end of sentence, place in page, share of the page's text in what it holds) of each node."""
     n = len(tree.tag)
     ends = [0] * n
     for node, text in tree.runs:
         if text[-1] in ".!?…:;\"'”»":
             ends[node] = 1
+    held = list(tree.size)
+    for i in range(n - 1, 0, -1):
+        held[tree.parent[i]] += held[i]
     out = []
     for i in range(n):
         s = tree.size[i]
+        x = (held[i] - s) / held[0] if held[0] else 0
         share = tree.links[i] / s if s else 0
-        out.append((tree.tag[i], tree.words[i], _level(s), 0 if not share else 1 if share < 0.3 else 2 if share < 0.75 else 3, ends[i], min(3, 4 * i // n)))
+        out.append((tree.tag[i], tree.words[i], _level(s), 0 if not share else 1 if share < 0.3 else 2 if share < 0.75 else 3, ends[i], min(3, 4 * i // n), 0 if not x else 1 if x < 0.15 else 2 if x < 0.4 else 3))
     return out
 
 
@@ -243,10 +253,10 @@ class Model:
         """Log of the likelihood ratio content : other of a node's own evidence."""
         r = self._seen.get(key)
         if r is None:
-            tag, words, level, share, ends, place = key
+            tag, words, level, share, ends, place, bulk = key
             e = self.evidence
             total = 0.0
-            for f in (("text", tag, level, share, ends), ("place", tag, place)):
+            for f in (("text", tag, level, share, ends), ("place", tag, place), ("bulk", tag, bulk)):
                 total += e[f] if f in e else e.get((f[0], "*", *f[2:]), 0.0)
             total += sum(e.get(("word", w), 0.0) for w in words)
             r = max(-30, min(30, total))
@@ -300,11 +310,12 @@ def fit(pages: list[tuple[Tree, list[int]]], smooth: float = 0.5) -> Model:
     pairs: dict = defaultdict(lambda: [[0, 0], [0, 0]])
     for tree, state in pages:
         for i, (key, s) in enumerate(zip(evidence_keys(tree), state)):
-            tag, words, level, share, ends, place = key
+            tag, words, level, share, ends, place, bulk = key
             for t in (tag, "*"):
                 by_tag[t][s] += 1
                 own["text", t, level, share, ends][s] += 1
                 own["place", t, place][s] += 1
+                own["bulk", t, bulk][s] += 1
             for w in words:
                 own["word", w][s] += 1
             if i:
@@ -325,7 +336,7 @@ def fit(pages: list[tuple[Tree, list[int]]], smooth: float = 0.5) -> Model:
         g = own[(f[0], "*", *f[2:])]
         back = [(g[s] + smooth) / (by_tag["*"][s] + 40 * smooth) for s in (0, 1)]
         r = [rate(f, t, s, back[s]) if t != "*" else back[s] for s in (0, 1)]
-        evidence[f] = (0.15 if f[0] == "place" else 0.7) * math.log(r[1] / r[0])
+        evidence[f] = (0.7 if f[0] == "text" else 0.15 if f[0] == "place" else 0.2) * math.log(r[1] / r[0])
     transition = {}
     for t, c in pairs.items():
         p01 = (c[0][1] + 0.02) / (sum(c[0]) + 20)
@@ -347,7 +358,9 @@ PARTS = {
     "share": "share sharing social follow buttons toolbar meta byline author bio date",
 }
 CONTENT = "article content post entry main story body text page blog news articlebody maincontent single hentry prose copy".split()
-NEUTRAL = "container wrapper row col inner outer grid box section block left right wide clearfix module group item".split()
+# Last words of compounds that name a piece of an article, whatever stands before them.
+PIECES = "image figure photo picture caption gallery video embed quote pullquote note lead intro summary".split()
+NEUTRAL = "container wrapper row col inner outer grid box section block left right wide clearfix module group item bar unit panel area list".split()
 
 
 class _Writer:
@@ -376,7 +389,28 @@ class _Writer:
             return ""
         kind = r.choice(("class", "class", "class", "id"))
         extra = " " + r.choice(NEUTRAL) if r.random() < 0.3 and kind == "class" else ""
-        return f' {kind}="{r.choice(names)}{extra}"'
+        name, x = r.choice(names), r.random()
+        if x < 0.2:
+            name = self.compound(name, r.choice(NEUTRAL))
+        elif x < 0.45:
+            name = self.compound(r.choice((*NEUTRAL, *CONTENT, "site", "page")), name)
+        return f' {kind}="{name}{extra}"'
+
+    def compound(self, before, last):
+        return f"{before}{self.rng.choice('--_')}{last}"
+
+    def piece(self):
+        """A piece of the article whose name may begin as that of any part of a page does."""
+        r = self.rng
+        name = self.compound(r.choice([*CONTENT, *NEUTRAL, *PARTS[r.choice(list(PARTS))].split()]), r.choice(PIECES))
+        if r.random() < 0.4:
+            self.leaf("p", 1, self.prose(), f' class="{name}"')
+            return
+        tag = r.choice(("div", "div", "section", "figure"))
+        self.open(tag, 1, f' class="{name}"')
+        for _ in range(r.choice((1, 1, 2))):
+            self.leaf("figcaption" if tag == "figure" else "p", 1, self.prose())
+        self.close(tag)
 
     def open(self, tag, state, attrs=""):
         self.out.append(f"<{tag}{attrs}>")
@@ -444,12 +478,17 @@ class _Writer:
         r = self.rng
         if r.random() < 0.8:
             self.leaf("h1", 1, self.heading())
+            if r.random() < 0.15:  # who wrote it and when
+                name = self.compound(r.choice(CONTENT), r.choice("meta byline author date".split()))
+                self.leaf(r.choice(("div", "p")), 0, " ".join(self.words(1, 6)).capitalize() + r.choice(("", ".")), f' class="{name}"')
         if r.random() < 0.12:  # a run of short paragraphs
             for _ in range(r.randint(4, 40)):
                 self.leaf("p", 1, " ".join(self.words(1, 6)) + r.choice(("", ".")))
         for _ in range(r.randint(1, 14)):
             x = r.random()
-            if x < 0.68:
+            if x < 0.03:
+                self.piece()
+            elif x < 0.68:
                 self.leaf("p", 1, self.prose() if r.random() < 0.9 else " ".join(self.words(1, 6)))
             elif x < 0.76:
                 self.leaf(r.choice(("h2", "h3", "h4")), 1, self.heading())

@@ -691,6 +691,38 @@ def test_pages_on_held_out_layouts(spark):
     assert sorted(r.n_chars for r in htmltree.extract_pages(df, model).collect()) == [0, 0, 36]
 
 
+def test_given_pages_equal_a_plain_extraction(spark):
+    """The given pages have one article each, of headings and paragraphs that need no end tags; a plain version cuts it out by name."""
+    import html
+    import re
+
+    def plain(page):
+        body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", page or "", flags=re.S)
+        article = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", body, re.S)
+        blocks = re.split(r"</?(?:p|h1)\b[^>]*>", re.sub(r"<br\b[^>]*>", " ", article[1])) if article else []
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+        return "\n".join(t for t in lines if t)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in htmltree.extract_pages(pages).collect()}
+    assert len(want) > 200 and all(want.values()) and got == want
+
+
+def test_last_words_of_compound_names_say_what_a_block_is():
+    model = htmltree.fit(htmltree.labelled_pages())
+    story = "The hero of this article tells a long story about the sea, and how it was crossed by people in small boats."
+    said = lambda inner: htmltree.extract(f"<nav><a href=/>Home</a></nav><article><h1>Title</h1>{inner}</article><footer>&copy; x</footer>", model)
+    kept = f"Title\n{story}\n{story}"
+    for name in ("header-image", "hero_image", "newsletter-lead", "comments-disabled-note", "sidebar-quote", "entryContent"):
+        assert said(f'<div class="{name}"><p>{story}</p></div><p>{story}</p>') == kept, name
+    for name in ("post-meta", "entry-byline", "post-comments", "articleFooter", "promo-box", "sidebar_widget", "site-banner"):
+        assert said(f'<div class="{name}">By Jane</div><p>{story}</p><p>{story}</p>') == kept, name
+    for name in ("comment", "comments-wrapper", "related-grid", "cookie-notice-bar"):
+        assert said(f'<p>{story}</p><p>{story}</p><div class="{name}"><p>{story}</p></div>') == kept, name
+    assert htmltree.attribute_words('class="header-image Post_meta  x" id="mainContent" role=""') == ("content", "image", "meta", "x", "~header", "~main", "~post")
+
+
 # ---- pipeline
 
 
