@@ -297,7 +297,7 @@ _bm25_query("bm25_phrase", '"licensed under"', ["len(list_filter(range(1, dl), l
 _bm25_query("bm25_first", "^the", ["CASE WHEN toks[1] = 'the' THEN 1 ELSE 0 END"], "f0 > 0", [0])
 
 
-_BATCH = f"""WITH {_TOK}, q AS (SELECT chunk_id AS query_id, toks[1:3] AS words FROM i WHERE chunk_id % 50 = 0),
+_MATCHES = f"""WITH {_TOK}, q AS (SELECT chunk_id AS query_id, toks[1:3] AS words FROM i WHERE chunk_id % 50 = 0),
 e AS (SELECT chunk_id, dl, term, count(*)::DOUBLE AS f FROM (SELECT chunk_id, dl, unnest(toks) AS term FROM i) GROUP BY ALL), d AS (SELECT term, count(*) AS n FROM e GROUP BY term),
 w AS (SELECT query_id, unnest(list_distinct(words)) AS term FROM q),
 s AS (SELECT query_id, e.chunk_id, sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 0.000001) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / adl))) AS score FROM w JOIN e USING (term) JOIN d USING (term), a GROUP BY ALL),
@@ -313,13 +313,13 @@ def _batch(spark, d, index):
     return found.select("query_id", "chunk_id", pos.alias("pos"), F.round("score", 6).alias("score"))
 
 
-@query(_BATCH)
+@query(_MATCHES)
 def bm25_batch(spark, d):
     """The first three words of every 50th document as one expression each, in one plan."""
     return _batch(spark, d, full_text(spark, d))
 
 
-@query(_BATCH)
+@query(_MATCHES)
 def bm25_batch_peaks(spark, d):
     """The same expressions by peaks: blocks of texts that cannot reach an expression's 10 best are not read for it."""
     return _batch(spark, d, full_text_peaks(spark, d))
