@@ -7,7 +7,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,10 +155,21 @@ def structure_chunks(text: str, cfg: Chunk) -> list[str]:
     return chunks
 
 
+#: Bytes of text whose Python strings a task holds at once; a longer text is held alone.
+HELD = 1 << 20
+
+
 def _strings(fn: Callable[[str], list[str]]):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fn(t or ""))
+    """Arrow: a batch becomes Python strings and chunks by pieces of some `HELD` bytes."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(s: pa.Array) -> pa.Array:
+        ends, out, at = pc.cumulative_sum(pc.fill_null(pc.binary_length(s).cast(pa.int64()), 0)).to_numpy(), [], 0
+        while at < len(s):
+            end = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + HELD, side="right")))
+            out.append(pa.array([fn(t or "") for t in s.slice(at, end - at).to_pylist()], pa.list_(pa.string())))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
     return run
 
