@@ -156,27 +156,34 @@ def gate(data: Dataset, metrics: dict, baseline: dict, tolerances: dict) -> list
     return failures(metrics, baseline["metrics"], tolerances["max_drop"])
 
 
-def case_metrics(cases: DataFrame, results: DataFrame, targets: DataFrame) -> DataFrame:
+def case_metrics(cases: DataFrame, results: DataFrame, targets: DataFrame, by: str = "case_id") -> DataFrame:
     """case_id, recall, rr, ndcg, source_hit of every case.
 
     cases: case_id; results: case_id, pos (from 1), chunk_id, source; targets: case_id, target (id), chunk_id, source, grade.
-    A target is met by its chunk id or, where it names one, its source. Grade 0 counts as 1.
+    A target is met by its chunk id or, where it names one, its source. Grade 0 counts as 1. Cases that share their targets name them by another column,
+    which cases and targets have (by): each target is then one row, not one for each of the cases.
     """
+    cases = cases.select(*dict.fromkeys(("case_id", by)))
+    results = results if by == "case_id" else results.drop(by).join(cases, "case_id")
     t = targets.withColumn("grade", F.when(F.col("grade") == 0, 1).otherwise(F.col("grade")).cast("double"))
-    t = t.select("case_id", "target", F.col("chunk_id").alias("t_chunk"), F.col("source").alias("t_source"), "grade")
-    by_chunk = results.join(t.where("t_chunk is not null"), (results.case_id == t.case_id) & (results.chunk_id == t.t_chunk)).select(results.case_id, "pos", "target", "grade", F.lit(False).alias("by_source"))
-    by_source = results.join(t.where("t_source is not null"), (results.case_id == t.case_id) & (results.source == t.t_source)).select(results.case_id, "pos", "target", "grade", F.lit(True).alias("by_source"))
+    t = t.select(F.col(by).alias("t_by"), "target", F.col("chunk_id").alias("t_chunk"), F.col("source").alias("t_source"), "grade")
+    by_chunk = results.join(t.where("t_chunk is not null"), (results[by] == t.t_by) & (results.chunk_id == t.t_chunk)).select(results.case_id, "pos", "target", "grade", F.lit(False).alias("by_source"))
+    by_source = results.join(t.where("t_source is not null"), (results[by] == t.t_by) & (results.source == t.t_source)).select(results.case_id, "pos", "target", "grade", F.lit(True).alias("by_source"))
     hits = by_chunk.unionByName(by_source)
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
     best = hits.groupBy("case_id", "pos").agg(F.max("grade").alias("g"))
     dcg = best.groupBy("case_id").agg(F.sum(gain(F.col("g")) / F.log2(F.col("pos") + 1)).alias("dcg"), F.min("pos").alias("first"))
     got = results.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("case_id").orderBy(F.col("grade").desc(), "target")
-    ideal = t.withColumn("i", F.row_number().over(w)).join(got, "case_id").where("i <= k").groupBy("case_id").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("i") + 1)).alias("ideal"))
-    per = t.groupBy("case_id").agg(F.countDistinct("target").alias("n"))
+    # the best grades first, by how many targets have each: no target is ranked
+    above = F.sum("many").over(Window.partitionBy("t_by").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("many")
+    grades = t.groupBy("t_by", "grade").agg(F.count(F.lit(1)).alias("many")).withColumn("above", above)
+    grades = cases.join(got, "case_id").join(grades, F.col(by) == F.col("t_by")).where("above < k")
+    ranks = grades.select("case_id", "grade", F.explode(F.sequence(F.col("above") + 1, F.least(F.col("above") + F.col("many"), F.col("k")))).alias("i"))
+    ideal = ranks.groupBy("case_id").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("i") + 1)).alias("ideal"))
+    per = t.groupBy(F.col("t_by").alias(by)).agg(F.countDistinct("target").alias("n"))
     met = hits.groupBy("case_id").agg(F.countDistinct("target").alias("met"), F.max("by_source").alias("source_hit"))
-    rows = cases.select("case_id")
-    for part in (per, met, dcg, ideal):
+    rows = cases.join(per, by, "left")
+    for part in (met, dcg, ideal):
         rows = rows.join(part, "case_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
